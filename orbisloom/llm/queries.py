@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe
+from .common import fresh_path
 from .exact_dedup import exact_dedup
 from .host_rules import quality_rules
+from .packing import pack_documents
+from .warc import read_warc, write_warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, docs = public_tokenizers.path("byte_bpe_50k.json"), _docs(spark, sf_dir).select("doc_id", "text")
+    out = bpe.encode(docs, path, lexicon=bpe.compile_lexicon(docs, "text", path), decoded_col="decoded")
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    kind, out = pages.schema["page_id"].dataType, fresh_path(spark, "warc")
+    write_warc(pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload")), out)
+    return read_warc(spark, out, with_payload=False).select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir), keep="largest")
 
@@ -21,6 +49,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe_codec": op1_bpe_codec,
+    "op2_warc": op2_warc,
+    "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
 }
