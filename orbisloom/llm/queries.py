@@ -11,6 +11,7 @@ from .common import fresh_path
 from .exact_dedup import exact_dedup
 from .host_rules import quality_rules
 from .packing import pack_documents
+from .substring import remove_repeats
 from .warc import read_warc, write_warc
 
 
@@ -48,12 +49,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLE_SQL = {
