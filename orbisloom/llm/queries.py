@@ -10,6 +10,7 @@ from . import bpe, lm
 from .common import fresh_path
 from .exact_dedup import exact_dedup
 from .host_rules import quality_rules
+from .near_dup import near_duplicates
 from .packing import pack_documents
 from .substring import remove_repeats
 from .warc import read_warc, write_warc
@@ -57,6 +58,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_warc": op2_warc,
@@ -65,6 +70,7 @@ QUERIES = {
     "op5_lm_score": op5_lm_score,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_near_dup": op9_near_dup,
 }
 
 ORACLE_SQL = {
