@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm
+from . import bpe, lm, toxicity
 from .common import fresh_path
 from .exact_dedup import exact_dedup
 from .host_rules import quality_rules
@@ -62,6 +62,12 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    out = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
 QUERIES = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_warc": op2_warc,
@@ -71,6 +77,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_near_dup": op9_near_dup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {

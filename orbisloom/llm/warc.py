@@ -172,4 +172,5 @@ def read_warc(spark: SparkSession, out: str, with_payload: bool = True) -> DataF
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
-    return files.select("file", "records").repartition(F.col("file")).mapInArrow(read, schema)
+    tasks = min(100_000, max(1, files.count()))  # a number of its own, or the few manifest rows are put into one task
+    return files.select("file", "records").repartition(tasks, "file").mapInArrow(read, schema)
