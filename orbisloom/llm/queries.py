@@ -13,6 +13,7 @@ from .host_rules import quality_rules
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .substring import remove_repeats
+from .url_filter import judge
 from .warc import read_warc, write_warc
 
 
@@ -50,6 +51,12 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_docs(spark, sf_dir))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bad = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), bad)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir))
 
@@ -74,6 +81,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_lm_score": op5_lm_score,
+    "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_near_dup": op9_near_dup,

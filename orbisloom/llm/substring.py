@@ -60,8 +60,8 @@ def covered(found: ahocorasick.Automaton | None, words: tuple, window: int) -> n
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """(id, [keep columns,] n_words, n_removed, kept): kept is the text of the words that stay, joined by single spaces.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
+    """(id, [keep columns, the text,] n_words, n_removed, kept): kept is the text of the words that stay, joined by single spaces.
 
     A word goes when it stands in a run of `window` words that also starts anywhere else, in this document or another;
     every occurrence goes, the first too, judged on the input. Documents with fewer words lose nothing. A null text has
@@ -85,8 +85,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     requests = source.select("block", F.col(text_col).alias("text")).mapInArrow(ask, exchange.REQUEST)
     answers = exchange.answered(requests, lambda keys, counts: (counts > 1).astype(np.uint8))
 
-    names = [id_col, *keep, "n_words", "n_removed", "kept"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [id_col, *keep]), "n_words long, n_removed long, kept string"])
+    passed = [id_col, *keep, *([text_col] if keep_text else [])]
+    names = [*passed, "n_words", "n_removed", "kept"]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed), "n_words long, n_removed long, kept string"])
 
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
         memo, texts = Memo(), texts_of(left.column("_text"))
@@ -120,7 +121,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 flush()
                 shard, size = [], 0
         flush()
-        columns = [left.column(c) for c in [id_col, *keep]] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        columns = [left.column("_text" if c == text_col else c) for c in passed] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         return pa.table(dict(zip(names, columns)))
 
     texts = source.withColumnRenamed(text_col, "_text").withColumnRenamed("block", "_block")
