@@ -26,10 +26,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, written
 
-#: Words in the lexicon. Its file has a few tens of bytes for each, so its size is bounded whatever the corpus.
-LEXICON_WORDS = 30_000
+#: A word of at least this share of all words is in the lexicon, so there are at most 1 / LEXICON_SHARE of them whatever the
+#: corpus; its file has a few tens of bytes for each.
+LEXICON_SHARE = 1 / 200_000
 #: Distinct pieces that a worker remembers before it starts afresh.
 MEMO = 500_000
 _NONE = np.int64(-1)
@@ -475,25 +476,38 @@ def word_counts(docs: DataFrame, text_col: str, path: str) -> DataFrame:
     """(word binary, n): how often each word, as the vocabulary's pattern splits it, stands in all documents."""
 
     def count(batches):
-        tool = ByteBpe(path)
+        tool, times = ByteBpe(path), np.zeros(1 << 16, np.int64)
+
+        def flush():
+            words = [[] if type(k) is tuple and k[1:] == ("special",) else tool.split(" " + k) if type(k) is str else [k[0]] if len(k) == 2 else tool.split(k[0]) for k in tool.pieces]
+            at = tool.words.of([w for ws in words for w in ws])
+            n = np.bincount(at, np.repeat(times[: len(words)], [len(ws) for ws in words]), minlength=len(tool.words)).astype(np.int64)
+            out = pa.RecordBatch.from_arrays([pa.array([w.encode() for w in tool.words], pa.binary()), pa.array(n)], ["word", "n"])
+            tool.reset()
+            times[:] = 0
+            return out
+
         for batch in batches:
             for part in pieces(batch, text_col):
-                tool.reset()
-                keys = [k for t in part.column(text_col).to_pylist() if t for k in tool.keys(t)]
-                codes = tool.pieces.of(keys)
-                times = np.bincount(codes, minlength=len(tool.pieces))
-                words = [[] if type(k) is tuple and k[1:] == ("special",) else tool.split(" " + k) if type(k) is str else [k[0]] if len(k) == 2 else tool.split(k[0]) for k in tool.pieces]
-                at = tool.words.of([w for ws in words for w in ws])
-                n = np.bincount(at, np.repeat(times, [len(ws) for ws in words]), minlength=len(tool.words)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in tool.words], pa.binary()), pa.array(n)], ["word", "n"])
+                codes = tool.pieces.of([k for t in part.column(text_col).to_pylist() if t for k in tool.keys(t)])
+                while len(tool.pieces) > len(times):
+                    times = np.concatenate([times, np.zeros(len(times), np.int64)])
+                seen = np.bincount(codes, minlength=len(tool.pieces))
+                times[: len(seen)] += seen
+                if len(tool.pieces) > MEMO:
+                    yield flush()
+        yield flush()
 
     counted = docs.select(text_col).mapInArrow(count, "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def compile_lexicon(docs: DataFrame, text_col: str, path: str, words: int = LEXICON_WORDS) -> str:
-    """Compiles the most frequent words and ships the file to all executors; returns its name for SparkFiles."""
-    top = [bytes(r.word) for r in word_counts(docs, text_col, path).orderBy(F.desc("n"), "word").limit(words).collect()]
+def compile_lexicon(docs: DataFrame, text_col: str, path: str, share: float = LEXICON_SHARE) -> str:
+    """Compiles the words with at least `share` of all words and ships the file to all executors; returns its name for
+    SparkFiles. There can't be more than 1 / share such words, so what comes to the driver is bounded."""
+    counts = written(word_counts(docs, text_col, path), "words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = [bytes(r.word) for r in counts.filter(F.col("n") >= F.lit(max(2.0, total * share))).select("word").collect()]
     flat, lens = Merges(path).encode(top)
     ids = [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])] if top else []
     folder = os.path.realpath(tempfile.mkdtemp(prefix="orbisloom-"))  # the driver serves it to executors until it ends
