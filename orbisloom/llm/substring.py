@@ -22,6 +22,8 @@ from . import exchange
 from .common import Memo, texts_of, windows
 
 WINDOW = 35
+#: Documents that one task holds at a time.
+BLOCK_ROWS = 4096
 #: Words of documents in one shard: bounds an automaton's memory.
 SHARD_WORDS = 400_000
 
@@ -68,7 +70,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no words. Repeated rows repeat each other's runs. An empty table stays empty.
     """
     keep = keep or []
-    source = exchange.blocks(docs.select(id_col, *keep, text_col))
+    source = exchange.blocks(docs.select(id_col, *keep, text_col), rows=BLOCK_ROWS)
     size = exchange.text_bytes(docs, text_col)
     count = exchange.buckets_for(size, 1.3)
 
