@@ -34,7 +34,7 @@ def read_marker(spark: SparkSession, file: str) -> DataFrame:
     if not os.path.exists(file.removeprefix("file://")):
         text = spark.range(1).select(F.lit("{}").alias("value"))
     else:
-        text = spark.read.option("wholetext", True).text(file)
+        text = spark.read.text(file, wholetext=True)
     return text.select(F.from_json("value", MARKER).alias("m")).select("m.*")
 
 
