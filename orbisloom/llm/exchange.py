@@ -17,17 +17,17 @@ from pyspark.sql import functions as F
 
 #: Bytes of keys that one bucket should hold on average.
 BUCKET_BYTES = 24_000_000
-#: Documents in a block.
-BLOCK_ROWS = 8192
+#: Documents in a block, which one task holds at a time.
+BLOCK_ROWS = 4096
 
 
-def blocks(docs: DataFrame, name: str = "block", rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds the block number: `rows` consecutive rows of a scan partition, the same for every run over the same files
+def blocks(docs: DataFrame, name: str = "block") -> DataFrame:
+    """Adds the block number: BLOCK_ROWS consecutive rows of a scan partition, the same for every run over the same files
     and settings.
 
     Whoever uses the answers compares them in length and checksum with what the block would send, so a scan that is
     split otherwise the second time fails instead of giving wrong counts."""
-    return docs.withColumn(name, F.floor(F.monotonically_increasing_id() / rows).cast("long"))
+    return docs.withColumn(name, F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).cast("long"))
 
 
 def block_runs(batches, name: str = "block"):
