@@ -16,8 +16,8 @@ from orbisloom.llm.substring import remove_repeats
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents predicted toxic go."""
-    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter("toxic_predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), prefix="__toxic_")
+    return scored.filter("__toxic_predicted = 0").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +33,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: passages that repeat go from the texts; texts without any are left as they are."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = remove_repeats(docs, keep=others, keep_text=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = cut.withColumn("text", text)
+    cut = remove_repeats(docs, keep=others, keep_text=True, prefix="__repeat_")
+    shorter = F.col("__repeat_n_removed") > 0
+    out = cut.withColumn("text", F.when(shorter, F.col("__repeat_kept")).otherwise(F.col("text")))
     if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(shorter, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -522,9 +522,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", lexicon: str | No
     """Replaces the text column by `ids` (array<int>) and, where decoded_col is given, adds the text decoded from these ids.
 
     A null text counts as empty and has no ids. Special tokens that a text spells out get their ids, as in the library.
-    An empty table stays empty; every other column passes through; repeated rows are encoded each.
+    An empty table stays empty; every other column passes through, but for one of a new column's name; repeated rows are
+    encoded each.
     """
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, ids_col, decoded_col)]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), f"`{ids_col}` array<int>", *([f"`{decoded_col}` string"] if decoded_col else [])])
 
     def run(batches):
@@ -543,7 +544,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", lexicon: str | No
 
 def decode(ids: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """Replaces a column of ids by the text they spell; null ids give an empty text."""
-    others = [c for c in ids.columns if c != ids_col]
+    others = [c for c in ids.columns if c not in (ids_col, text_col)]
     schema = ", ".join([*(f"`{c}` {ids.schema[c].dataType.simpleString()}" for c in others), f"`{text_col}` string"])
 
     def run(batches):

@@ -60,21 +60,22 @@ def covered(found: ahocorasick.Automaton | None, words: tuple, window: int) -> n
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None, keep_text: bool = False, prefix: str = "") -> DataFrame:
     """(id, [keep columns, the text,] n_words, n_removed, kept): kept is the text of the words that stay, joined by single spaces.
 
     A word goes when it stands in a run of `window` words that also starts anywhere else, in this document or another;
     every occurrence goes, the first too, judged on the input. Documents with fewer words lose nothing. A null text has
-    no words. Repeated rows repeat each other's runs. An empty table stays empty.
+    no words. Repeated rows repeat each other's runs. An empty table stays empty. A prefix goes before the three new names,
+    so that they can't clash with columns kept.
     """
     keep = keep or []
-    source = exchange.blocks(docs.select(id_col, *keep, text_col))
+    source = exchange.blocks(docs.select(id_col, *keep, text_col), "__block")
     size = exchange.text_bytes(docs, text_col)
     count = exchange.buckets_for(size, 1.3)
 
     def ask(batches):
         memo = Memo()
-        for block, held in exchange.block_runs(batches):
+        for block, held in exchange.block_runs(batches, "__block"):
             texts = [t for batch in held for t in texts_of(batch.column("text"))]
             parts = [_window_hashes(texts[i : i + 500], memo, window) for i in range(0, len(texts), 500)]
             del texts
@@ -82,15 +83,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             del parts
             yield exchange.request(block, keys, counts, count)
 
-    requests = source.select("block", F.col(text_col).alias("text")).mapInArrow(ask, exchange.REQUEST)
+    requests = source.select("__block", F.col(text_col).alias("text")).mapInArrow(ask, exchange.REQUEST)
     answers = exchange.answered(requests, lambda keys, counts: (counts > 1).astype(np.uint8))
 
     passed = [id_col, *keep, *([text_col] if keep_text else [])]
-    names = [*passed, "n_words", "n_removed", "kept"]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed), "n_words long, n_removed long, kept string"])
+    names = [*passed, *(f"{prefix}{c}" for c in ("n_words", "n_removed", "kept"))]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed), *(f"`{prefix}{c}` {t}" for c, t in (("n_words", "long"), ("n_removed", "long"), ("kept", "string")))])
 
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
-        memo, texts = Memo(), texts_of(left.column("_text"))
+        memo, texts = Memo(), texts_of(left.column("__text"))
         hashes = [_window_hashes(texts[i : i + 500], memo, window) for i in range(0, len(texts), 500)]
         hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         keys, inverse = np.unique(hashes, return_inverse=True)
@@ -121,8 +122,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 flush()
                 shard, size = [], 0
         flush()
-        columns = [left.column("_text" if c == text_col else c) for c in passed] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        columns = [left.column("__text" if c == text_col else c) for c in passed] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         return pa.table(dict(zip(names, columns)))
 
-    texts = source.withColumnRenamed(text_col, "_text").withColumnRenamed("block", "_block")
-    return texts.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(cut_out, schema)
+    texts = source.withColumnRenamed(text_col, "__text")
+    return texts.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(cut_out, schema)

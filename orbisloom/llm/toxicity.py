@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Memo, pieces, windows
 
@@ -159,9 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return vocabulary, Index([r[2] for r in held], y, [r[0] for r in held], np.array([label_weight[v] for v in y.tolist()]), len(vocabulary), empty_rate, prior)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prefix: str = "toxic_") -> DataFrame:
     """docs with three more columns: toxic_score (0 to 1), toxic_predicted (1 from THRESHOLD on) and toxic_evidence (the
-    nearest three examples as structs of id and cosine).
+    nearest three examples as structs of id and cosine); the prefix keeps their names apart from those of docs.
 
     A document without any feature, an empty or null text too, gets the rate at which such examples are toxic. Repeated
     rows are scored each; without labels of both kinds every score is that of the prior. Ids, and columns other than the
@@ -171,7 +172,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, index))  # bounded: VOCABULARY features, a bounded sample of examples
     names, at = docs.columns, docs.columns.index(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_id = to_arrow_type(docs.schema[id_col].dataType)
+    added = [f"{prefix}{c}" for c in ("score", "predicted", "evidence")]
 
     def run(batches):
         vocabulary, index = shared.value
@@ -190,7 +192,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     scores.append(done[key][0])
                     evidence.append(done[key][1])
                 columns = [*part.columns, pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.struct([("id", arrow_id), ("cosine", pa.float64())])))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "toxic_score", "toxic_predicted", "toxic_evidence"])
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"toxic_score double, toxic_predicted int, toxic_evidence array<struct<id: {kind}, cosine: double>>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{added[0]}` double, `{added[1]}` int, `{added[2]}` array<struct<id: {kind}, cosine: double>>"])
     return docs.mapInArrow(run, schema)

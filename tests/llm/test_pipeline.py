@@ -51,7 +51,7 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
 
 
 def test_every_stage_but_the_last_returns_the_columns_of_documents(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3, 1, "x"), (2, None, None, None, None, 2, None)], "doc_id long, text string, lang string, source string, n_chars long, block long, kept string")
     spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for frame in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
