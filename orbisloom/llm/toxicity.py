@@ -22,6 +22,8 @@ from .common import Memo, pieces, windows
 TOXIC_EXAMPLES, CLEAN_EXAMPLES, VOCABULARY = 6000, 9000, 4000
 #: A feature is used when the likelihood-ratio statistic of its difference between the labels is at least this.
 LEAST_G2 = 25.0
+#: Blocks of the index that are read at a time.
+GROUP = 8
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, THRESHOLD = 15, 128, 1.0, 0.7
 _EDGES = ".,;:!?\"'()[]{}<>*_-"
 
@@ -83,20 +85,25 @@ class Index:
         """The k greatest cosines above 0 and their examples, by descending cosine and then example number. Exact: blocks are
         read by descending upper bound until none can hold a better one."""
         q = self.unit(counts)
-        features = sorted(q)
-        values = np.array([q[f] for f in features])
+        features = np.array(sorted(q), np.int64)
+        values = np.array([q[f] for f in features.tolist()])
         bound = values @ self.most[features]
-        blocks, best = self.most.shape[1], []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
+        blocks = self.most.shape[1]
+        order = np.argsort(-bound, kind="stable")
+        best, who = np.empty(0), np.empty(0, np.int64)
+        for g in range(0, blocks, GROUP):
+            group = order[g : g + GROUP]
+            if bound[group[0]] <= 0 or len(best) == k and bound[group[0]] < best[-1] - 1e-12:
                 break
-            score = np.zeros(self.block)
-            for f, x in zip(features, values):
-                a, z = self.starts[f * blocks + b], self.starts[f * blocks + b + 1]
-                score[self.example[a:z] - b * self.block] += x * self.weight[a:z]
-            hit = np.flatnonzero(score)
-            best = sorted([*best, *((s, b * self.block + i) for s, i in zip(score[hit].tolist(), hit.tolist()))], key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return best
+            lists = (features[:, None] * blocks + group).ravel()
+            starts, lens = self.starts[lists], self.starts[lists + 1] - self.starts[lists]
+            at = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+            scores = np.bincount(self.example[at], self.weight[at] * np.repeat(np.repeat(values, len(group)), lens), minlength=len(self.ids))
+            hit = np.flatnonzero(scores)
+            best, who = np.append(best, scores[hit]), np.append(who, hit)
+            top = np.lexsort((who, -np.round(best, 12)))[:k]
+            best, who = best[top], who[top]
+        return list(zip(best.tolist(), who.tolist()))
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
         """A vote of the neighbours, each with its cosine and the weight of its label's sampling, with the prior as one more voter."""
@@ -145,17 +152,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = single.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").cast("double").alias("c1"), F.sum(1 - F.col("y")).cast("double").alias("c0"))
     top = counts.filter(c1 + c0 < n1 + n0).select("f", g2.alias("g2")).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "f").limit(VOCABULARY).collect() if n[0] and n[1] else []
     vocabulary = {r.f: i for i, r in enumerate(top)}
-    words = F.array(*[F.lit(f) for f in vocabulary]) if len(vocabulary) < 50 else None
-    pairs = F.filter(F.arrays_zip("features", "counts"), lambda x: F.array_contains(words, x["features"])) if words is not None and vocabulary else F.arrays_zip("features", "counts")
-    rows = [(r.id, r.y, {vocabulary[x.features]: x["counts"] for x in r.pairs if x.features in vocabulary}) for r in single.select("id", "y", pairs.alias("pairs")).toLocalIterator()]  # bounded by the sample
+    numbers = docs.sparkSession.createDataFrame([(f, i) for f, i in vocabulary.items()], "f string, i int")
+    pairs = single.select("id", "y", F.explode(F.arrays_zip("features", "counts")).alias("x")).select("id", "y", F.col("x.features").alias("f"), F.col("x.counts").alias("c"))
+    vectors = pairs.join(F.broadcast(numbers), "f").groupBy("id", "y").agg(F.collect_list(F.struct("i", "c")).alias("v"))
+    held = sorted(((r.id, r.y, {x.i: x.c for x in r.v}) for r in vectors.collect()), key=lambda r: str(r[0]))  # bounded by the sample
     found.unpersist()
     single.unpersist()
     label_weight = {y: total.get(y, 0) / max(1, n[y]) for y in (0, 1)}
     mass = {y: label_weight[y] * n[y] for y in (0, 1)}
     prior = mass[1] / max(1e-9, mass[0] + mass[1])
-    blank = {y: label_weight[y] * sum(1 for _, z, v in rows if z == y and not v) for y in (0, 1)}
+    blank = {y: label_weight[y] * (n[y] - sum(1 for r in held if r[1] == y)) for y in (0, 1)}
     empty_rate = (blank[1] + prior) / (blank[0] + blank[1] + 1)
-    held = sorted((r for r in rows if r[2]), key=lambda r: str(r[0]))
     y = np.array([r[1] for r in held], np.int64)
     return vocabulary, Index([r[2] for r in held], y, [r[0] for r in held], np.array([label_weight[v] for v in y.tolist()]), len(vocabulary), empty_rate, prior)
 
