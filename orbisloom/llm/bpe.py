@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import pieces, small_batches, written
 
 #: A word of at least this share of all words is in the lexicon, so there are at most 1 / LEXICON_SHARE of them whatever the
 #: corpus; its file has a few tens of bytes for each.
@@ -498,6 +498,7 @@ def word_counts(docs: DataFrame, text_col: str, path: str) -> DataFrame:
                     yield flush()
         yield flush()
 
+    small_batches(docs.sparkSession)
     counted = docs.select(text_col).mapInArrow(count, "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -539,6 +540,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", lexicon: str | No
                     columns.append(pa.array([tool.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*others, ids_col, *([decoded_col] if decoded_col else [])])
 
+    small_batches(docs.sparkSession)
     return docs.select(*others, text_col).mapInArrow(run, schema)
 
 

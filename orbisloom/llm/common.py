@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches between the JVM and Python have at most so many rows, as rows here hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/orbisloom-{name}-{uuid.uuid4().hex}"
 
@@ -74,7 +81,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
 class Memo(dict):
     """Maps words (bytes) to a 64-bit hash, each computed once. Emptied beyond `most` entries, so memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

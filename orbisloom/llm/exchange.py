@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bytes of keys that one bucket should hold on average.
 BUCKET_BYTES = 24_000_000
 #: Documents in a block, which one task holds at a time.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 
 
 def blocks(docs: DataFrame, name: str = "block") -> DataFrame:
@@ -27,6 +29,7 @@ def blocks(docs: DataFrame, name: str = "block") -> DataFrame:
 
     Whoever uses the answers compares them in length and checksum with what the block would send, so a scan that is
     split otherwise the second time fails instead of giving wrong counts."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(name, F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).cast("long"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import WordBpe, codec
-from .common import pieces, written
+from .common import pieces, small_batches, written
 
 CAPACITY = 2048
 #: Rows that one (length, bucket) group should hold at most on average.
@@ -105,6 +105,7 @@ def tokenised_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)), pa.int32()), pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

@@ -23,7 +23,7 @@ from .common import Memo, texts_of, windows
 
 WINDOW = 35
 #: Words of documents in one shard: bounds an automaton's memory.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 
 
 def _window_hashes(texts: list[bytes], memo: Memo, window: int) -> np.ndarray:

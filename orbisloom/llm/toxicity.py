@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Memo, pieces, windows
+from .common import Memo, pieces, small_batches, windows
 
 #: At most so many training examples of each label are used (those with the smallest hash of the id), and so many features.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES, VOCABULARY = 6000, 9000, 4000
@@ -176,6 +176,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text, are never inputs of a score. An empty table stays empty.
     """
     vocabulary, index = fit(docs, labels, id_col, text_col, label_col)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, index))  # bounded: VOCABULARY features, a bounded sample of examples
     names, at = docs.columns, docs.columns.index(text_col)
     kind = docs.schema[id_col].dataType.simpleString()

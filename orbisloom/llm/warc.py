@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_groups
+from .common import cut, join_groups, small_batches
 
 #: A file is closed once it has this many compressed bytes.
 ROLL_BYTES = 32_000_000
@@ -109,6 +109,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
             close()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done) if done else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "records", "bytes", "sha256"])
 
+    small_batches(spark, 500)
     ranged.mapInArrow(write, "file string, records long, bytes long, sha256 string").write.parquet(f"{out}/manifest")
     return spark.read.parquet(f"{out}/manifest")
 
