@@ -20,6 +20,8 @@ from .common import Memo, cut, join_groups, mixed, small_batches, texts_of, wind
 SHINGLE, SIMILARITY = 5, 0.8
 #: k coordinates in BANDS bands of ROWS: at similarity 0.8 a pair shares no band once in 2e7 times.
 BANDS, ROWS = 32, 4
+#: A block of a pivot's members has about so many members and shingles at most.
+BLOCK, BLOCK_SHINGLES = 512, 150_000
 #: Cumulative probabilities of 0, 1, 2 ... darts where one is expected (Poisson), scaled to 2^53.
 _POISSON = np.cumsum([np.exp(-1.0) / x for x in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800)])
 
@@ -110,16 +112,17 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles binary) from (node, text)."""
+    """(node, size, shingles binary) from (node, text)."""
 
     def run(batches):
         memo = Memo()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingles(t, memo).tobytes() for t in texts_of(part.column("text"))], pa.binary())], ["node", "shingles"])
+                found = [shingles(t, memo) for t in texts_of(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "size", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, size long, shingles binary")
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,6 +165,93 @@ def components(edges: DataFrame) -> DataFrame:
         total = tuple(state)
 
 
+def dealt_cells(members: DataFrame, similarity: float) -> DataFrame:
+    """Deals (pivot, node, mask, d, root, size) to cells: adds `cell`, and `side` (1, 2 or both, 3). Every two of a pivot's
+    members that differ in root meet in a cell, except where their distances d from the pivot say that they can't be similar.
+
+    A pivot with few members has one cell. Else its members form blocks by root (small roots together) and distance, which
+    are dealt on by a hash, and two blocks make a cell; so no cell is large, and none has two blocks of one root."""
+    total = members.count()
+    pivots = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").drop("lo", "hi")
+    open_ = cut(join_groups(members, cut(pivots), "pivot", "n", total).filter("n is not null"))
+    fits = (F.col("n") <= BLOCK) & (F.col("s") <= BLOCK_SHINGLES)
+    few = open_.filter(fits).withColumn("cell", F.struct("pivot", F.lit(0).alias("x"), F.lit(0).alias("y"))).withColumn("side", F.lit(3))
+    many = open_.filter(~fits).drop("n", "s").withColumn("key", F.struct("pivot", "root"))
+    own = many.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= BLOCK).withColumn("own", F.lit(True))
+    many = join_groups(many, cut(own), "key", "m", total)
+    part = F.struct("pivot", F.when(F.col("own"), F.col("root")).alias("root"), F.floor(F.col("d") / (1 - similarity + 1e-9)).alias("bin"))
+    many = cut(many.withColumn("part", part).drop("key", "own", "m"))
+    parts = many.groupBy("part").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
+    parts = cut(parts.select("part", "m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("k")))
+    many = join_groups(many, parts, "part", "m", total).withColumn("block", F.struct("part", F.pmod(F.xxhash64("node"), F.col("k")).alias("j"))).drop("part", "m", "k")
+    blocks = parts.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j")).select(F.col("part.pivot").alias("pivot"), F.struct("part", "j").alias("block"))
+    numbered = blocks.groupBy("pivot").agg(F.array_sort(F.collect_set("block")).alias("all")).select("pivot", F.posexplode("all").alias("x", "block"))  # a row per block, not per member
+    numbered = cut(numbered)
+    other = numbered.select("pivot", F.col("x").alias("y"), F.col("block").alias("other"))
+    apart = ~F.coalesce(F.col("block.part.root") == F.col("other.part.root"), F.lit(False))
+    cells = numbered.join(other, "pivot").filter((F.col("x") <= F.col("y")) & apart & (F.abs(F.col("block.part.bin") - F.col("other.part.bin")) <= 1))
+    cells = cut(cells.select("block", "other", F.struct("pivot", "x", "y").alias("cell")))
+    sides = cells.select("block", "cell", F.when(F.col("cell.x") == F.col("cell.y"), 3).otherwise(1).alias("side"))
+    sides = sides.union(cells.filter("cell.x < cell.y").select("other", "cell", F.lit(2)))
+    names = ["node", "mask", "d", "root", "size", "cell", "side"]
+    return few.select(names).union(many.join(sides, "block").select(names))
+
+
+def links_of_cell(table: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): roots that the cell's similar pairs of members link, as few as connect the same roots."""
+    node, mask, d, root, size, side = (table.column(c).to_numpy() for c in ("node", "mask", "d", "root", "size", "side"))
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+    a, b = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    pair = node[a][:, None] < node[b] if (side == 3).any() else np.ones((len(a), len(b)), bool)
+    pair &= (root[a][:, None] != root[b]) & (np.abs(d[a][:, None] - d[b]) <= 1 - similarity + 1e-9)
+    pair &= np.minimum(size[a][:, None], size[b]) >= (similarity - 1e-9) * np.maximum(size[a][:, None], size[b])
+    seen, mine = np.zeros_like(pair), np.zeros_like(pair)
+    for k in range(BANDS):  # a pair belongs to the pivot of the first band that it shares
+        equal = bands[a, k][:, None] == bands[b, k]
+        mine |= equal & ~seen & (mask[a] >> k & 1).astype(bool)[:, None]
+        seen |= equal
+    x, y = np.nonzero(pair & mine)
+    x, y = a[x], b[y]
+    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()] if len(x) else []
+    if len(x) <= 200:
+        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y)], np.int64)
+    else:
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1
+        keep = times[word] > 1
+        owner, word = owner[keep], number[word[keep]]
+        order = np.argsort(word, kind="stable")
+        owner, word = owner[order], word[order]
+        common = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, int(word[-1]) + 1 if len(word) else 0, 4096):
+            lo, hi = np.searchsorted(word, [at, at + 4096])
+            tile = np.zeros((len(sets), 4096), np.float32)
+            tile[owner[lo:hi], word[lo:hi] - at] = 1
+            common += tile[a] @ tile[b].T
+        both = common[np.searchsorted(a, x), np.searchsorted(b, y)].astype(np.int64)
+    near = both / np.maximum(1, size[x] + size[y] - both) >= similarity if len(x) else np.zeros(0, bool)
+    up, links = {}, []
+
+    def top(i):
+        while i in up:
+            i = up[i]
+        return i
+
+    for i, j in {*zip(root[x[near]].tolist(), root[y[near]].tolist())}:
+        u, v = sorted((top(i), top(j)))
+        if u != v:
+            up[v] = u
+            links.append((u, v))
+    return pa.table({"a": pa.array([u for u, _ in links], pa.int64()), "b": pa.array([v for _, v in links], pa.int64())})
+
+
+def compared_cells(cells: DataFrame, sets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between roots from all cells. A set is sent once for each cell that needs it."""
+    rows = cells.join(sets.select("node", "shingles"), "node").join(classes.select("node", "bands"), "node")
+    return rows.groupBy("cell").applyInArrow(lambda table: links_of_cell(table, similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: id, class_id (the smallest id of its group), class_size, kept (whether it is that document).
 
@@ -171,53 +261,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     paired. A null id is its class's id only where the class has no other; rows that repeat an id share its decision.
     Columns other than the two named are ignored; an empty table gives an empty result.
 
-    Candidates share a band. In each band's bucket the members are compared with one of them, the pivot, and only where
-    the two aren't in one group yet. The pivot is the smallest, so the buckets of a large group share a few. Members that
-    are far from their pivot and still in another group then get a pivot of their own; and one whose distance from the pivot is at most twice 1 - similarity may be linked with a
-    member of the pivot's group (the distance is a metric), so it is compared with those in its bucket. Two documents
-    meet unless others keep them apart in every bucket that they share, 13 of 32 on average at similarity 0.8.
+    Candidates share a band. In each band's bucket all members are compared with one of them, the pivot. The pivot is the
+    smallest, so the buckets of a large group share a few. Then all pairs of a bucket's members are compared that are still
+    in different groups, in cells of two blocks of members of a pivot. Left out are only pairs that can't be similar: by
+    their sizes, or as their distances from the pivot differ by more than 1 - similarity (the distance is a metric). So
+    two documents at `similarity` are missed only where they share no band.
     """
     rows = written(signed(docs, id_col, text_col), "signed")
     classes = cut(rows.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")).withColumnRenamed("same", "node"))
     spread = classes.filter(F.size("bands") > 0).select("node", F.posexplode("bands").alias("band", "h"))
     shared = spread.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).filter("m > 1").drop("m")
-    members = written(spread.join(shared, "h").select("h", "node", "pivot"), "members")
-    pairs = cut(members.filter("node <> pivot").select("node", "pivot").distinct())
-    ids = members.select("node").distinct().join(classes.select("node", "rep"), "node")
+    pairs = spread.join(shared, "h").filter("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
+    pairs = cut(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep"), "node")
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
     sets = written(shingle_sets(texts.join(ids, texts["rep"].eqNullSafe(ids["rep"])).select("node", "text")).dropDuplicates(["node"]), "shingles")
 
-    roots = links = checked = None
-
-    def apart(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        """Pairs whose two sides aren't in one group, with their roots."""
-        pairs = pairs.join(roots.select(F.col("node").alias(a), F.col("root").alias("ra")), a, "left")
-        pairs = pairs.join(roots.select(F.col("node").alias(b), F.col("root").alias("rb")), b, "left")
-        pairs = pairs.withColumn("ra", F.coalesce("ra", a)).withColumn("rb", F.coalesce("rb", b))
-        return pairs.filter("ra <> rb")
-
-    def compare(pairs: DataFrame) -> None:
-        """Checks (node, pivot) pairs, keeps what was found and brings the groups up to date."""
-        nonlocal roots, links, checked
-        new = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        new = cut(similarities(new, sets))
-        checked = new if checked is None else checked.union(new)
-        found = new.filter(F.col("similarity") >= similarity).select("a", "b")
-        if roots is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = cut(components(links))
-
-    compare(pairs)
-    late = cut(members.join(apart(pairs, "node", "pivot").select("node", "pivot"), ["node", "pivot"]).select("h", "node", "pivot"))
-    again = late.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("h", "node"), "node"))["node"].alias("pivot")).filter("m > 1").drop("m")
-    compare(apart(late.select("h", "node").join(again, "h").filter("node <> pivot").select("node", "pivot").distinct(), "node", "pivot"))
-    near = apart(late, "node", "pivot").withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot"))
-    near = near.join(checked.filter(F.col("similarity") >= 1 - 2 * (1 - similarity) - 1e-9).select("a", "b").distinct(), ["a", "b"]).select("h", "node", "rb")
-    if not near.isEmpty():
-        grouped = members.join(near.select("h").distinct(), "h", "left_semi").join(roots, "node").select("h", F.col("node").alias("pivot"), F.col("root").alias("rb"))
-        compare(apart(near.join(grouped, ["h", "rb"]).select("node", "pivot").distinct(), "node", "pivot"))
+    checked = cut(similarities(pairs, sets))
+    roots = cut(components(checked.filter(F.col("similarity") >= similarity).select("a", "b")))
+    members = checked.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "mask", (1 - F.col("similarity")).alias("d"))
+    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets.select("node", "size"), "node")
+    more = cut(compared_cells(dealt_cells(cut(members), similarity), sets, classes, similarity))
 
     found = classes.join(roots, "node", "left").select("node", "rep", "n", F.coalesce("root", "node").alias("root"))
+    if not more.isEmpty():
+        found = cut(found)
+        moved = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        moved = cut(moved.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root"))
+        found = join_groups(found, moved, "root", "m", found.count()).select("node", "rep", "n", F.coalesce("top", "root").alias("root"))
     total = found.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
     found = cut(found.join(total, "root").select(F.col("node").alias("same"), "n", "class_id", "class_size"))
     out = join_groups(rows.select("id", "same"), found, "same", "n", rows.count())

@@ -114,6 +114,40 @@ def test_near_duplicates(spark, docs, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_one_template(spark):
+    r = np.random.default_rng(21)
+    template = vary(22, 600).split()
+
+    def edited(k, spots):
+        return " ".join(f"x{k}y{i}" if i in spots else w for i, w in enumerate(template))
+
+    def spots(n):
+        return {int(i) for i in r.choice(600, n, replace=False)}
+
+    rows = [(k, edited(k, spots(9))) for k in range(940)]
+    for k in range(940, 1000, 2):  # planted: three edits in common and six of each one's own
+        shared, own = spots(3), (spots(6), spots(6))
+        rows += [(k + z, " ".join(f"s{k}s{i}" if i in shared else f"x{k + z}y{i}" if i in own[z] else w for i, w in enumerate(template))) for z in (0, 1)]
+    sets = [brute.shingles(t) for _, t in rows]
+    number = {}
+    owner, word = zip(*((k, number.setdefault(x, len(number))) for k, s in enumerate(sets) for x in s))
+    owner, word = np.array(owner), np.array(word)
+    times = np.bincount(word)
+    place = np.cumsum(times > 1) - 1
+    m = np.zeros((1000, int(place[-1]) + 1), np.float32)
+    m[owner[times[word] > 1], place[word[times[word] > 1]]] = 1
+    both = m @ m.T
+    n = np.array([len(s) for s in sets])
+    near = both / (n[:, None] + n - both) >= 0.8
+    assert near[range(940, 1000, 2), range(941, 1000, 2)].sum() >= 25 and 0.7 < np.median(both / (n[:, None] + n - both)) < 0.8
+    want = list(range(1000))
+    for a, b in zip(*np.nonzero(np.triu(near, 1))):
+        x, y = sorted((want[a], want[b]))
+        want = [x if w == y else w for w in want]
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(0)
     a = r.integers(1, 2**63, 300).astype(np.uint64)
