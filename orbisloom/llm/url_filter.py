@@ -62,7 +62,7 @@ def generalised(paths: DataFrame) -> DataFrame:
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest)))
         different = F.coalesce((F.col("labelled") > 0) & (rest > 0) & (error > 0) & (F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest)) > SIMILAR_Z * error), F.lit(False))
         rare = (F.col("children") > MOST_CHILDREN) & (F.col("n") < RARE * F.col("pn"))
-        named = children.join(parents, ["host", "template"]).select("host", "template", "seg", F.when(~rare & ((F.col("children") == 1) | different), F.col("seg")).otherwise("*").alias("name"))
+        named = children.join(parents, ["host", "template"]).select("host", "template", "seg", F.when(different | (~rare & (F.col("children") == 1)), F.col("seg")).otherwise("*").alias("name"))
         now = now.join(named, ["host", "template", "seg"], "left")
         now = cut(now.withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name")))).drop("seg", "name"))
     return now

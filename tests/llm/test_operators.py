@@ -296,6 +296,16 @@ def test_bad_branch_is_told_from_good_ones(spark):
     assert {(r.template, r.verdict) for r in got} == {("/bad/*", "block"), ("/good/*", "allow")}
 
 
+def test_bad_section_of_a_wide_host_is_told_from_good_ones(spark):
+    rows = [(i, f"http://wide.com/{''.join(chr(97 + int(c)) for c in str(i % 30))}/{i}") for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 30 == 7)) for i in range(1800)], "id long, bad int")
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(7, 3000, 30))
+    alike = spark.createDataFrame([(i, int(i // 30 % 4 == 0)) for i in range(1800)], "id long, bad int")
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), alike).collect()
+    assert {r.template for r in got} == {"/*/*"}  # sections that the labels can't tell apart stay one
+
+
 def test_toxicity(spark, docs, none):
     r = np.random.default_rng(5)
     rows = []
