@@ -12,8 +12,6 @@ from .common import ascii_lower, cut, join_groups
 
 #: Fixed rules of the registered query: (host and path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Segments below this depth don't tell templates apart.
-DEPTH = 6
 #: A parent with more children than this makes those with less than RARE of its pages a wildcard.
 MOST_CHILDREN, RARE = 16, 0.05
 #: Children whose share of bad pages is within this many standard errors of their siblings' are merged.
@@ -44,45 +42,65 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The path's first DEPTH segments with what plainly varies made a wildcard: runs of digits, long hexadecimal names."""
-    parts = F.slice(F.array_remove(F.split(path, "/"), ""), 1, DEPTH)
+    """The path's segments with what plainly varies made a wildcard: runs of digits, long hexadecimal names."""
+    parts = F.array_remove(F.split(path, "/"), "")
     return F.transform(parts, lambda s: F.when(s.rlike("^[0-9a-fA-F-]{12,}$"), F.lit("*")).otherwise(F.regexp_replace(s, "[0-9]+", "*")))
 
 
 def generalised(paths: DataFrame) -> DataFrame:
-    """Adds `template` (array) to (host, segments, n, labelled, bad): level by level, rare children of a parent with many and
-    children that are like their siblings become `*`. Parents are aggregated, never gathered."""
-    now = paths.withColumn("template", F.array().cast("array<string>"))
-    for d in range(DEPTH):
+    """Adds `template` and `tail` (arrays) to (key, host, segments, n, labelled, bad): level by level, rare children of a parent
+    with many and children that are like their siblings become `*`. Parents are aggregated, never gathered.
+
+    A path that is the only one to go on below its parent keeps its further segments, which are its tail: each is an only child."""
+    none = F.array().cast("array<string>")
+    now, done, d = paths.withColumn("template", none), None, 0
+    names = now.columns
+    while True:
+        ended = now.filter(F.size("segments") <= d).withColumn("tail", none)
+        done = ended if done is None else done.union(ended)
+        now = now.filter(F.size("segments") > d)
+        if now.isEmpty():
+            return cut(done)
         now = now.withColumn("seg", F.get("segments", F.lit(d)))
-        children = cut(now.filter(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad"))))
-        parents = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("pn"), F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"))
+        children = cut(now.groupBy("host", "template", "seg").agg(F.count(F.lit(1)).alias("paths"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad"))))
+        parents = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("paths").alias("pp"), F.sum("n").alias("pn"), F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"))
         rest, rest_bad = F.col("pl") - F.col("labelled"), F.col("pb") - F.col("bad")
         pooled = F.try_divide("pb", "pl")
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest)))
         different = F.coalesce((F.col("labelled") > 0) & (rest > 0) & (error > 0) & (F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest)) > SIMILAR_Z * error), F.lit(False))
         rare = (F.col("children") > MOST_CHILDREN) & (F.col("n") < RARE * F.col("pn"))
-        named = children.join(parents, ["host", "template"]).select("host", "template", "seg", F.when(different | (~rare & (F.col("children") == 1)), F.col("seg")).otherwise("*").alias("name"))
-        now = now.join(named, ["host", "template", "seg"], "left")
-        now = cut(now.withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name")))).drop("seg", "name"))
-    return now
+        named = children.join(parents, ["host", "template"]).select("host", "template", "seg", "pp", F.when(different | (~rare & (F.col("children") == 1)), F.col("seg")).otherwise("*").alias("name"))
+        now = cut(now.join(named, ["host", "template", "seg"]))
+        done = done.union(now.filter("pp = 1").select(*names, F.slice("segments", d + 1, F.size("segments")).alias("tail")))
+        now = now.filter("pp > 1").withColumn("template", F.concat("template", F.array("name"))).select(*names)
+        d += 1
 
 
 def template_shares(paths: DataFrame) -> DataFrame:
     """(host, template, share): the share of bad pages among a template's labelled ones, smoothed towards its parent's, the
     host's and at last that of all hosts."""
     total = paths.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 1.0)).first()[0]
-    shares = None
-    for d in range(DEPTH + 1):
+    shares = level = None
+    d = 0
+    while True:
         nodes = paths.filter(F.size("template") >= d).groupBy("host", F.slice("template", 1, d).alias("template")).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         if d == 0:
             nodes = nodes.withColumn("up", F.lit(total))
         else:
-            above = shares.filter(F.size("template") == d - 1).select("host", F.col("template").alias("parent"), F.col("share").alias("up"))
+            above = level.select("host", F.col("template").alias("parent"), F.col("share").alias("up"))
             nodes = nodes.withColumn("parent", F.slice("template", 1, d - 1)).join(above, ["host", "parent"]).drop("parent")
-        nodes = nodes.select("host", "template", ((F.col("bad") + SMOOTHING * F.col("up")) / (F.col("labelled") + SMOOTHING)).alias("share"))
-        shares = cut(nodes if shares is None else shares.union(nodes))
-    return shares
+        level = cut(nodes.select("host", "template", ((F.col("bad") + SMOOTHING * F.col("up")) / (F.col("labelled") + SMOOTHING)).alias("share")))
+        shares = level if shares is None else shares.union(level)
+        if level.isEmpty():
+            return shares
+        d += 1
+
+
+def below(share: Column) -> Column:
+    """A path's share after the smoothing of each segment of its tail: all of them have the path's own counts."""
+    own = F.try_divide("bad", "labelled")
+    left = F.pow(SMOOTHING / (F.col("labelled") + SMOOTHING), F.size("tail"))
+    return F.when((F.size("tail") == 0) | (F.col("labelled") == 0), share).otherwise(own + (share - own) * left)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -101,7 +119,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_
     tagged = rows.join(known, "id", "left")
     paths = cut(tagged.groupBy("key", "host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
     paths = generalised(paths)
-    templates = paths.join(template_shares(paths), ["host", "template"]).select("key", "n", F.concat(F.lit("/"), F.concat_ws("/", "template")).alias("template"), "share")
+    full = F.concat(F.lit("/"), F.concat_ws("/", F.concat("template", "tail")))
+    templates = paths.join(template_shares(paths), ["host", "template"]).select("key", "n", full.alias("template"), below(F.col("share")).alias("share"))
     out = join_groups(rows, cut(templates), "key", "n", rows.count())
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     by_rule = F.lit(None).cast("string")

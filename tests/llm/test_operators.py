@@ -306,6 +306,17 @@ def test_bad_section_of_a_wide_host_is_told_from_good_ones(spark):
     assert {r.template for r in got} == {"/*/*"}  # sections that the labels can't tell apart stay one
 
 
+def test_branches_below_many_segments_are_told_apart(spark):
+    rows = [(i, f"http://deep.com/a/b/c/d/e/f/g/{'bad' if i % 2 else 'good'}/{i}") for i in range(200)] + [(999, "http://one.com/a/b/c/d/e/f/g/h/i")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(999, 1)], "id long, bad int")
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert {(got[i].template, got[i].verdict) for i in range(200)} == {("/a/b/c/d/e/f/g/bad/*", "block"), ("/a/b/c/d/e/f/g/good/*", "allow")}
+    share = 51.5 / 102
+    for _ in range(10):  # the host and nine segments, each smoothed towards the one above
+        share = (1 + 5 * share) / 6
+    assert got[999].template == "/a/b/c/d/e/f/g/h/i" and got[999].share == pytest.approx(share, abs=1e-8)
+
+
 def test_toxicity(spark, docs, none):
     r = np.random.default_rng(5)
     rows = []
