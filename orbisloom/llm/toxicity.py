@@ -158,7 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     held = sorted(((r.id, r.y, {x.i: x.c for x in r.v}) for r in vectors.collect()), key=lambda r: str(r[0]))  # bounded by the sample
     found.unpersist()
     single.unpersist()
-    label_weight = {y: total.get(y, 0) / max(1, n[y]) for y in (0, 1)}
+    # 1 on average over the examples, so that they stand to the prior's one vote alike on tables of any size
+    scale = max(1, n[0] + n[1]) / max(1, total.get(0, 0) + total.get(1, 0))
+    label_weight = {y: scale * total.get(y, 0) / max(1, n[y]) for y in (0, 1)}
     mass = {y: label_weight[y] * n[y] for y in (0, 1)}
     prior = mass[1] / max(1e-9, mass[0] + mass[1])
     blank = {y: label_weight[y] * (n[y] - sum(1 for r in held if r[1] == y)) for y in (0, 1)}

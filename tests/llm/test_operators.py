@@ -337,6 +337,21 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(docs, labels.limit(0)).count() == len(ROWS)
 
 
+def test_toxicity_scores_do_not_grow_with_the_labelled_table(spark):
+    rows = []
+    for i in range(300):
+        words = vary(3000 + i, 40).split()
+        if i % 3 == 0:
+            words[i % 40], words[(i + 9) % 40] = ("vilest", "rottenest", "foulish")[i // 3 % 3], "foulish"
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    new = {z: iter([j for j in range(1000, 40000) if (brute.crc(j, 3) == 1) == z]) for z in (False, True)}
+    more = rows + [(next(new[brute.crc(i, 3) == 1]), t, y) for _ in range(19) for i, t, y in rows]
+    few, many = (spark.createDataFrame(x, "doc_id long, text string, toxic int").repartition(3).cache() for x in (rows, more))
+    a, b = ({r.doc_id: r.toxic_score for r in toxicity.score(x.select("doc_id", "text"), x.select("doc_id", "toxic")).filter("doc_id < 300").collect()} for x in (few, many))
+    assert len(a) == len(b) == 300 and max(a.values()) > 0.5
+    assert max(abs(a[i] - b[i]) for i in a) < 0.01
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(2)
     vectors = [{int(f): int(r.integers(1, 5)) for f in r.choice(30, r.integers(1, 8), replace=False)} for _ in range(500)]
