@@ -1,81 +1,117 @@
-"""Counting 64-bit keys over a whole corpus and handing each block of documents the counts of its own keys.
+"""Blocks of documents as rows, and the counts over a whole corpus of the 56-bit keys that each block holds.
 
-Documents are read in blocks (runs of rows of the scan). A block sends each distinct key once, with its local count,
-as sorted arrays in a row per bucket; a bucket merges the arrays of all blocks and answers each of them with an array in
-the order that it sent. So a key that is everywhere costs a block one entry, buckets hold like shares of distinct keys,
-and rows stay few: numpy does the merging, Spark the dealing out.
+A corpus is written once as a table with a row per block: some megabytes of text, coded as arrays. Whatever follows reads
+that table, so a block is the same in every pass and on every retry, however the scan was split.
+
+A block asks for its distinct keys with their local counts, as sorted arrays in a row per bucket of keys; a bucket adds
+up the counts of all blocks and answers each of them in the order that it sent. So a key that is everywhere costs a block
+one entry, and numpy does the merging, Spark the dealing out. A block sends rows for those buckets only in which it has
+keys, so there are never more rows than distinct keys of blocks, whatever the numbers of blocks and buckets.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import pieces, small_batches, written
 
+#: Bytes of text in a block; a longer document is a block of its own.
+BLOCK_BYTES = 8_000_000
 #: Bytes of keys that one bucket should hold on average.
-BUCKET_BYTES = 24_000_000
-#: Documents in a block, which one task holds at a time.
-BLOCK_ROWS = 2048
-
+BUCKET_BYTES = 16_000_000
 
-def blocks(docs: DataFrame, name: str = "block") -> DataFrame:
-    """Adds the block number: BLOCK_ROWS consecutive rows of a scan partition, the same for every run over the same files
-    and settings.
 
-    Whoever uses the answers compares them in length and checksum with what the block would send, so a scan that is
-    split otherwise the second time fails instead of giving wrong counts."""
-    small_batches(docs.sparkSession)
-    return docs.withColumn(name, F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).cast("long"))
+def pack_bytes(data) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
-def block_runs(batches, name: str = "block"):
-    """(block, its record batches), one block after the other."""
-    held, now = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        numbers = batch.column(name).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.diff(numbers, prepend=numbers[0] - 1))
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(numbers)]):
-            if now is not None and numbers[a] != now:
-                yield now, held
-                held = []
-            now = int(numbers[a])
-            held.append(batch.slice(a, b - a))
-    if now is not None:
-        yield now, held
+def unpack_bytes(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-def buckets_for(text_bytes: int, share: float) -> int:
-    """Buckets for about text_bytes * share bytes of keys."""
-    return max(8, int(text_bytes * share / BUCKET_BYTES) + 1)
+def pack_array(a: np.ndarray) -> bytes:
+    return pack_bytes(np.ascontiguousarray(a).tobytes())
 
 
-def text_bytes(docs: DataFrame, text_col: str) -> int:
-    return docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-
+def unpack_array(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(unpack_bytes(data), kind)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, each in as many bytes as the largest of them needs."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    width = data[0]
+    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(raw) + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = raw
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def block_table(docs: DataFrame, passed: list[str], text_col: str, encode: Callable, fields: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A written table with a row per block: block, n_bytes, rows (structs of the passed columns, a struct per document)
+    and the binary columns that `fields` names, which encode(texts, rows) returns as a list.
+
+    A block holds consecutive documents of a scan partition, block_bytes of text or one longer document.
+    """
+    extra = [f.strip().split()[0] for f in fields.split(",")]
+    kinds = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in passed)
+
+    def run(batches):
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def row():
+            table = pa.Table.from_batches(held).combine_chunks()
+            data = table.column("__text").cast(pa.large_binary()).to_pylist()
+            structs = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in passed], passed)
+            columns = [pa.array([(part << 33) + number], pa.int64()), pa.array([size], pa.int64())]
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(structs)], pa.int32()), structs))
+            columns += [pa.array([x], pa.binary()) for x in encode(data, table)]
+            return pa.RecordBatch.from_arrays(columns, ["block", "n_bytes", "rows", *extra])
+
+        for batch in batches:
+            for piece in pieces(batch, "__text", block_bytes):
+                n = pc.sum(pc.binary_length(piece.column("__text").cast(pa.large_binary()))).as_py() or 0
+                if held and size + n > block_bytes:
+                    yield row()
+                    held, size, number = [], 0, number + 1
+                held.append(piece)
+                size += n
+        if held and sum(x.num_rows for x in held):
+            yield row()
 
-def pack_array(a: np.ndarray, level: int = 1) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).tobytes(), level)
+    small_batches(docs.sparkSession)
+    source = docs.select(*passed, F.col(text_col).alias("__text"))
+    return written(source.mapInArrow(run, f"block long, n_bytes long, rows array<struct<{kinds}>>, {fields}"), name)
 
 
-def unpack_array(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
+def buckets_for(key_bytes: float) -> int:
+    return int(key_bytes / BUCKET_BYTES) + 1
 
 
 def bucket_of(keys: np.ndarray, count: int) -> np.ndarray:
     """By the high bits, so that sorted keys come in bucket order."""
-    return ((keys >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+    return ((keys >> np.uint64(24)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
-def cuts(keys: np.ndarray, count: int) -> np.ndarray:
-    """Where each bucket begins and ends in sorted keys."""
-    return np.searchsorted(bucket_of(keys, count), np.arange(count + 1))
+def parts(keys: np.ndarray, count: int) -> tuple[list[int], list[int]]:
+    """The buckets in which sorted keys fall, and where each begins in them (with the end)."""
+    bucket = bucket_of(keys, count)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return bucket[starts].tolist(), [*starts.tolist(), len(keys)]
 
 
 REQUEST = "block long, bucket int, keys binary, counts binary"
@@ -83,52 +119,47 @@ REQUEST = "block long, bucket int, keys binary, counts binary"
 
 def request(block: int, keys: np.ndarray, counts: np.ndarray, count: int) -> pa.RecordBatch:
     """Rows for a block's sorted distinct keys and their local counts (up to 2^31)."""
-    at = cuts(keys, count)
-    rows = [(b, keys[x:y].tobytes(), pack_array(counts[x:y].astype(np.int32))) for b, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if y > x]
-    n = len(rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block] * n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-        ["block", "bucket", "keys", "counts"],
-    )
+    buckets, at = parts(keys, count)
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    columns = (
+        [block] * len(buckets),
+        buckets,
+        [pack_keys(keys[x:y]) for x, y in zip(at[:-1], at[1:])],
+        [pack_array(counts[x:y].astype(np.int32)) for x, y in zip(at[:-1], at[1:])],
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "bucket", "keys", "counts"])
+
 
+def answered(requests: DataFrame, answer: Callable, total: Callable | None = None) -> DataFrame:
+    """For every request row one row (block, bucket, answer): answer(keys, counts over all blocks) gives an array over the
+    bucket's distinct keys, of which each block gets the entries of its own keys.
 
-def answered(requests: DataFrame, answer, schema: str = "block long, bucket int, checksum long, answer binary", partitions: int | None = None) -> DataFrame:
-    """For every request row one row (block, bucket, checksum, answer): answer(keys, counts of all blocks) gives an array
-    over the bucket's distinct keys, of which each block gets the entries of its own keys."""
+    With total(keys, counts), an integer array, each bucket also gives a row of block -1 with that array."""
 
     def merge(table: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "checksum": pa.array([], pa.int64()), "answer": pa.array([], pa.binary())})
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
         counts = np.concatenate([unpack_array(x, np.int32) for x in table.column("counts").to_pylist()])
+        ends = np.cumsum([len(k) for k in keys]).tolist()
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, counts, minlength=len(distinct)).astype(np.int64)
+        sizes = [len(k) for k in keys]
+        del keys
+        sums = np.bincount(inverse, counts, minlength=len(distinct)).astype(np.int64)
         del counts
-        values = answer(distinct, total)[inverse]
-        ends = np.cumsum([len(k) for k in keys])
-        return pa.table({
-            "block": table.column("block"), "bucket": table.column("bucket"), "checksum": pa.array([checksum(k) for k in keys], pa.int64()),
-            "answer": pa.array([pack_array(values[e - len(k) : e]) for e, k in zip(ends.tolist(), keys)], pa.binary()),
-        })
-
-    return requests.groupBy("bucket").applyInArrow(merge, schema)
-
+        values = answer(distinct, sums)[inverse]
+        rows = [pack_array(values[e - n : e]) for e, n in zip(ends, sizes)]
+        blocks, buckets = table.column("block").to_pylist(), table.column("bucket").to_pylist()
+        if total:
+            rows.append(np.asarray(total(distinct, sums), np.int64).tobytes())
+            blocks, buckets = [*blocks, -1], [*buckets, buckets[0]]
+        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array(buckets, pa.int32()), "answer": pa.array(rows, pa.binary())})
 
-def checksum(keys: np.ndarray) -> int:
-    return int(np.bitwise_xor.reduce(keys).view(np.int64)) if len(keys) else 0
+    return requests.groupBy("bucket").applyInArrow(merge, "block long, bucket int, answer binary")
 
 
 def read_answers(table: pa.Table, keys: np.ndarray, count: int, kind) -> np.ndarray:
-    """A block's answers in the order of its sorted distinct keys; fails when these are not the keys that it sent."""
-    out, at = np.zeros(len(keys), kind), cuts(keys, count)
-    seen = 0
-    for bucket, check, answer in zip(table.column("bucket").to_pylist(), table.column("checksum").to_pylist(), table.column("answer").to_pylist()):
-        part = slice(at[bucket], at[bucket + 1])
-        values = unpack_array(answer, kind)
-        if checksum(keys[part]) != check or len(values) != part.stop - part.start:
-            raise ValueError("the input was split into other blocks than before; write it to a table first")
-        out[part] = values
-        seen += len(values)
-    if seen != len(keys):
-        raise ValueError("the input was split into other blocks than before; write it to a table first")
-    return out
+    """A block's answers in the order of its sorted distinct keys; an answer that is missing fails the query."""
+    buckets, at = parts(keys, count)
+    found = dict(zip(table.column("bucket").to_pylist(), table.column("answer").to_pylist()))
+    if found.keys() != set(buckets):
+        raise ValueError("a bucket's answer is missing")
+    return np.concatenate([unpack_array(found[b], kind) for b in buckets]) if buckets else np.empty(0, kind)

@@ -1,36 +1,38 @@
-"""Language-model scoring with a weighted backoff automaton over smoothed bigrams.
+"""Language-model scoring with a weighted backoff automaton over smoothed trigrams.
 
-States are words (and the text's beginning), arcs are the bigrams that training texts have at least MIN_COUNT times, and
-each state has a failure arc, of a weight of its own, to the root, which knows every word. A text is read once from left
-to right: at each token the automaton takes the state's arc, or the failure arc and then the root's, adds up the log
-weights and stands in the token's state.
+States are the contexts that training texts have: the root, one word (or the text's beginning), and two words. A state's
+arcs are the words that followed it, each with the smoothed log probability; every other word takes the state's failure
+arc, which has a weight of its own, to the state without the context's first word, and at last to the root, which knows
+every word. A text is read once from left to right: the automaton stands in one state, takes an arc at each token, after
+as many failure arcs as it needs, adds up their weights and carries on from where the arc leads.
 
 The automaton grows with the corpus, so nobody holds it whole: a block of documents counts its own n-grams, buckets of
-n-grams add up the counts of all blocks and answer each block for what it asked, and the block compiles those answers
-into the part of the automaton that its own texts can reach (exchange.py).
+n-grams add up the counts of all blocks and answer each block for what it asked (exchange.py), and the block compiles
+the answers into the part of the automaton that its own texts can reach.
 
-Probabilities (c: training counts, N tokens, V distinct ones): root P(w) = (c(w) + 1) / (N + V + 1), which leaves one
-share for all unknown words; with h before it P(w | h) = max(c(hw) - D, 0) / c(h) + b(h) P(w), the first term only for
-kept bigrams, and b(h) what they leave over. So the probabilities that follow any h add up to one.
+Probabilities (c: training counts, N tokens, V distinct ones): P(w) = (c(w) + 1) / (N + V + 1), which leaves one share for
+all unknown words; P(w | v) = (c(vw) + K P(w)) / (c(v) + K); P(w | uv) = (c(uvw) + K P(w | v)) / (c(uv) + K). So the
+failure arc of a context h weighs K / (c(h) + K), and what follows any context adds up to one. All n-grams count,
+those seen once too.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import Memo, mixed, texts_of, written
+from .common import mixed, written
 
-#: Bigrams seen less often in training texts are left to the failure arcs.
-MIN_COUNT = 2
-DISCOUNT = 0.75
-#: Hashes of the token that ends a text and of the state in which it begins; no word hashes a line end.
-END, BEGIN = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
-_LOW48 = np.uint64(2**48 - 1)
+#: K: the weight of the shorter context, in tokens.
+BACKOFF = 2.0
+#: Places of a text's end and beginning among a block's words; their names can't be words, which hold no line ends.
+END, BEGIN = 0, 1
+#: Bytes of keys (words, bigrams and trigrams) that a byte of text gives, for the number of buckets.
+KEYS_PER_BYTE = 2.0
 
 
 def held_out(id_col: str) -> Column:
@@ -38,213 +40,174 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def encode(texts: list[bytes | None], rows=None) -> list[bytes]:
+    """A block's columns: hashes of its distinct words, each token's place among these, and tokens per text."""
+    numbers = Numbers({b"\n": END, b"\n\n": BEGIN})
+    tokens, sizes = [], []
+    for t in texts:
+        words = (t or b"").lower().split()
+        tokens += [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)), np.array([END], np.int32)]
+        sizes.append(len(words) + 1)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
+    word = np.concatenate(tokens) if tokens else np.empty(0, np.int32)
+    return [hashes.tobytes(), exchange.pack_array(word), exchange.pack_array(np.array(sizes, np.int32))]
+
+
 class Block:
-    """The tokens of a block of documents: distinct hashes in sorted order, each token's place among them, and bigrams."""
-
-    def __init__(self, texts: list[bytes], train: np.ndarray, memo: Memo):
-        parts, sizes = [], []
-        for t in texts:
-            words = t.lower().split()
-            parts += [memo.of(words), np.array([END])]
-            sizes.append(len(words) + 1)
-        tokens = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        self.sizes = np.array(sizes, np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.train = np.repeat(np.asarray(train, bool), self.sizes)
-        self.keys, at = np.unique(np.append(tokens, BEGIN), return_inverse=True)
-        self.word = at[:-1].astype(np.int32)
-        self.begin, starts = int(at[-1]), self.ends - self.sizes
-        self.counts = np.bincount(self.word[self.train], minlength=len(self.keys))
-        self.counts[self.begin] = int(np.asarray(train, bool).sum())
-        self.state = np.empty_like(self.word)
-        self.state[1:] = self.word[:-1]
-        self.state[starts] = self.begin
-
-    def bigrams(self, count: int) -> None:
-        """Distinct (state, word) pairs in the order in which they are asked for: by bucket, then by both hashes."""
-        codes = self.state.astype(np.int64) * len(self.keys) + self.word
-        pairs, self.arc = np.unique(codes, return_inverse=True)
-        del codes
-        self.of_state, self.to = (pairs // len(self.keys)).astype(np.int32), (pairs % len(self.keys)).astype(np.int32)
-        self.bucket = exchange.bucket_of(mixed(self.keys[self.of_state] * np.uint64(0x9E3779B97F4A7C15) + mixed(self.keys[self.to])), count).astype(np.int16)
-        self.order = np.argsort(self.bucket, kind="stable")
-        self.at = np.searchsorted(self.bucket[self.order], np.arange(count + 1))
-
-
-def _ask_words(id_col: str, text_col: str, buckets: int):
-    def run(batches):
-        memo = Memo()
-        for block, held in exchange.block_runs(batches):
-            b = Block([t for x in held for t in texts_of(x.column("text"))], np.concatenate([x.column("train").to_numpy(zero_copy_only=False) for x in held]), memo)
-            yield exchange.request(block, b.keys, b.counts, buckets)
-
-    return run
-
-
-BIGRAMS = "block long, bucket int, states binary, runs binary, words binary, counts binary"
-
-
-def _ask_bigrams(buckets: int):
-    def run(batches):
-        memo = Memo()
-        for block, held in exchange.block_runs(batches):
-            b = Block([t for x in held for t in texts_of(x.column("text"))], np.concatenate([x.column("train").to_numpy(zero_copy_only=False) for x in held]), memo)
-            b.bigrams(buckets)
-            counts = np.bincount(b.arc[b.train], minlength=len(b.to)).astype(np.int32)[b.order]
-            rows = []
-            for k in range(buckets):
-                part = b.order[b.at[k] : b.at[k + 1]]
-                if len(part):
-                    first = np.flatnonzero(np.diff(b.of_state[part], prepend=-1))
-                    words = (b.keys[b.to[part]] & _LOW48).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                    rows.append((block, k, b.keys[b.of_state[part[first]]].tobytes(), exchange.pack_array(np.diff(np.append(first, len(part))).astype(np.int32)), words, exchange.pack_array(counts[b.at[k] : b.at[k + 1]])))
-            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["block", "bucket", "states", "runs", "words", "counts"])
-
-    return run
-
-
-ANSWERS = "kind string, block long, bucket int, checksum long, answer binary, keys binary"
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    names, kinds = ["kind", "block", "bucket", "checksum", "answer", "keys"], (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names)
-
-
-def _merge_bigrams(word_buckets: int, min_count: int, discount: float):
-    """Per bucket: the training counts of kept bigrams to each block ("arcs"), and what they take from each state ("mass")."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        states, words, sizes, checks = [], [], [], []
-        for s, r, w in zip(table.column("states").to_pylist(), table.column("runs").to_pylist(), table.column("words").to_pylist()):
-            full = np.zeros((len(w) // 6, 8), np.uint8)
-            full[:, :6] = np.frombuffer(w, np.uint8).reshape(-1, 6)
-            words.append(full.view(np.uint64).ravel())
-            states.append(np.repeat(np.frombuffer(s, np.uint64), exchange.unpack_array(r, np.int32)))
-            sizes.append(len(words[-1]))
-            checks.append(exchange.checksum(states[-1] ^ words[-1]))
-        state, word = np.concatenate(states), np.concatenate(words)
-        del states, words
-        counts = np.concatenate([exchange.unpack_array(c, np.int32) for c in table.column("counts").to_pylist()])
-        order = np.lexsort((word, state))
-        new = np.ones(len(order), bool)
-        new[1:] = (state[order[1:]] != state[order[:-1]]) | (word[order[1:]] != word[order[:-1]])
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, counts[order]).astype(np.int64)
-        total[total < min_count] = 0
-        answer = np.empty(len(order), np.int64)
-        answer[order] = total[group]
-        rows, at = [], 0
-        for block, bucket, n, check in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), sizes, checks):
-            rows.append(("arcs", block, bucket, check, exchange.pack_array(answer[at : at + n]), None))
-            at += n
-        owner = state[order[new]][total > 0]
-        first = np.flatnonzero(np.diff(owner, prepend=owner[:1] ^ np.uint64(1))) if len(owner) else np.empty(0, np.int64)
-        mass = np.add.reduceat(total[total > 0] - discount, first) if len(owner) else np.empty(0)
-        keys = owner[first]
-        for k, (a, b) in enumerate(zip((c := exchange.cuts(keys, word_buckets))[:-1].tolist(), c[1:].tolist())):
-            if b > a:
-                rows.append(("mass", -1, k, 0, mass[a:b].tobytes(), keys[a:b].tobytes()))
-        return _table(rows)
-
-    return merge
-
-
-WORD_ANSWER = np.dtype([("count", np.int64), ("mass", np.float64)])
-
-
-def _merge_words():
-    """Per bucket: each word's training count and the mass of its state's arcs to each block ("words"), and the bucket's totals."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        requests = table.filter(pa.compute.is_valid(table.column("counts")))
-        masses = table.filter(pa.compute.is_null(table.column("counts")))
-        keys = [np.frombuffer(x, np.uint64) for x in requests.column("keys").to_pylist()]
-        counts = [exchange.unpack_array(x, np.int32) for x in requests.column("counts").to_pylist()]
-        if not keys:
-            return _table([])
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        values = np.zeros(len(distinct), WORD_ANSWER)
-        values["count"] = np.bincount(inverse, np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-        for k, m in zip(masses.column("keys").to_pylist(), masses.column("answer").to_pylist()):
-            values["mass"][np.searchsorted(distinct, np.frombuffer(k, np.uint64))] += np.frombuffer(m, np.float64)
-        words = values["count"][distinct != BEGIN]
-        rows, at = [("total", -1, 0, 0, np.array([words.sum(), (words > 0).sum()], np.int64).tobytes(), None)], 0
-        for block, bucket, k in zip(requests.column("block").to_pylist(), requests.column("bucket").to_pylist(), keys):
-            rows.append(("words", block, bucket, exchange.checksum(k), exchange.pack_array(values[inverse[at : at + len(k)]]), None))
-            at += len(k)
-        return _table(rows)
-
-    return merge
+    """A block's tokens and its distinct words, bigrams and trigrams, in each order sorted by (context, word)."""
+
+    def __init__(self, words: bytes, tokens: bytes, sizes: bytes, train: np.ndarray):
+        self.hashes = np.frombuffer(words, np.uint64)
+        self.word, self.sizes = exchange.unpack_array(tokens, np.int32), exchange.unpack_array(sizes, np.int32).astype(np.int64)
+        self.starts, self.train = np.cumsum(self.sizes) - self.sizes, np.asarray(train, bool)
+        w = self.w = len(self.hashes)
+        before = np.empty_like(self.word)
+        before[1:] = self.word[:-1]
+        before[self.starts] = BEGIN
+        self.bigrams, pair = np.unique(before.astype(np.int64) * w + self.word, return_inverse=True)
+        inside = np.ones(len(self.word), bool)
+        inside[self.starts] = False
+        inside = np.flatnonzero(inside)
+        self.trigrams, first, triple = np.unique(pair[inside - 1] * w + self.word[inside], return_index=True, return_inverse=True)
+        self.suffix = pair[inside[first]]  # of each trigram, the bigram that ends it
+        learn = np.repeat(self.train, self.sizes)
+        self.counts = [np.bincount(self.word[learn], minlength=w), np.bincount(pair[learn], minlength=len(self.bigrams)), np.bincount(triple[learn[inside]], minlength=len(self.trigrams))]
+        self.counts[0][BEGIN] = self.train.sum()
+        follow = lambda h, k, odd: mixed(h * np.uint64(odd) + mixed(self.hashes[k]))
+        two = follow(self.hashes[self.bigrams // w], self.bigrams % w, 0x9E3779B97F4A7C15)
+        three = follow(two[self.trigrams // w], self.trigrams % w, 0xD1B54A32D192ED03)
+        # 56 bits each; the last one tells words from longer n-grams and from the beginning
+        one = self.hashes >> np.uint64(8) | np.uint64(1)
+        one[BEGIN] ^= np.uint64(1)
+        longer = np.concatenate([two, three]) >> np.uint64(9) << np.uint64(1)
+        self.keys, self.place = np.unique(np.concatenate([one, longer]), return_inverse=True)
+
+    def own(self) -> np.ndarray:
+        """The training counts of the block's sorted distinct keys."""
+        return np.bincount(self.place, np.concatenate(self.counts), minlength=len(self.keys)).astype(np.int64)
+
+    def told(self, answers: np.ndarray) -> list[np.ndarray]:
+        """Counts over the corpus of words, bigrams and trigrams, from the answers for the keys."""
+        return np.split(answers[self.place], [self.w, self.w + len(self.bigrams)])
 
 
 class Automaton:
-    """The part of the backoff automaton that a block's texts can reach: log10 weights of root arcs, failure arcs and arcs."""
-
-    def __init__(self, block: Block, words: np.ndarray, arcs: np.ndarray, tokens: int, types: int, discount: float = DISCOUNT):
-        probability = (words["count"] + 1) / (tokens + types + 1)
-        count = np.maximum(words["count"], 1)
-        left = np.where(words["count"] > 0, 1 - words["mass"] / count, 1.0)
-        self.known = words["count"] > 0
-        self.root, self.fail = np.log10(probability), np.log10(left)
-        total = np.empty(len(arcs), np.int64)
-        total[block.order] = arcs
-        follows = np.where(total > 0, (total - discount) / count[block.of_state], 0.0)
-        self.arc = np.where(total > 0, np.log10(follows + left[block.of_state] * probability[block.to]), self.fail[block.of_state] + self.root[block.to])
+    """The part of the backoff automaton that a block's texts can reach. State 0 is the root, then come words, then bigrams.
+
+    codes holds the arcs, sorted, as state * words + word; weight and target belong to them. The root's arcs stand apart
+    (root and root_target, by word), as it has one for every word. fail and fail_weight are the states' failure arcs."""
+
+    def __init__(self, block: Block, counts: list[np.ndarray], tokens: int, types: int, backoff: float = BACKOFF):
+        w, (one, two, three) = block.w, counts
+        p1 = (one + 1) / (tokens + types + 1)
+        context, word = block.bigrams // w, block.bigrams % w
+        p2 = (two + backoff * p1[word]) / (one[context] + backoff)
+        context3 = block.trigrams // w
+        p3 = (three + backoff * p2[block.suffix]) / (two[context3] + backoff)
+        self.words, self.known = w, one > 0
+        self.root, self.root_target = np.log10(p1), np.where(self.known, np.arange(w) + 1, 0)
+        kept2, kept3 = two > 0, three > 0
+        self.codes = np.concatenate([(block.bigrams + w)[kept2], (block.trigrams + (1 + w) * w)[kept3], [np.iinfo(np.int64).max]])
+        self.weight = np.log10(np.concatenate([p2[kept2], p3[kept3], [1.0]]))
+        state2 = np.arange(len(two)) + 1 + w
+        self.target = np.concatenate([state2[kept2], state2[block.suffix[kept3]], [0]])
+        self.fail = np.concatenate([np.zeros(1 + w, np.int64), 1 + word])
+        self.fail_weight = np.concatenate([[0.0], np.log10(backoff / (one + backoff)), np.log10(backoff / (two + backoff))])
+        self.start = 1 + BEGIN if one[BEGIN] > 0 else 0
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where tokens lead from states, and the log weights on the way."""
+        code = state * self.words + word
+        at = np.searchsorted(self.codes, code)
+        found = self.codes[at] == code
+        to, weight = self.target[at], self.weight[at]
+        left = np.flatnonzero(~found)
+        if len(left):
+            now, spent = state[left], np.zeros(len(left))
+            weight[left] = 0.0
+            while len(left):
+                top = now == 0
+                i = left[top]
+                weight[i] += self.root[word[i]] + spent[top]
+                to[i] = self.root_target[word[i]]
+                left, now, spent = left[~top], now[~top], spent[~top]
+                spent += self.fail_weight[now]
+                now = self.fail[now]
+                code = now * self.words + word[left]
+                at = np.searchsorted(self.codes, code)
+                hit = self.codes[at] == code
+                i = left[hit]
+                weight[i], to[i] = self.weight[at[hit]] + spent[hit], self.target[at[hit]]
+                left, now, spent = left[~hit], now[~hit], spent[~hit]
+        return to, weight
 
     def walk(self, block: Block) -> np.ndarray:
-        """Log weight of every token: after a token the state is that token's, so block.arc names the arc (or the failure
-        arc and root arc that stand for it) that each step takes."""
-        return self.arc[block.arc]
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> DataFrame:
+        """The log probability of every text: all of a block's texts advance by a token at a time, each in its own state."""
+        order = np.argsort(-block.sizes, kind="stable")
+        sizes, starts = block.sizes[order], block.starts[order]
+        state, total = np.full(len(order), self.start), np.zeros(len(order))
+        alive = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")
+        for t, n in enumerate(alive.tolist()):
+            state[:n], weight = self.step(state[:n], block.word[starts[:n] + t].astype(np.int64))
+            total[:n] += weight
+        out = np.empty_like(total)
+        out[order] = total
+        return out
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per document.
 
     The model learns from the documents that are not held out. A null or empty text is its end token alone. Repeated
-    rows count, and are scored, each. An empty table gives an empty result; a table without training texts scores every
-    token as unknown. Columns other than the two named are ignored.
+    rows count, and are scored, each; ties need no rule. An empty table gives an empty result; a table without training
+    texts scores every token as unknown. Long texts are blocks of their own. Columns other than the two named are ignored.
     """
-    source = exchange.blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~held_out(id_col)).alias("train")))
-    size = exchange.text_bytes(docs, text_col)
-    word_buckets, pair_buckets = exchange.buckets_for(size, 0.3), exchange.buckets_for(size, 1.5)
-    lean = source.select("block", "text", "train")
-    pairs = written(lean.mapInArrow(_ask_bigrams(pair_buckets), BIGRAMS).groupBy("bucket").applyInArrow(_merge_bigrams(word_buckets, min_count, discount), ANSWERS), "bigrams")
-    words = lean.mapInArrow(_ask_words(id_col, text_col, word_buckets), exchange.REQUEST).select("block", "bucket", "keys", "counts", F.lit(None).cast("binary").alias("answer"))
-    mass = pairs.filter("kind = 'mass'").select("block", "bucket", "keys", F.lit(None).cast("binary").alias("counts"), "answer")
-    words = written(words.unionByName(mass).groupBy("bucket").applyInArrow(_merge_words(), ANSWERS), "words")
+    source = docs.select(F.col(id_col).alias("id"), (~held_out(id_col)).alias("train"), F.col(text_col).alias("text"))
+    table = exchange.block_table(source, ["id", "train"], "text", encode, "words binary, tokens binary, sizes binary", "coded")
+    size = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    count = exchange.buckets_for(size * KEYS_PER_BYTE)
+
+    def block_of(row: pa.RecordBatch | pa.Table) -> Block:
+        value = lambda c: row.column(c)[0].as_py()
+        return Block(value("words"), value("tokens"), value("sizes"), np.array(value("train"), bool))
+
+    def ask(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                b = block_of(row)
+                yield exchange.request(row.column("block")[0].as_py(), b.keys, b.own(), count)
+
+    lean = table.select("block", F.col("rows.train").alias("train"), "words", "tokens", "sizes")
+    # keys of words are odd: their counts give N, and how many of them are above 0 gives V
+    totals = lambda keys, counts: [counts[keys & np.uint64(1) == 1].sum(), (counts[keys & np.uint64(1) == 1] > 0).sum()]
+    answers = written(exchange.answered(lean.mapInArrow(ask, exchange.REQUEST), lambda keys, counts: counts, totals), "counts")
     tokens = types = 0
-    for r in words.filter("kind = 'total'").select("answer").toLocalIterator():  # a row of two numbers per bucket
-        n, v = np.frombuffer(r.answer, np.int64)
-        tokens, types = tokens + int(n), types + int(v)
-    answers = words.filter("kind = 'words'").unionByName(pairs.filter("kind = 'arcs'")).select("kind", "block", "bucket", "checksum", "answer")
+    for r in answers.filter("block = -1").select("answer").toLocalIterator():  # a row of two numbers per bucket
+        n, v = np.frombuffer(r.answer, np.int64).tolist()
+        tokens, types = tokens + n, types + v
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        train = left.column("train").to_numpy()
-        b = Block(texts_of(left.column("text")), train, Memo())
-        b.bigrams(pair_buckets)
-        mine = right.filter(pa.compute.equal(right.column("kind"), "words"))
-        known = exchange.read_answers(mine, b.keys, word_buckets, WORD_ANSWER)
-        arcs, seen = np.zeros(len(b.order), np.int64), 0
-        for r in right.filter(pa.compute.equal(right.column("kind"), "arcs")).to_pylist():
-            part = slice(b.at[r["bucket"]], b.at[r["bucket"] + 1])
-            values, own = exchange.unpack_array(r["answer"], np.int64), b.order[part]
-            if len(values) != len(own) or exchange.checksum(b.keys[b.of_state[own]] ^ (b.keys[b.to[own]] & _LOW48)) != r["checksum"]:
-                raise ValueError("the input was split into other blocks than before; write it to a table first")
-            arcs[part] = values
-            seen += len(values)
-        if seen != len(arcs):
-            raise ValueError("the input was split into other blocks than before; write it to a table first")
-        model = Automaton(b, known, arcs, tokens, types, discount)
-        starts = b.ends - b.sizes
-        per_text = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
+        b = block_of(left)
+        counts = b.told(exchange.read_answers(right, b.keys, count, np.int64))
+        model = Automaton(b, counts, tokens, types, backoff)
+        per_text = lambda x: np.add.reduceat(x[b.word], b.starts)
         return pa.table({
-            "id": left.column("id"), "held_out": pa.array(~train), "n_tokens": pa.array(b.sizes), "n_known": pa.array(per_text(model.known[b.word].astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(train), tokens)), "base_score": pa.array(per_text(model.root[b.word])), "score": pa.array(per_text(model.walk(b))),
+            "id": left.column("ids").combine_chunks().flatten(), "held_out": pa.array(~b.train), "n_tokens": pa.array(b.sizes),
+            "n_known": pa.array(per_text(model.known.astype(np.int64))), "train_tokens": pa.array(np.full(len(b.train), tokens)),
+            "base_score": pa.array(per_text(model.root)), "score": pa.array(model.walk(b)),
         })
 
-    out = source.withColumnRenamed("block", "_block").groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    texts = table.select(F.col("block").alias("_block"), F.col("rows.id").alias("ids"), F.col("rows.train").alias("train"), "words", "tokens", "sizes")
+    out = texts.groupBy("_block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)

@@ -9,11 +9,12 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbisloom.llm import bpe, lm, packing, substring, toxicity, url_filter, warc
+from orbisloom.llm import bpe, exchange, lm, packing, substring, toxicity, url_filter, warc
 from orbisloom.llm.common import Memo, windows
 from orbisloom.llm.exact_dedup import exact_dedup, kept_documents
 from orbisloom.llm.host_rules import quality_rules
@@ -96,12 +97,66 @@ def test_substring_dedup(docs, none):
     assert substring.remove_repeats(none).count() == 0
 
 
-def test_shard_automaton_finds_overlapping_passages():
-    flags = np.array([1, 1, 0, 0, 1, 0], bool)
-    words = (1, 2, 3, 4, 5, 6, 7, 8)
-    found = substring.compile_shard(set(substring.passages_of(flags, words, 3)))
-    assert isinstance(found, ahocorasick.Automaton)
-    assert substring.covered(found, words, 3).tolist() == [True] * 4 + [True] * 3 + [False]
+def test_spans_cover_every_run_and_equal_runs_share_an_anchor():
+    r = np.random.default_rng(4)
+    words = [str(x).encode() for x in r.integers(0, 4, 400)]
+    h, first = substring.spans(words, Memo(), 9, 3)
+    assert first[0] == 0 and (np.diff(first) > 0).all() and first[-1] <= 391 and len(h) < 300
+    anchor = np.repeat(h, np.diff(np.append(first, 392)))
+    seen = {}
+    for i in range(392):
+        assert seen.setdefault(tuple(words[i : i + 9]), anchor[i]) == anchor[i]
+    assert [len(x) for x in substring.spans(words[:8], Memo(), 9, 3)] == [0, 0]
+
+
+def test_shard_results_come_from_the_automaton_of_its_passages():
+    a, b, c = (x.split() for x in (b"1 2 3 4 5 6", b"9 2 3 4 5 8", b"2 3 4 7 7 7"))
+    passages = substring.confirm([a, b, c], [1, 1, 1], 3)
+    assert passages == {(b"2", b"3", b"4", b"5"), (b"2", b"3", b"4")}
+    found = substring.compile_shard(passages)
+    assert isinstance(found[0], ahocorasick.Automaton)
+    assert [substring.occurrences(*found, x) for x in (a, b, c)] == [[(1, 5)], [(1, 5)], [(0, 3)]]
+    less = substring.compile_shard(passages - {(b"2", b"3", b"4", b"5")})
+    assert [substring.occurrences(*less, x) for x in (a, b, c)] == [[(1, 4)], [(1, 4)], [(0, 3)]]
+    assert substring.occurrences(*substring.compile_shard([]), a) == []
+
+
+@pytest.mark.parametrize("hot", [2, 5, 4096])
+def test_substring_dedup_with_hot_passages(spark, hot):
+    r = np.random.default_rng(6)
+    line, passage = vary(60, 12), vary(61, 50)
+    rows = []
+    for i in range(120):
+        parts = [vary(6000 + i, int(r.integers(5, 60)))]
+        parts += [line] * (i % 3 == 0) + [passage] * (i % 5 == 0) + [vary(62, 40)] * (i == 7) * 2 + [vary(6000 + i - 1, 40)] * (i % 11 == 3)
+        rows.append((i, "  ".join(str(x) for x in r.permutation(parts))))
+    rows += [(1000 + i, rows[9][1]) for i in range(40)] + [(2000, vary(61, 50)), (2001, "same " * 400), (2002, "x " * 34)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.kept, x.n_removed) for x in substring.remove_repeats(df, window=12, anchor=4, hot=hot).collect()}
+    for (i, _), (kept, n) in zip(rows, brute.removed_words([t for _, t in rows], 12)):
+        assert got[i] == (b" ".join(kept).decode(), n), i
+
+
+def test_blocks_of_any_size_give_the_same_results(spark, docs, monkeypatch):
+    want = sorted(map(repr, rows_of(substring.remove_repeats(docs))))
+    scores = sorted((repr(r.doc_id), r.n_known, round(r.score, 6)) for r in lm.score(docs).collect())
+    for size in (1, 500):
+        monkeypatch.setattr(exchange.block_table, "__defaults__", (size,))
+        assert sorted(map(repr, rows_of(substring.remove_repeats(docs)))) == want
+        assert sorted((repr(r.doc_id), r.n_known, round(r.score, 6)) for r in lm.score(docs).collect()) == scores
+
+
+def test_keys_of_many_buckets_come_back():
+    r = np.random.default_rng(7)
+    keys = np.unique(r.integers(0, 2**56, 100_000).astype(np.uint64))
+    for count in (1, 7, 40_000, 3_000_000):
+        b = exchange.request(5, keys, np.arange(len(keys)), count)
+        assert b.num_rows <= min(count, len(keys))
+        assert (np.concatenate([exchange.unpack_keys(x) for x in b.column("keys").to_pylist()]) == keys).all()
+        answers = pa.table({"bucket": b.column("bucket"), "answer": b.column("counts")})
+        assert (exchange.read_answers(answers, keys, count, np.int32) == np.arange(len(keys))).all()
+    with pytest.raises(ValueError):
+        exchange.read_answers(answers.slice(1), keys, count, np.int32)
 
 
 def test_near_duplicates(spark, docs, none):
@@ -254,26 +309,42 @@ def test_plan_is_near_the_bound():
 
 def test_language_model(spark, docs, none):
     rows = [r for r in ROWS if r[0] is not None]
-    got = {(r.doc_id): r for r in lm.score(docs.filter("doc_id is not null"), min_count=2).collect()}
-    end = "\n"
-    tokens = [(i, [*[w.lower() for w in brute.words(t)], end]) for i, t in rows]
+    got = {r.doc_id: r for r in lm.score(docs.filter("doc_id is not null"), backoff=1.5).collect()}
+    tokens = [(i, [*[w.lower() for w in brute.words(t)], "END"]) for i, t in rows]
     train = [w for i, w in tokens if brute.crc(i, 7) != 2]
+    assert 0 < len(train) < len(rows)
     c = Counter(x for w in train for x in w)
     n, v = sum(c.values()), len(c)
-    state = Counter(c) + Counter({"<": len(train)})
-    pairs = {k: m for k, m in Counter(p for w in train for p in zip(["<", *w], w)).items() if m >= 2}
-    taken = Counter()
-    for (a, _), m in pairs.items():
-        taken[a] += m - 0.75
+    grams = Counter(tuple(["BEGIN", *w][max(0, i - k) : i + 2]) for w in train for i in range(len(w)) for k in (0, 1) if i >= k)
+    context = Counter({("BEGIN",): len(train)}) + Counter({(x,): m for x, m in c.items()}) + grams
+
+    def p(w, h):
+        if not h:
+            return (c[w] + 1) / (n + v + 1)
+        return (grams[(*h, w)] + 1.5 * p(w, h[1:])) / (context[h] + 1.5)
+
     for i, w in tokens:
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
-        score = 0.0
-        for a, x in zip(["<", *w], w):
-            p = (c[x] + 1) / (n + v + 1) * (1 - taken[a] / state[a] if state[a] else 1)
-            score += math.log10(p + ((pairs[a, x] - 0.75) / state[a] if (a, x) in pairs else 0))
+        score = sum(math.log10(p(x, tuple(["BEGIN", *w][max(0, k - 1) : k + 1]))) for k, x in enumerate(w))
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(x in c for x in w), n)
         assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(score)
+    assert {r.doc_id: r.n_tokens for r in lm.score(docs).collect()}[None] == 3
     assert lm.score(none).count() == 0
+    held = lm.score(docs.filter("doc_id = 4")).collect() + lm.score(docs.filter(lm.held_out("doc_id"))).collect()
+    assert all(r.score <= 0 for r in held) and any(r.train_tokens == 0 for r in held)
+
+
+def test_automaton_carries_its_state_along_failure_arcs():
+    texts = [b"a b c", b"a b d", b"x b c"]
+    block = lm.Block(*lm.encode(texts), np.array([True, True, False]))
+    model = lm.Automaton(block, block.counts, 8, 5)
+    name = {w: k for k, w in enumerate([b"END", b"BEGIN", b"a", b"b", b"c", b"d", b"x"])}
+    state, weight = model.step(np.array([1 + lm.BEGIN]), np.array([name[b"x"]]))
+    assert state.tolist() == [0] and weight[0] == pytest.approx(math.log10(2 / 4 * 1 / 14))  # unknown: back to the root
+    one, _ = model.step(state, np.array([name[b"b"]]))
+    assert one.tolist() == [1 + name[b"b"]]  # no context before it, so the state is the word alone
+    two, weight = model.step(one, np.array([name[b"c"]]))
+    assert model.fail[two[0]] == 1 + name[b"c"] and weight[0] == pytest.approx(math.log10((1 + 2 * 2 / 14) / 4))
 
 
 def test_url_filter(spark):
