@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Examples are a bounded sample of the labelled training rows. Their words and word beginnings are tested for a difference
-between the two labels; those that differ clearly are the vocabulary, so a document's vector is sparse and most clean
-documents have an empty one. The index and the vocabulary are bounded by their parameters, whatever the corpus, and are
+Examples are a bounded sample of the labelled training rows. Every word, and every beginning of a word, that two examples
+or more hold is a feature. Its weight in a text is (1 + ln count) * idf * s, where s, from 0 to 1, says how far the examples'
+labels differ on the feature: the square of G / LABEL_G2 up to 1, G being the likelihood-ratio statistic. So no feature is
+left out, and topic words don't drown the few that matter. The index is as large as the sample, whatever the corpus, and is
 broadcast; every document is then scored where it is read, with no shuffle.
 """
 
@@ -12,20 +13,22 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Memo, pieces, small_batches, windows
 
-#: At most so many training examples of each label are used (those with the smallest hash of the id), and so many features.
-TOXIC_EXAMPLES, CLEAN_EXAMPLES, VOCABULARY = 6000, 9000, 4000
-#: A feature is used when the likelihood-ratio statistic of its difference between the labels is at least this.
-LEAST_G2 = 25.0
+#: At most so many training examples of each label are used: those with the smallest hash of the id.
+TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1500, 3000
+#: The likelihood-ratio statistic from which a feature has its full idf.
+LABEL_G2 = 25.0
 #: Blocks of the index that are read at a time.
 GROUP = 8
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, THRESHOLD = 15, 128, 1.0, 0.7
-_EDGES = ".,;:!?\"'()[]{}<>*_-"
+_EDGES = ".,;:!?\"'()[]{}<>*_-#$%&|"
 
 
 def held_out(id_col: str) -> Column:
@@ -35,7 +38,7 @@ def held_out(id_col: str) -> Column:
 
 def word_features(word: str) -> list[str]:
     word = word.strip(_EDGES)
-    return [f"={word}", f"^{word[:4]}"] if len(word) >= 4 else [f"={word}"] if len(word) == 3 else []
+    return [f"={word}", f"^{word[:4]}"] if len(word) >= 4 else [f"={word}"] if word else []
 
 
 class Known(dict):
@@ -46,60 +49,80 @@ class Known(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> tuple:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found = tuple(self.vocabulary[f] for f in word_features(word) if f in self.vocabulary)
         return found
 
-    def counts(self, text: str) -> Counter:
+    def counts(self, text: str) -> dict[int, int]:
         return Counter(f for fs in map(self.__getitem__, text.lower().split()) if fs for f in fs)
 
 
+def label_weights(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """idf times s of features that so many of n1 toxic and n0 clean examples hold."""
+
+    def term(x, expected):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+
+    share = (toxic + clean) / max(1, n1 + n0)
+    g2 = 2 * (term(toxic, share * n1) + term(clean, share * n0) + term(n1 - toxic, (1 - share) * n1) + term(n0 - clean, (1 - share) * n0))
+    idf = np.log((1 + n1 + n0) / (1 + toxic + clean)) + 1
+    return idf * np.clip(g2 / LABEL_G2, 0.0, 1.0) ** 2
+
+
 class Index:
-    """Examples' unit vectors as inverted lists cut into blocks of examples, with each list's greatest weight in each block."""
-
-    def __init__(self, vectors: list[dict[int, int]], toxic: np.ndarray, ids: list, weights: np.ndarray, size: int, empty_rate: float, prior: float, block: int = BLOCK):
-        df = np.zeros(size)
-        for v in vectors:
-            df[list(v)] += 1
-        self.idf = np.log((1 + len(vectors)) / (1 + df)) + 1
-        unit = [self.unit(v) for v in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (max(unit[i], key=lambda f: (unit[i][f], f)), ids[i]))  # like examples share blocks
-        self.toxic, self.ids, self.weights = toxic[order], [ids[i] for i in order], weights[order]
-        self.empty_rate, self.prior, self.block = empty_rate, prior, block
-        rows = sorted((f, at, unit[i][f]) for at, i in enumerate(order) for f in unit[i])
-        self.example = np.array([r[1] for r in rows], np.int64)
-        self.weight = np.array([r[2] for r in rows])
-        feature = np.array([r[0] for r in rows], np.int64)
-        blocks = max(1, -(-len(order) // block))
-        self.starts = np.searchsorted(feature * blocks + self.example // block, np.arange(size * blocks + 1)).reshape(-1)
-        self.most = np.zeros((size, blocks))
-        np.maximum.at(self.most, (feature, self.example // block), self.weight)
-
-    def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {f: (1 + np.log(n)) * self.idf[f] for f, n in counts.items()}
-        norm = np.sqrt(sum(x * x for x in v.values()))
-        return {f: x / norm for f, x in v.items()}
+    """Examples' unit vectors as inverted lists cut into blocks of examples, with each list's greatest weight in each block.
+
+    The examples' features come as three arrays: the example, the feature and its count in the example."""
+
+    def __init__(self, owner: np.ndarray, feature: np.ndarray, count: np.ndarray, toxic: np.ndarray, ids: list, votes: np.ndarray, weights: np.ndarray, prior: float, block: int = BLOCK):
+        n, self.term_weight = len(ids), weights
+        value = (1 + np.log(count)) * weights[feature]
+        norm = np.sqrt(np.bincount(owner, value * value, minlength=n))
+        value = value / np.where(norm > 0, norm, 1.0)[owner]
+        live = value > 0
+        owner, feature, value = owner[live], feature[live], value[live]
+        first = np.lexsort((-value, owner))  # the heaviest feature of each example: like examples share blocks
+        heads = first[np.flatnonzero(np.diff(owner[first], prepend=-1))]
+        head = np.full(n, -1, np.int64)
+        head[owner[heads]] = feature[heads]
+        order = np.lexsort((np.arange(n), head))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.toxic, self.ids, self.votes = toxic[order], [ids[i] for i in order.tolist()], votes[order]
+        self.prior, self.blocks = prior, max(1, -(-n // block))
+        at = place[owner]
+        by = np.lexsort((at, feature))
+        self.example, self.weight = at[by].astype(np.int32), value[by]
+        lists = feature[by].astype(np.int64) * self.blocks + self.example // block
+        self.starts = np.searchsorted(lists, np.arange(len(weights) * self.blocks + 1))
+        self.most = np.zeros((len(weights), self.blocks))
+        np.maximum.at(self.most.ravel(), lists, self.weight)
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k greatest cosines above 0 and their examples, by descending cosine and then example number. Exact: blocks are
         read by descending upper bound until none can hold a better one."""
-        q = self.unit(counts)
-        features = np.array(sorted(q), np.int64)
-        values = np.array([q[f] for f in features.tolist()])
+        features = np.fromiter(counts, np.int64, len(counts))
+        values = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.term_weight[features]
+        live = values > 0
+        features, values = features[live], values[live]
+        if not len(values):
+            return []
+        values /= np.sqrt(values @ values)
         bound = values @ self.most[features]
-        blocks = self.most.shape[1]
         order = np.argsort(-bound, kind="stable")
         best, who = np.empty(0), np.empty(0, np.int64)
-        for g in range(0, blocks, GROUP):
+        for g in range(0, self.blocks, GROUP):
             group = order[g : g + GROUP]
-            if bound[group[0]] <= 0 or len(best) == k and bound[group[0]] < best[-1] - 1e-12:
+            if bound[group[0]] <= 0 or len(best) == k and bound[group[0]] < best[-1] - 1e-9:
                 break
-            lists = (features[:, None] * blocks + group).ravel()
+            lists = (features[:, None] * self.blocks + group).ravel()
             starts, lens = self.starts[lists], self.starts[lists + 1] - self.starts[lists]
             at = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
             scores = np.bincount(self.example[at], self.weight[at] * np.repeat(np.repeat(values, len(group)), lens), minlength=len(self.ids))
             hit = np.flatnonzero(scores)
+            if len(hit) > 4 * k:  # those that can't be among the k best go before the sort
+                hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k] - 1e-9]
             best, who = np.append(best, scores[hit]), np.append(who, hit)
             top = np.lexsort((who, -np.round(best, 12)))[:k]
             best, who = best[top], who[top]
@@ -109,9 +132,9 @@ class Index:
         """A vote of the neighbours, each with its cosine and the weight of its label's sampling, with the prior as one more voter."""
         near = self.nearest(counts) if counts else []
         if not near:
-            return self.empty_rate, []
+            return self.prior, []
         at = np.array([i for _, i in near])
-        vote = np.array([s for s, _ in near]) * self.weights[at]
+        vote = np.array([s for s, _ in near]) * self.votes[at]
         return float((vote @ self.toxic[at] + PRIOR_WEIGHT * self.prior) / (vote.sum() + PRIOR_WEIGHT)), near
 
 
@@ -136,50 +159,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     h = windows(memo.of([w.encode() for w in words]), min(5, len(words))) if words else np.zeros(1, np.uint64)
                     found = Counter(f for w in words for f in word_features(w))
                     kept.append((i, int(y), int(h.min().view(np.int64)), list(found), list(found.values())))
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array([r[c] for r in kept], t) for c, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.list_(pa.string())), (4, pa.list_(pa.int32()))))], ["id", "y", "sketch", "features", "counts"])
+                columns = [pa.array([r[c] for r in kept], t) for c, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.list_(pa.string())), (4, pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "y", "sketch", "features", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = examples.mapInArrow(run, f"id {kind}, y int, sketch long, features array<string>, counts array<int>").persist()
+    small_batches(docs.sparkSession)
+    found = examples.mapInArrow(run, f"id {kind}, y int, sketch long, features array<string>, counts array<int>").toArrow()  # bounded by the sample
     # one example stands for its copies and most near copies: they share the least hash of their five-word runs
-    stands = found.groupBy("y", "sketch").agg(F.min("id").alias("id"))
-    single = found.join(F.broadcast(stands), ["y", "sketch", "id"]).dropDuplicates(["y", "sketch"]).persist()
-    n = {0: 0, 1: 0} | {r.y: r["count"] for r in single.groupBy("y").count().collect()}
-    c1, c0 = F.col("c1"), F.col("c0")
-    n1, n0 = F.lit(float(n[1])), F.lit(float(n[0]))
-    term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    share = (c1 + c0) / (n1 + n0)
-    g2 = 2 * (term(c1, share * n1) + term(c0, share * n0) + term(n1 - c1, (1 - share) * n1) + term(n0 - c0, (1 - share) * n0))
-    counts = single.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").cast("double").alias("c1"), F.sum(1 - F.col("y")).cast("double").alias("c0"))
-    top = counts.filter(c1 + c0 < n1 + n0).select("f", g2.alias("g2")).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "f").limit(VOCABULARY).collect() if n[0] and n[1] else []
-    vocabulary = {r.f: i for i, r in enumerate(top)}
-    numbers = docs.sparkSession.createDataFrame([(f, i) for f, i in vocabulary.items()], "f string, i int")
-    pairs = single.select("id", "y", F.explode(F.arrays_zip("features", "counts")).alias("x")).select("id", "y", F.col("x.features").alias("f"), F.col("x.counts").alias("c"))
-    vectors = pairs.join(F.broadcast(numbers), "f").groupBy("id", "y").agg(F.collect_list(F.struct("i", "c")).alias("v"))
-    held = sorted(((r.id, r.y, {x.i: x.c for x in r.v}) for r in vectors.collect()), key=lambda r: str(r[0]))  # bounded by the sample
-    found.unpersist()
-    single.unpersist()
+    rows = sorted(zip(found.column("y").to_pylist(), found.column("sketch").to_pylist(), found.column("id").to_pylist(), range(found.num_rows)), key=lambda r: (r[0], r[1], str(r[2])))
+    chosen = sorted((str(i), at) for k, (y, sketch, i, at) in enumerate(rows) if k == 0 or rows[k - 1][:2] != (y, sketch))
+    found = found.take(pa.array([at for _, at in chosen], pa.int64())).combine_chunks()
+    toxic = np.array(found.column("y").to_pylist(), np.int64)
+    n = {1: int(toxic.sum()), 0: int(len(toxic) - toxic.sum())}
+    lists, count = found.column("features").combine_chunks(), found.column("counts").combine_chunks().flatten().to_numpy()
+    owner = np.repeat(np.arange(len(toxic)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = pc.dictionary_encode(lists.flatten())
+    code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    c1 = np.bincount(code, toxic[owner], minlength=len(names))
+    c0 = np.bincount(code, minlength=len(names)) - c1
+    several = c1 + c0 >= 2
+    number = np.cumsum(several) - 1
+    vocabulary = {f: i for i, f in enumerate(names.filter(pa.array(several)).to_pylist())}
+    weights = label_weights(c1[several], c0[several], n[1], n[0]) if n[0] and n[1] else np.zeros(len(vocabulary))
+    keep = several[code]
     # 1 on average over the examples, so that they stand to the prior's one vote alike on tables of any size
     scale = max(1, n[0] + n[1]) / max(1, total.get(0, 0) + total.get(1, 0))
     label_weight = {y: scale * total.get(y, 0) / max(1, n[y]) for y in (0, 1)}
     mass = {y: label_weight[y] * n[y] for y in (0, 1)}
     prior = mass[1] / max(1e-9, mass[0] + mass[1])
-    blank = {y: label_weight[y] * (n[y] - sum(1 for r in held if r[1] == y)) for y in (0, 1)}
-    empty_rate = (blank[1] + prior) / (blank[0] + blank[1] + 1)
-    y = np.array([r[1] for r in held], np.int64)
-    return vocabulary, Index([r[2] for r in held], y, [r[0] for r in held], np.array([label_weight[v] for v in y.tolist()]), len(vocabulary), empty_rate, prior)
+    votes = np.where(toxic == 1, label_weight[1], label_weight[0])
+    return vocabulary, Index(owner[keep], number[code[keep]], count[keep], toxic, found.column("id").to_pylist(), votes, weights, prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prefix: str = "toxic_") -> DataFrame:
     """docs with three more columns: toxic_score (0 to 1), toxic_predicted (1 from THRESHOLD on) and toxic_evidence (the
     nearest three examples as structs of id and cosine); the prefix keeps their names apart from those of docs.
 
-    A document without any feature, an empty or null text too, gets the rate at which such examples are toxic. Repeated
-    rows are scored each; without labels of both kinds every score is that of the prior. Ids, and columns other than the
+    A document without any feature that the labels differ on, an empty or null text too, gets the rate of toxic rows among
+    the labelled ones. Ties in cosine go by example. Long texts are scored whole. Repeated rows are scored each; without labels of both kinds every score is that of the prior. Ids, and columns other than the
     text, are never inputs of a score. An empty table stays empty.
     """
     vocabulary, index = fit(docs, labels, id_col, text_col, label_col)
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, index))  # bounded: VOCABULARY features, a bounded sample of examples
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, index))  # bounded by the sample of examples
     names, at = docs.columns, docs.columns.index(text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     arrow_id = to_arrow_type(docs.schema[id_col].dataType)
@@ -192,12 +214,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for part in pieces(batch, text_col):
                 scores, evidence = [], []
                 for text in part.column(at).to_pylist():
-                    counts = known.counts(text) if text else Counter()
-                    key = tuple(sorted(counts.items()))
+                    key = xxhash.xxh3_128_digest(text or "")
                     if key not in done:
-                        if len(done) > 100_000:
+                        if len(done) > 20_000:
                             done.clear()
-                        s, near = index.score(counts)
+                        s, near = index.score(known.counts(text) if text else {})
                         done[key] = s, [{"id": index.ids[i], "cosine": c} for c, i in near[:3]]
                     scores.append(done[key][0])
                     evidence.append(done[key][1])

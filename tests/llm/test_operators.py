@@ -426,9 +426,64 @@ def test_toxicity_scores_do_not_grow_with_the_labelled_table(spark):
 def test_block_max_search_is_exact():
     r = np.random.default_rng(2)
     vectors = [{int(f): int(r.integers(1, 5)) for f in r.choice(30, r.integers(1, 8), replace=False)} for _ in range(500)]
-    index = toxicity.Index(vectors, np.zeros(500, int), list(range(500)), np.ones(500), 30, 0.1, 0.1, block=16)
-    unit = [index.unit(v) for v in vectors]
+    owner, feature, count = (np.array(x) for x in zip(*((i, f, c) for i, v in enumerate(vectors) for f, c in v.items())))
+    weights = r.random(30)
+    index = toxicity.Index(owner, feature, count, np.zeros(500, int), list(range(500)), np.ones(500), weights, 0.1, block=16)
+
+    def unit(v):
+        v = {f: (1 + math.log(c)) * weights[f] for f, c in v.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / norm for f, x in v.items()}
+
+    units = [unit(v) for v in vectors]
     for v in vectors[:60]:
-        q = index.unit(v)
-        want = sorted((sum(x * u.get(f, 0.0) for f, x in q.items()) for u in unit), reverse=True)[: toxicity.NEIGHBOURS]
+        q = unit(v)
+        want = sorted((sum(x * u.get(f, 0.0) for f, x in q.items()) for u in units), reverse=True)[: toxicity.NEIGHBOURS]
         assert [s for s, _ in index.nearest(v)] == pytest.approx(want)
+
+
+def test_toxicity_matches_plain_python(spark):
+    r = np.random.default_rng(15)
+    rows = []
+    for i in range(240):
+        words = [f"{x}ord" for x in r.integers(0, 60, 25)] + [f"only{i}"] + ["vilest", "rotten!"][: int(r.integers(1, 3))] * (i % 4 == 0)
+        rows.append((i, " ".join(str(x) for x in r.permutation(words))))
+    rows += [(500, ""), (501, None), (502, "nothing known"), (503, "Vilest 3ord")]
+    label = {i: int(i % 4 == 0) for i in range(240)}
+    out = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(list(label.items()), "doc_id long, toxic int"))
+    got = {x.doc_id: (x.toxic_score, x.toxic_predicted) for x in out.collect()}
+
+    def features(t):
+        words = [w.strip(".,;:!?") for w in (t or "").lower().split()]
+        return Counter([f"={w}" for w in words] + [f"^{w[:4]}" for w in words if len(w) >= 4])
+
+    train = [(features(t), label[i]) for i, t in rows if i in label and brute.crc(i, 3) != 1]
+    n = Counter(y for _, y in train)
+    held = {y: Counter(f for v, z in train if z == y for f in v) for y in (0, 1)}
+
+    def weight(f):
+        a, b = held[1][f], held[0][f]
+        if a + b < 2:
+            return 0.0
+        cells = ((a, n[1], a + b), (b, n[0], a + b), (n[1] - a, n[1], len(train) - a - b), (n[0] - b, n[0], len(train) - a - b))
+        g2 = 2 * sum(x * math.log(x * len(train) / (side * whole)) for x, side, whole in cells if x)
+        return (math.log((1 + len(train)) / (1 + a + b)) + 1) * min(1.0, g2 / 25) ** 2
+
+    weights = {f: weight(f) for f in held[0] + held[1]}
+
+    def unit(v):
+        v = {f: (1 + math.log(c)) * weights.get(f, 0.0) for f, c in v.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / norm for f, x in v.items() if x} if norm else {}
+
+    examples = [(unit(v), y) for v, y in train]
+    prior = n[1] / len(train)
+    for i, t in rows:
+        q = unit(features(t))
+        near = sorted(((sum(x * u.get(f, 0.0) for f, x in q.items()), y) for u, y in examples), key=lambda x: -x[0])
+        if len(near) > 15 and abs(near[14][0] - near[15][0]) < 1e-9:
+            continue  # a tie at the last place: either may vote
+        near = [x for x in near[:15] if x[0] > 0]
+        want = (sum(s * y for s, y in near) + prior) / (sum(s for s, _ in near) + 1)
+        assert got[i][0] == pytest.approx(want, abs=1e-9) and got[i][1] == int(got[i][0] >= 0.7), i
+    assert sum(p for i, (_, p) in got.items() if i in label and brute.crc(i, 3) == 1) > 5
