@@ -7,38 +7,43 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, join_groups
 
-#: Each round merges 2**RADIX_BITS runs into one; ROUNDS rounds bring together all runs of a digest.
-RADIX_BITS, ROUNDS = 4, 2
+#: Each round merges 2**RADIX_BITS runs into one; there are as many rounds as it takes to bring all runs together.
+RADIX_BITS = 4
 
 
-def merge_runs(rows: DataFrame, radix_bits: int = RADIX_BITS, rounds: int = ROUNDS) -> DataFrame:
-    """Merges (digest, check, id) rows into one row per digest: keep_id (the smallest id), max_id and group_size.
+def merge_runs(rows: DataFrame, radix_bits: int = RADIX_BITS) -> DataFrame:
+    """Merges (digest, check, id) rows into one row per digest: min_id, max_id and group_size.
 
-    Each input partition holds a run on a lane numbered with `rounds` digits of `radix_bits` bits. In round r the lanes
-    that differ only in digit r exchange their runs: an entry goes to the lane that has the digest's digit r there, and
-    equal entries of the 2**radix_bits runs that arrive are merged. After the last round a digest stands on the lane of
-    its own digits and nowhere else. Every level merges before it sends (Spark's partial aggregate), so a group of any
-    size leaves a task as one entry, and no lane ever holds more than its share of the distinct digests.
+    Each input partition is a run, on a lane of its own; lanes are numbered with digits of radix_bits bits, in as many
+    rounds as there are digits. In round r the lanes that differ only in digit r exchange their runs: an entry goes to the
+    lane that has the digest's digit r there, and that lane merges the 2**radix_bits sorted runs that arrive. After the
+    last round a digest stands on the lane of its own digits and nowhere else. Identifiers are kept as the smallest and
+    largest struct of id and check; structs have Spark sort and merge (SortAggregate) on both sides of each exchange, so
+    a run leaves its lane sorted and with one entry per digest, and no lane holds more than its share of the digests.
 
     At every level the entries that meet must agree in `check`, a second and independent hash of the text; otherwise the
-    query fails instead of merging different texts.
+    query fails instead of merging different texts. An empty table gives an empty result. rows is read twice.
     """
-    lanes, radix = 2 ** (radix_bits * rounds), 2**radix_bits
-    runs = rows.select(
-        "digest", "check", F.col("id").alias("lo"), F.col("id").alias("hi"), F.lit(1).cast("long").alias("n"),
-        F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane"),
-    )
-    home = F.pmod(F.xxhash64("digest"), F.lit(lanes)).cast("int")
+    radix = 2**radix_bits
+    several = rows.select(F.spark_partition_id().alias("run")).agg(F.coalesce(F.max("run"), F.lit(0)) + 1).first()[0]
+    rounds = 1
+    while radix**rounds < several:
+        rounds += 1
+    entry = F.struct("id", "check")
+    runs = rows.select("digest", entry.alias("lo"), entry.alias("hi"), F.lit(1).cast("long").alias("n"), F.spark_partition_id().alias("lane"))
+    home = F.pmod(F.xxhash64("digest"), F.lit(radix**rounds)).cast("int")
     for r in range(rounds):
         step = radix**r
         digit = lambda c, s=step: F.floor(c / F.lit(s)).cast("int") % F.lit(radix)
         to = (F.col("lane") - digit(F.col("lane")) * step + digit(home) * step).cast("int")
-        runs = runs.withColumn("lane", to).groupBy("lane", "digest").agg(
-            F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")
+        merged = runs.withColumn("lane", to).groupBy("lane", "digest").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.min("lo.check").alias("c0"), F.max("hi.check").alias("c1"),
+            F.min("hi.check").alias("c2"), F.max("lo.check").alias("c3"),
         )
-        same = F.when(F.col("c0") == F.col("c1"), F.col("c0")).otherwise(F.raise_error(F.lit("different texts have one digest")).cast("long"))
-        runs = runs.withColumn("check", same).drop("c0", "c1")
-    return runs.select("digest", F.col("lo").alias("min_id"), F.col("hi").alias("max_id"), F.col("n").alias("group_size"))
+        agree = (F.col("c0") == F.col("c1")) & (F.col("c0") == F.col("c2")) & (F.col("c0") == F.col("c3"))
+        count = F.when(agree, F.col("n")).otherwise(F.raise_error(F.lit("different texts have one digest")).cast("long"))
+        runs = merged.select("digest", "lo", "hi", count.alias("n"), "lane")
+    return runs.select("digest", F.col("lo.id").alias("min_id"), F.col("hi.id").alias("max_id"), F.col("n").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -63,7 +68,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of docs that exact_dedup() keeps, with all their columns."""
+    """The rows of docs that exact_dedup() keeps, with all their columns.
+
+    Null and empty texts are one group; long texts count whole. Rows that repeat both id and text stay or go together; a
+    null id goes where its group has another. An empty table stays empty, and columns may have any names.
+    """
     out = exact_dedup(docs.select(id_col, text_col), id_col, text_col, keep).filter("not kept")
     gone = out.select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_digest"))
     digest = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
