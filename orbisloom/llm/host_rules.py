@@ -18,35 +18,45 @@ _BLANKS = " \t\n\x0b\x0c\r"
 def repeated_words(df: DataFrame, words: str, name: str, n: int = 3) -> DataFrame:
     """Adds how many words stand in a window of n words that the row's array `words` has twice or more.
 
-    Within the row: each window gets one long, a hash whose low bits hold its position. Sorting these longs puts equal
-    windows side by side; each is then compared word by word with its neighbours, so hashes alone decide nothing. Cost
-    is n log n in the number of words, whatever repeats.
+    Within the row: each window gets one long, a hash whose low bits hold its position. Sorting these longs puts windows of
+    one hash side by side, in the order of their positions. Two neighbours of one hash that are equal word by word repeat
+    each other. Where neighbours share a hash and differ, something else may stand between equal windows; such a row, of
+    which there is about one in a million, is counted again by whole windows. So hashes alone decide nothing, either way.
     """
     w, size = F.col(words), F.size(words)
-    bits = F.greatest(F.lit(1), F.length(F.bin(size)))
-    df = once(df, "_bits", bits)
-    mask = F.expr("shiftleft(1L, _bits)") - 1
-    df = once(df, "_mask", mask)
+    df = once(df, "_bits", F.greatest(F.lit(1), F.length(F.bin(size))))
+    df = once(df, "_mask", F.expr("shiftleft(1L, _bits)") - 1)
+    mask, keys = F.col("_mask"), F.col("_keys")
     at = lambda i, k: F.get(w, (i + F.lit(k)).cast("int"))
-    key = lambda i: F.xxhash64(*[at(i, k) for k in range(n)]).bitwiseAND(F.bitwise_not(F.col("_mask"))).bitwiseOR(i.cast("long"))
+    hashed = lambda i: F.xxhash64(*[at(i, k) for k in range(n)])
+    key = lambda i: hashed(i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))
     df = once(df, "_keys", F.when(size >= n, F.sort_array(F.transform(F.sequence(F.lit(0), size - n), key))))
-    pos = lambda x: x.bitwiseAND(F.col("_mask"))
-    keys = F.col("_keys")
+    pos = lambda x: x.bitwiseAND(mask)
+    near = lambda x, y: (x.bitwiseXOR(y) <= mask) & (x.bitwiseXOR(y) >= 0)
 
-    def same(x: Column, j: Column) -> Column:
-        y = F.get(keys, j)
-        near = (x.bitwiseXOR(y) <= F.col("_mask")) & (x.bitwiseXOR(y) >= 0)
-        equal = F.lit(True)
+    def equal(x: Column, y: Column) -> Column:
+        found = F.lit(True)
         for k in range(n):
-            equal = equal & (at(pos(x), k) == at(pos(y), k))
-        return F.coalesce(near & equal, F.lit(False))
+            found = found & (at(pos(x), k) == at(pos(y), k))
+        return found
 
-    found = F.filter(keys, lambda x, i: same(x, i - 1) | same(x, i + 1))
-    df = once(df, "_found", F.sort_array(F.transform(found, pos)))
+    def same(x: Column, j: Column) -> Column:
+        y = F.get(keys, j)
+        return F.coalesce(near(x, y) & equal(x, y), F.lit(False))
+
+    # only windows that share their hash with a neighbour go on: in most texts a few
+    shared = F.filter(keys, lambda x, i: F.coalesce(near(x, F.get(keys, i - 1)), F.lit(False)) | F.coalesce(near(x, F.get(keys, i + 1)), F.lit(False)))
+    df = once(df, "_shared", shared).drop("_keys")
+    keys = F.col("_shared")
+    mixed = F.exists(F.sequence(F.lit(1), F.greatest(F.size(keys) - 1, F.lit(1))), lambda i: F.coalesce(near(F.get(keys, i), F.get(keys, i - 1)) & ~equal(F.get(keys, i), F.get(keys, i - 1)), F.lit(False)))
+    window = lambda x: F.slice(w, pos(x).cast("int") + 1, n)
+    again = F.filter(keys, lambda x: F.size(F.filter(keys, lambda y: window(y) == window(x))) > 1)
+    df = once(df, "_found", F.sort_array(F.transform(F.when(mixed, again).otherwise(F.filter(keys, lambda x, i: same(x, i - 1) | same(x, i + 1))), pos)))
     found = F.col("_found")
-    gaps = F.zip_with(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(n).cast("long")))
+    fewer = F.greatest(F.size(found) - 1, F.lit(0))
+    gaps = F.zip_with(F.slice(found, 2, fewer), F.slice(found, 1, fewer), lambda b, a: F.least(b - a, F.lit(n).cast("long")))
     total = F.aggregate(gaps, F.lit(n).cast("long"), lambda s, g: s + g)
-    return df.withColumn(name, F.when(F.coalesce(F.size(found), F.lit(0)) > 0, total).otherwise(F.lit(0)).cast("long")).drop("_bits", "_mask", "_keys", "_found")
+    return df.withColumn(name, F.when(F.coalesce(F.size(found), F.lit(0)) > 0, total).otherwise(F.lit(0)).cast("long")).drop("_bits", "_mask", "_shared", "_found")
 
 
 def document_metrics(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
