@@ -147,22 +147,27 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of (a, b), root the smallest node; for nodes with edges only.
 
     Alternates large-star and small-star steps, so rounds grow with the logarithm of the longest path and a node with
-    many neighbours only ever links them to its smallest one. Every round is checkpointed.
+    many neighbours only ever links them to its smallest one. A node's least neighbour comes from an aggregate, which
+    adds up before its shuffle, and goes back to the node's edges by join_groups, so a hub's edges stay where they are.
+    Every round is checkpointed.
     """
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        held = cut(least)
+        return join_groups(rows, held, "u", "n", held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    total = -1
+    state = None
     while True:
-        both = now.union(now.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = cut(small)
-        state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 2**40), F.lit(0))).first()
-        if tuple(state) == total:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = cut(with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        now = cut(small.filter("u <> v").distinct())
+        before, state = state, tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 2**40), F.lit(0))).first())
+        if state == before:
             return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        total = tuple(state)
 
 
 def dealt_cells(members: DataFrame, similarity: float) -> DataFrame:
@@ -296,6 +301,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stand for their group, with all their columns."""
+    """The rows of docs that stand for their group, with all their columns.
+
+    Texts without words, null or empty, are one group. Rows that repeat an id stay or go together; a null id stays only
+    where its group has no other. An empty table stays empty, and columns may have any names.
+    """
     gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, similarity).filter("not kept").select(F.col(id_col).alias("gone_id"))
     return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
