@@ -271,6 +271,41 @@ def test_warc_round_trip(spark, tmp_path):
     assert empty.count() == 0 and warc.read_warc(spark, f"file://{tmp_path}/d").count() == 0
 
 
+def test_warc_is_the_same_however_the_input_is_split(spark, tmp_path):
+    r = np.random.default_rng(30)
+    rows = [(int(i), f"http://h/{i}", f"{i % 997} body".encode() * int(1 + i % 3), "x", "y") for i in r.permutation(20_000)] + [(7, "http://again", b"z", "x", "y"), (7, "http://b", b"z", "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, payload binary, digest string, range string").cache()
+    seen = []
+    for k, n in enumerate((3, 11, 3)):
+        manifest = warc.write_warc(pages.repartition(n), f"file://{tmp_path}/{k}", roll_bytes=50_000, shards=8)
+        seen.append(sorted((x.file, x.records, x.sha256) for x in manifest.collect()))
+        assert sorted(x.name for x in (tmp_path / str(k)).iterdir()) == ["data", "manifest"]
+    assert seen[0] == seen[1] == seen[2] and len({x[0].split("-")[1] for x in seen[0]}) == 8
+    sizes = Counter()
+    for file, n, _ in seen[0]:
+        sizes[file.split("-")[1]] += n
+    assert max(sizes.values()) - min(sizes.values()) <= 3
+    got = warc.read_warc(spark, f"file://{tmp_path}/0").collect()
+    smallest = {}
+    for i, _, p, *_ in sorted(rows):
+        smallest.setdefault(p, i)
+    assert len(got) == len(rows)
+    payload = {(x.id, x.payload_digest): x for x in got}
+    for i, _, p, *_ in rows:
+        x = payload[str(i), base64.b32encode(hashlib.sha1(p).digest()).decode()]
+        assert (x.record_type, x.refers_to) == (("response", None) if smallest[p] == i else ("revisit", str(smallest[p])))
+
+
+def test_warc_keeps_ids_that_are_empty_null_or_repeated(spark, tmp_path):
+    pages = spark.createDataFrame([("", "a", b"1"), (None, "b", b"2"), ("x;1", "c", b"3"), ("x;1", "d", b"4"), ("é y", "e", b"5" * 3_000_000)], "page_id string, url string, payload binary")
+    warc.write_warc(pages, f"file://{tmp_path}/a", shards=2)
+    got = warc.read_warc(spark, f"file://{tmp_path}/a").collect()
+    assert sorted((x.id or "-", x.url, len(x.payload)) for x in got if x.id != "") == [("-", "b", 1), ("x;1", "c", 1), ("x;1", "d", 1), ("é y", "e", 3_000_000)]
+    assert [x.url for x in got if x.id == ""] == ["a"] and [x.url for x in got if x.id is None] == ["b"]
+    names = [warc.name_of("x;1", k) for k in (0, 1)]
+    assert len(set(names)) == 2 and {warc.id_of(x) for x in names} == {"x;1"} and warc.id_of(warc.name_of(None)) is None
+
+
 def test_packing(docs, none):
     library, got = Tokenizer.from_file(WORDS), packing.pack_documents(docs, WORDS).collect()
     want = Counter()
