@@ -26,7 +26,7 @@ from .common import pieces, small_batches, written
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 8_000_000
 #: Bytes of keys that one bucket should hold on average.
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 8_000_000
 
 
 def pack_bytes(data) -> bytes:

@@ -33,6 +33,8 @@ BACKOFF = 2.0
 END, BEGIN = 0, 1
 #: Bytes of keys (words, bigrams and trigrams) that a byte of text gives, for the number of buckets.
 KEYS_PER_BYTE = 2.0
+#: Bytes of text in a block, whose n-grams and automaton one task holds.
+BLOCK_BYTES = 4_000_000
 
 
 def held_out(id_col: str) -> Column:
@@ -81,6 +83,7 @@ class Block:
         learn = np.repeat(self.train, self.sizes)
         self.counts = [np.bincount(self.word[learn], minlength=w), np.bincount(pair[learn], minlength=len(self.bigrams)), np.bincount(triple[learn[inside]], minlength=len(self.trigrams))]
         self.counts[0][BEGIN] = self.train.sum()
+        del before, learn, inside, triple
         follow = lambda h, k, odd: mixed(h * np.uint64(odd) + mixed(self.hashes[k]))
         two = follow(self.hashes[self.bigrams // w], self.bigrams % w, 0x9E3779B97F4A7C15)
         three = follow(two[self.trigrams // w], self.trigrams % w, 0xD1B54A32D192ED03)
@@ -171,7 +174,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backo
     texts scores every token as unknown. Long texts are blocks of their own. Columns other than the two named are ignored.
     """
     source = docs.select(F.col(id_col).alias("id"), (~held_out(id_col)).alias("train"), F.col(text_col).alias("text"))
-    table = exchange.block_table(source, ["id", "train"], "text", encode, "words binary, tokens binary, sizes binary", "coded")
+    table = exchange.block_table(source, ["id", "train"], "text", encode, "words binary, tokens binary, sizes binary", "coded", BLOCK_BYTES)
     size = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     count = exchange.buckets_for(size * KEYS_PER_BYTE)
 

@@ -142,6 +142,7 @@ def test_blocks_of_any_size_give_the_same_results(spark, docs, monkeypatch):
     scores = sorted((repr(r.doc_id), r.n_known, round(r.score, 6)) for r in lm.score(docs).collect())
     for size in (1, 500):
         monkeypatch.setattr(exchange.block_table, "__defaults__", (size,))
+        monkeypatch.setattr(lm, "BLOCK_BYTES", size)
         assert sorted(map(repr, rows_of(substring.remove_repeats(docs)))) == want
         assert sorted((repr(r.doc_id), r.n_known, round(r.score, 6)) for r in lm.score(docs).collect()) == scores
 
