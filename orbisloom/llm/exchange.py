@@ -38,27 +38,22 @@ def unpack_bytes(data: bytes) -> bytes:
 
 
 def pack_array(a: np.ndarray) -> bytes:
-    return pack_bytes(np.ascontiguousarray(a).tobytes())
+    """An array of numbers, all first bytes before all second ones and so on, as high bytes are mostly alike."""
+    return pack_bytes(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes())
 
 
 def unpack_array(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(unpack_bytes(data), kind)
+    planes = np.frombuffer(unpack_bytes(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences, each in as many bytes as the largest of them needs."""
-    steps = np.diff(keys)
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Sorted keys as the first one and the steps to each next one."""
+    return pack_array(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    steps = np.zeros((len(raw) + 1, 8), np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
-    steps[1:, :width] = raw
-    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unpack_array(data, np.uint64), dtype=np.uint64)
 
 
 def block_table(docs: DataFrame, passed: list[str], text_col: str, encode: Callable, fields: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Examples are a bounded sample of the labelled training rows. Every word, and every beginning of a word, that two examples
 or more hold is a feature. Its weight in a text is (1 + ln count) * idf * s, where s, from 0 to 1, says how far the examples'
-labels differ on the feature: the square of G / LABEL_G2 up to 1, G being the likelihood-ratio statistic. So no feature is
-left out, and topic words don't drown the few that matter. The index is as large as the sample, whatever the corpus, and is
-broadcast; every document is then scored where it is read, with no shuffle.
+labels differ on the feature: it rises with G, the likelihood-ratio statistic, from 0 where G is below CHANCE_G2 (the 0.1 %
+level) to 1 at LABEL_G2. So no number of features is set, rare ones count a little, and topic words don't drown those that
+matter. The index is as large as the sample, whatever the corpus, and is broadcast; every document is then scored where it
+is read, with no shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import Memo, pieces, small_batches, windows
 
 #: At most so many training examples of each label are used: those with the smallest hash of the id.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1500, 3000
-#: The likelihood-ratio statistic from which a feature has its full idf.
-LABEL_G2 = 25.0
+#: The likelihood-ratio statistics up to which a feature has no weight, as chance explains it, and from which it has its full idf.
+CHANCE_G2, LABEL_G2 = 10.83, 25.0
 #: Blocks of the index that are read at a time.
 GROUP = 8
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, THRESHOLD = 15, 128, 1.0, 0.7
@@ -67,7 +68,7 @@ def label_weights(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.
     share = (toxic + clean) / max(1, n1 + n0)
     g2 = 2 * (term(toxic, share * n1) + term(clean, share * n0) + term(n1 - toxic, (1 - share) * n1) + term(n0 - clean, (1 - share) * n0))
     idf = np.log((1 + n1 + n0) / (1 + toxic + clean)) + 1
-    return idf * np.clip(g2 / LABEL_G2, 0.0, 1.0) ** 2
+    return idf * np.clip((g2 - CHANCE_G2) / (LABEL_G2 - CHANCE_G2), 0.0, 1.0) ** 2
 
 
 class Index:
@@ -177,11 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     c1 = np.bincount(code, toxic[owner], minlength=len(names))
     c0 = np.bincount(code, minlength=len(names)) - c1
-    several = c1 + c0 >= 2
-    number = np.cumsum(several) - 1
-    vocabulary = {f: i for i, f in enumerate(names.filter(pa.array(several)).to_pylist())}
-    weights = label_weights(c1[several], c0[several], n[1], n[0]) if n[0] and n[1] else np.zeros(len(vocabulary))
-    keep = several[code]
+    weights = label_weights(c1, c0, n[1], n[0]) if n[0] and n[1] else np.zeros(len(names))
+    used = (c1 + c0 >= 2) & (weights > 0)
+    number = np.cumsum(used) - 1
+    vocabulary = {f: i for i, f in enumerate(names.filter(pa.array(used)).to_pylist())}
+    weights, keep = weights[used], used[code]
     # 1 on average over the examples, so that they stand to the prior's one vote alike on tables of any size
     scale = max(1, n[0] + n[1]) / max(1, total.get(0, 0) + total.get(1, 0))
     label_weight = {y: scale * total.get(y, 0) / max(1, n[y]) for y in (0, 1)}

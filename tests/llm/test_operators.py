@@ -503,7 +503,7 @@ def test_toxicity_matches_plain_python(spark):
             return 0.0
         cells = ((a, n[1], a + b), (b, n[0], a + b), (n[1] - a, n[1], len(train) - a - b), (n[0] - b, n[0], len(train) - a - b))
         g2 = 2 * sum(x * math.log(x * len(train) / (side * whole)) for x, side, whole in cells if x)
-        return (math.log((1 + len(train)) / (1 + a + b)) + 1) * min(1.0, g2 / 25) ** 2
+        return (math.log((1 + len(train)) / (1 + a + b)) + 1) * min(1.0, max(0.0, g2 - 10.83) / 14.17) ** 2
 
     weights = {f: weight(f) for f in held[0] + held[1]}
 
