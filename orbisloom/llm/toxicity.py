@@ -76,7 +76,7 @@ class Index:
 
     The examples' features come as three arrays: the example, the feature and its count in the example."""
 
-    def __init__(self, owner: np.ndarray, feature: np.ndarray, count: np.ndarray, toxic: np.ndarray, ids: list, votes: np.ndarray, weights: np.ndarray, prior: float, block: int = BLOCK):
+    def __init__(self, owner: np.ndarray, feature: np.ndarray, count: np.ndarray, toxic: np.ndarray, ids: list, votes: np.ndarray, weights: np.ndarray, prior: float, empty_rate: float, block: int = BLOCK):
         n, self.term_weight = len(ids), weights
         value = (1 + np.log(count)) * weights[feature]
         norm = np.sqrt(np.bincount(owner, value * value, minlength=n))
@@ -91,7 +91,7 @@ class Index:
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         self.toxic, self.ids, self.votes = toxic[order], [ids[i] for i in order.tolist()], votes[order]
-        self.prior, self.blocks = prior, max(1, -(-n // block))
+        self.prior, self.empty_rate, self.blocks = prior, empty_rate, max(1, -(-n // block))
         at = place[owner]
         by = np.lexsort((at, feature))
         self.example, self.weight = at[by].astype(np.int32), value[by]
@@ -133,7 +133,7 @@ class Index:
         """A vote of the neighbours, each with its cosine and the weight of its label's sampling, with the prior as one more voter."""
         near = self.nearest(counts) if counts else []
         if not near:
-            return self.prior, []
+            return self.empty_rate, []
         at = np.array([i for _, i in near])
         vote = np.array([s for s, _ in near]) * self.votes[at]
         return float((vote @ self.toxic[at] + PRIOR_WEIGHT * self.prior) / (vote.sum() + PRIOR_WEIGHT)), near
@@ -189,15 +189,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     mass = {y: label_weight[y] * n[y] for y in (0, 1)}
     prior = mass[1] / max(1e-9, mass[0] + mass[1])
     votes = np.where(toxic == 1, label_weight[1], label_weight[0])
-    return vocabulary, Index(owner[keep], number[code[keep]], count[keep], toxic, found.column("id").to_pylist(), votes, weights, prior)
+    blank = np.bincount(owner[keep], minlength=len(toxic)) == 0  # examples without a feature that counts
+    empty_rate = float((votes[blank & (toxic == 1)].sum() + prior) / (votes[blank].sum() + 1))
+    return vocabulary, Index(owner[keep], number[code[keep]], count[keep], toxic, found.column("id").to_pylist(), votes, weights, prior, empty_rate)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prefix: str = "toxic_") -> DataFrame:
     """docs with three more columns: toxic_score (0 to 1), toxic_predicted (1 from THRESHOLD on) and toxic_evidence (the
     nearest three examples as structs of id and cosine); the prefix keeps their names apart from those of docs.
 
-    A document without any feature that the labels differ on, an empty or null text too, gets the rate of toxic rows among
-    the labelled ones. Ties in cosine go by example. Long texts are scored whole. Repeated rows are scored each; without labels of both kinds every score is that of the prior. Ids, and columns other than the
+    A document without any feature that the labels differ on, an empty or null text too, gets the rate at which such
+    examples are toxic. Ties in cosine go by example. Long texts are scored whole. Repeated rows are scored each; without labels of both kinds every score is that of the prior. Ids, and columns other than the
     text, are never inputs of a score. An empty table stays empty.
     """
     vocabulary, index = fit(docs, labels, id_col, text_col, label_col)

@@ -464,7 +464,7 @@ def test_block_max_search_is_exact():
     vectors = [{int(f): int(r.integers(1, 5)) for f in r.choice(30, r.integers(1, 8), replace=False)} for _ in range(500)]
     owner, feature, count = (np.array(x) for x in zip(*((i, f, c) for i, v in enumerate(vectors) for f, c in v.items())))
     weights = r.random(30)
-    index = toxicity.Index(owner, feature, count, np.zeros(500, int), list(range(500)), np.ones(500), weights, 0.1, block=16)
+    index = toxicity.Index(owner, feature, count, np.zeros(500, int), list(range(500)), np.ones(500), weights, 0.1, 0.1, block=16)
 
     def unit(v):
         v = {f: (1 + math.log(c)) * weights[f] for f, c in v.items()}
@@ -514,12 +514,13 @@ def test_toxicity_matches_plain_python(spark):
 
     examples = [(unit(v), y) for v, y in train]
     prior = n[1] / len(train)
+    blank = [y for u, y in examples if not u]
     for i, t in rows:
         q = unit(features(t))
         near = sorted(((sum(x * u.get(f, 0.0) for f, x in q.items()), y) for u, y in examples), key=lambda x: -x[0])
         if len(near) > 15 and abs(near[14][0] - near[15][0]) < 1e-9:
             continue  # a tie at the last place: either may vote
         near = [x for x in near[:15] if x[0] > 0]
-        want = (sum(s * y for s, y in near) + prior) / (sum(s for s, _ in near) + 1)
+        want = (sum(s * y for s, y in near) + prior) / (sum(s for s, _ in near) + 1) if near else (sum(blank) + prior) / (len(blank) + 1)
         assert got[i][0] == pytest.approx(want, abs=1e-9) and got[i][1] == int(got[i][0] >= 0.7), i
     assert sum(p for i, (_, p) in got.items() if i in label and brute.crc(i, 3) == 1) > 5
