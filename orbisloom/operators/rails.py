@@ -83,14 +83,30 @@ def perspective_lookup(x: Column, y: Column, width: int, height: int, source_wid
     return F.struct(px.alias("px"), py.alias("py"), F.coalesce(inside, F.lit(False)).alias("valid"))
 
 
-#: Four kinds of path, as the parts of each of their four anchors ahead, to the right, to the left and up. ahead,
-#: right, left and behind stand for the free way in that direction, rise for min(0.55 * ceiling, 0.35 * ahead).
-PATHS = (
-    ("push-in", "look_forward", ("0", "0.65 * ahead * (1.0/3)", "0.65 * ahead * (2.0/3)", "0.65 * ahead"), ("0", "0.052 * ahead", "-0.052 * ahead", "0.0156 * ahead"), ("0", "0.013 * ahead", "0.026 * ahead", "0.0195 * ahead"), None),
-    ("arc-sweep", "look_forward", ("0", "0.1575 * ahead", "0.315 * ahead", "0.45 * ahead"), ("0", "0.35 * right", "-0.35 * left", "0.1 * right"), ("0", "0.0135 * ahead", "0.0225 * ahead", "0.018 * ahead"), None),
-    ("crane-rise", "per_point_look", ("0", "0.12 * ahead", "0.25 * ahead", "0.35 * ahead"), ("0", "0", "0.1 * ahead", "0"), ("0", "0.5 * rise", "rise", "0.8 * rise"), "0.9 * ahead"),
-    ("pull-back", "per_point_look", ("0", "-0.55 * behind * (1.0/3)", "-0.55 * behind * (2.0/3)", "-0.55 * behind"), ("0", "0", "0", "0"), ("0", "0.022 * behind", "0.044 * behind", "0.066 * behind"), "0.9 * ahead"),
-)
+#: Where a path's four anchors lie on its length.
+FRACTIONS = (0.0, 0.35, 0.7, 1.0)
+#: A kind's label, how it looks, which free way its length is a share of, and that share.
+LENGTHS = (
+    ("push-in", "look_forward", "ahead", 0.65),
+    ("arc-sweep", "look_forward", "ahead", 0.45),
+    ("crane-rise", "per_point_look", "ahead", 1.0),
+    ("pull-back", "per_point_look", "behind", 0.55),
+)
+#: Each kind's anchors along its length.
+ALONG = {"push-in": FRACTIONS, "arc-sweep": FRACTIONS, "crane-rise": (0.0, 0.12, 0.25, 0.35), "pull-back": tuple(-f for f in FRACTIONS)}
+#: Each kind's anchors to the right, as shares of a width: SWAY of its length, half of the free way on either
+#: side, or its length.
+SWAY, HALF = 0.08, 0.5
+ASIDE = {
+    "push-in": ((0.0, "sway"), (1.0, "sway"), (-1.0, "sway"), (0.3, "sway")),
+    "arc-sweep": ((0.0, "right"), (0.7, "right"), (-0.7, "left"), (0.2, "right")),
+    "crane-rise": ((0.0, "length"), (0.0, "length"), (0.1, "length"), (0.0, "length")),
+    "pull-back": ((0.0, "length"),) * 4,
+}
+#: Each kind's anchors upwards, as shares of its length; crane-rise goes by its own height.
+UPWARDS = {"push-in": (0.0, 0.02, 0.04, 0.03), "arc-sweep": (0.0, 0.03, 0.05, 0.04), "crane-rise": (0.0, 0.5, 1.0, 0.8), "pull-back": (0.0, 0.04, 0.08, 0.12)}
+#: Where the kinds that hold their aim look, as a share of the free way ahead; a rise's shares of ceiling and way.
+AIM, RISE_OF_CEILING, RISE_OF_WAY = 0.9, 0.55, 0.35
 SHRINK, TRIES = 0.85, 6
 
 
@@ -123,11 +139,20 @@ def planned_paths(points: DataFrame, count: int = 4, sectors: int = 32) -> DataF
     paths = paths.withColumn("az", F.get("picked", F.floor(F.col("path") / 4) % F.size("picked")))
     way = lambda d: F.element_at("clear", F.pmod(F.floor((F.col("az") + d + 180.0) / (360.0 / sectors)), F.lit(sectors)).cast("int"))
     paths = paths.select("path", "az", "floor", "ceiling", "margin", way(0.0).alias("ahead"), way(90.0).alias("right"), way(-90.0).alias("left"), way(180.0).alias("behind"))
-    paths = paths.withColumn("rise", F.least(0.55 * F.col("ceiling"), 0.35 * F.col("ahead")))
-    number = lambda e: F.expr(e).cast("double")
-    anchor = lambda i, p: F.struct(F.lit(i).alias("i"), number(p[2][i]).alias("f"), number(p[3][i]).alias("s"), number(p[4][i]).alias("u"))
-    kind = lambda p: F.struct(F.lit(p[0]).alias("label"), F.lit(p[1]).alias("orientation"), (number(p[5]) if p[5] else F.lit(None).cast("double")).alias("aim"), F.array(*[anchor(i, p) for i in range(4)]).alias("anchors"))
-    paths = paths.withColumn("k", F.get(F.array(*map(kind, PATHS)), F.col("path") % len(PATHS)))
+    rise = F.least(RISE_OF_CEILING * F.col("ceiling"), RISE_OF_WAY * F.col("ahead"))
+
+    def kind(label: str, orientation: str, way: str, share: float) -> Column:
+        length = F.col(way) * share
+        width = {"sway": length * SWAY, "right": F.col("right") * HALF, "left": F.col("left") * HALF, "length": length}
+        height = rise if label == "crane-rise" else length
+        anchors = [
+            F.struct(F.lit(i).alias("i"), (length * ALONG[label][i]).alias("f"), (width[ASIDE[label][i][1]] * ASIDE[label][i][0]).alias("s"), (height * UPWARDS[label][i]).alias("u"))
+            for i in range(len(FRACTIONS))
+        ]
+        aim = AIM * F.col("ahead") if orientation == "per_point_look" else F.lit(None).cast("double")
+        return F.struct(F.lit(label).alias("label"), F.lit(orientation).alias("orientation"), aim.alias("aim"), F.array(*anchors).alias("anchors"))
+
+    paths = paths.withColumn("k", F.get(F.array(*[kind(*x) for x in LENGTHS]), F.col("path") % len(LENGTHS)))
     a = paths.select("path", "az", "floor", "ceiling", "margin", "k.label", "k.orientation", "k.aim", F.inline("k.anchors"))
     sin, cos, h = F.sin(F.radians("az")), F.cos(F.radians("az")), F.col("ceiling") - F.col("floor")
     a = a.withColumn("x", F.col("f") * sin + F.col("s") * cos).withColumn("z", F.col("f") * cos - F.col("s") * sin)

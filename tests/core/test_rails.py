@@ -48,6 +48,8 @@ def test_planned_paths(spark):
         if r.i == 0:
             assert math.hypot(r.x, r.z) == 0 and r.y == 0
     push = {r.i: r for r in rows if r.label == "push-in"}
+    back = {r.i: math.hypot(r.x, r.z) for r in rows if r.label == "pull-back"}
+    assert [back[i] / back[3] for i in range(4)] == pytest.approx([0, 0.35, 0.7, 1], abs=2e-3)  # anchors' places on a path
     assert push[3].z > 1 and abs(push[3].x) < push[3].z
     with pytest.raises(ValueError):
         rails.planned_paths(cloud.limit(10))
