@@ -148,26 +148,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, so rounds grow with the logarithm of the longest path and a node with
     many neighbours only ever links them to its smallest one. A node's least neighbour comes from an aggregate, which
-    adds up before its shuffle, and goes back to the node's edges by join_groups, so a hub's edges stay where they are.
-    Every round is checkpointed.
+    adds up before its shuffle, and is held before it goes back to the node's edges: a small table of them is broadcast,
+    and a large one meets the edges in a join whose skewed parts Spark splits. It ends when all that is left are stars.
     """
 
     def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-        held = cut(least)
-        return join_groups(rows, held, "u", "n", held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        return rows.join(cut(least), "u")
 
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    state = None
     while True:
+        role = lambda node, up, top: F.struct(F.col(node).alias("node"), F.lit(up).alias("up"), F.lit(top).alias("top"))
+        roles = now.select(F.inline(F.array(role("u", 1, 0), role("v", 0, 1))))
+        roles = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("top").alias("top"))
+        if roles.filter("up > 1 or up = 1 and top = 1").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = cut(with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = cut(small.filter("u <> v").distinct())
-        before, state = state, tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 2**40), F.lit(0))).first())
-        if state == before:
-            return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = cut(large)
+        joined = with_least(large, large.groupBy("u").agg(F.min("v").alias("m")))
+        now = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
 
 
 def dealt_cells(members: DataFrame, similarity: float) -> DataFrame:

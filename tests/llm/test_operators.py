@@ -18,7 +18,7 @@ from orbisloom.llm import bpe, exchange, lm, packing, substring, toxicity, url_f
 from orbisloom.llm.common import Memo, windows
 from orbisloom.llm.exact_dedup import exact_dedup, kept_documents
 from orbisloom.llm.host_rules import quality_rules
-from orbisloom.llm.near_dup import dart_signatures, near_duplicates
+from orbisloom.llm.near_dup import components, dart_signatures, near_duplicates
 
 from . import brute
 
@@ -204,6 +204,16 @@ def test_near_duplicates_of_one_template(spark):
     assert got == dict(enumerate(want))
 
 
+def test_components_of_hubs_chains_and_trees(spark):
+    r = np.random.default_rng(40)
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(int(r.integers(2000, 2000 + i)), 2000 + i) for i in range(1, 80)] + [(5, 5), (7, 0), (3000, 3001)]
+    frame = spark.createDataFrame([edges[i] for i in r.permutation(len(edges))], "a long, b long").repartition(3)
+    got = {x.node: x.root for x in components(frame).collect()}
+    want = {i: 0 for i in range(1, 400)} | {1001 + i: 1000 for i in range(60)} | {2000 + i: 2000 for i in range(1, 80)} | {3001: 3000}
+    assert {k: v for k, v in got.items() if k != v} == want
+    assert components(frame.limit(0)).count() == 0
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(0)
     a = r.integers(1, 2**63, 300).astype(np.uint64)
