@@ -32,12 +32,18 @@ def stride_group(df: DataFrame, group: list[str], order: list[str], every: int,
     included)."""
     if every < 1:
         raise ValueError("every must be 1 or more")
-    w = Window.partitionBy(*group)
-    df = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    # places over (group, order) less the group's first place, so that a large group is dealt over many tasks
+    at = with_position(df, [*group, *order], "_i")
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    sizes = at.groupBy(*keys).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    at = at.join(sizes, same).withColumn("_i", F.col("_i") - F.col("_first"))
     keep = F.col("_i") % every == 0
     if drop_partial:
         keep = keep & (F.col("_i") < F.col("_n") - (every - 1))
-    return df.filter(keep).drop("_i", "_n")
+    return at.filter(keep).select(*df.columns)
 
 
 def every_nth(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -34,6 +34,31 @@ def split_users(links: DataFrame, owner: str, kept: Column) -> DataFrame:
     return links.groupBy(owner).agg(F.bool_or(kept).alias("_a"), F.bool_or(~kept).alias("_b")).filter("_a and _b").select(owner)
 
 
+def cloned_cameras(cameras: DataFrame, images: DataFrame, camera_id: str, kept: Column) -> tuple[DataFrame, DataFrame]:
+    """(cameras, images): a camera that both kept and other images use gets a copy, numbered beyond the largest id in the order
+    of ids, to which its other images point. Images without a camera in the table stay as they are."""
+    split = cameras.join(split_users(images, camera_id, kept), camera_id, "left_semi").select(camera_id)
+    top = cameras.agg(F.coalesce(F.max(camera_id), F.lit(0)).alias("_top"))
+    placed = with_position(split, [camera_id], "_n").crossJoin(F.broadcast(top))
+    new = placed.select(F.col(camera_id).alias("_old"), (F.col("_top") + F.col("_n") + 1).cast(cameras.schema[camera_id].dataType).alias("_new"))
+    copies = cameras.join(new, F.col(camera_id) == F.col("_old")).withColumn(camera_id, F.col("_new")).select(*cameras.columns)
+    moved = images.join(new, (F.col(camera_id) == F.col("_old")) & ~kept, "left")
+    return cameras.unionByName(copies), moved.withColumn(camera_id, F.coalesce("_new", camera_id)).select(*images.columns)
+
+
+def aspect_mismatches(frames: DataFrame, width: Column, height: Column, ref_width: Column, ref_height: Column, tolerance: float = 0.01) -> DataFrame:
+    """Frames whose aspect is off from the reference's by more than a share; a null size or a height of 0 is no mismatch."""
+    aspect = lambda w, h: w.cast("double") / F.nullif(h.cast("double"), F.lit(0.0))
+    return frames.filter(F.abs(aspect(width, height) / F.nullif(aspect(ref_width, ref_height), F.lit(0.0)) - 1) > tolerance)
+
+
+def rescale_groups(frames: DataFrame, width: Column, height: Column, ref_width: Column, ref_height: Column, tolerance: float = 0.01) -> DataFrame:
+    """(ratio, n): frames of the reference's aspect by how much wider they are, rounded to 3 places (half to even)."""
+    sizes = frames.select(*[c.cast("double").alias(n) for c, n in zip((width, height, ref_width, ref_height), ("w", "h", "rw", "rh"))])
+    sizes = sizes.filter("w > 0 AND h > 0 AND rw > 0 AND rh > 0").filter(F.abs((F.col("w") / F.col("h")) / (F.col("rw") / F.col("rh")) - 1) <= tolerance)
+    return sizes.groupBy(F.bround(F.col("w") / F.col("rw"), 3).alias("ratio")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def strip_tracks(tracks: DataFrame, key: str, member: str, gone: DataFrame, keep_empty: bool = True) -> DataFrame:
     """(key, n): members that stay of each track after those in `gone` (same column name) are taken out; tracks that become
     empty stay with n = 0, or go."""

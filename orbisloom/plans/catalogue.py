@@ -467,6 +467,42 @@ def camera_centre(t):
     return c.select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+@query("""
+    WITH split AS (SELECT o_custkey AS k FROM orders GROUP BY 1 HAVING bool_or(o_orderstatus = 'F') AND bool_or(o_orderstatus <> 'F')),
+    new AS (SELECT k, (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY k) AS id FROM split JOIN customer ON c_custkey = k)
+    SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' AND id IS NOT NULL THEN id ELSE o_custkey END AS camera_id FROM orders LEFT JOIN new ON k = o_custkey""")
+def clone_repoint(t):
+    images = t("orders").select("o_orderkey", F.col("o_custkey").alias("camera_id"), "o_orderstatus")
+    cameras = t("customer").select(F.col("c_custkey").alias("camera_id"), "c_name")
+    return rel.cloned_cameras(cameras, images, "camera_id", F.col("o_orderstatus") == "F")[1].select("o_orderkey", "camera_id")
+
+
+@query("""
+    WITH split AS (SELECT o_custkey AS k FROM orders GROUP BY 1 HAVING bool_or(o_orderstatus = 'F') AND bool_or(o_orderstatus <> 'F'))
+    SELECT c_custkey AS camera_id, c_name FROM customer UNION ALL
+    SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY k), c_name FROM split JOIN customer ON c_custkey = k""")
+def clone_cameras(t):
+    images = t("orders").select("o_orderkey", F.col("o_custkey").alias("camera_id"), "o_orderstatus")
+    cameras = t("customer").select(F.col("c_custkey").alias("camera_id"), "c_name")
+    return rel.cloned_cameras(cameras, images, "camera_id", F.col("o_orderstatus") == "F")[0]
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey
+    WHERE abs((l_quantity / (l_linenumber * 7)) / (p_size / 10.0::DOUBLE) - 1) > 0.01""")
+def aspect_mismatch(t):
+    j = t("lineitem").join(t("part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    return rel.aspect_mismatches(j, F.col("l_quantity"), F.col("l_linenumber") * 7, F.col("p_size"), F.lit(10)).select("l_orderkey", "l_linenumber")
+
+
+@query("""
+    SELECT round_even(l_quantity / p_size, 3) AS ratio, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey
+    WHERE abs((l_quantity / l_linenumber) / (p_size / 5.0::DOUBLE) - 1) <= 0.01 GROUP BY 1""")
+def rescale_ratio(t):
+    j = t("lineitem").join(t("part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    return rel.rescale_groups(j, F.col("l_quantity"), F.col("l_linenumber"), F.col("p_size"), F.lit(5))
+
+
 #: Not from the reference, but built into Spark: grouping sets and event-time windows.
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def extra_rollup(t):

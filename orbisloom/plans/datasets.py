@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import camera as cam
@@ -194,9 +194,9 @@ def upscale_order(sequences: DataFrame, present: DataFrame) -> DataFrame:
     """(group_id, pos, name): a marker's sequences of the names that are present, each name where it stands first; names in no
     sequence are a last group by name."""
     first = od.first_per_key(rel.present(sequences.select("name", "seq_id", "pos"), present, "name"), ["name"], ["seq_id", "pos"])
-    extra = rel.orphans(present.select("name"), sequences, "name")
+    extra = od.with_position(rel.orphans(present.select("name"), sequences, "name"), ["name"], "pos").withColumn("pos", F.col("pos") + 1)
     last = sequences.agg((F.coalesce(F.max("seq_id"), F.lit(-1)) + 1).alias("g"))
-    extra = extra.crossJoin(F.broadcast(last)).select(F.col("g").alias("seq_id"), F.row_number().over(Window.partitionBy("g").orderBy("name")).alias("pos"), "name")
+    extra = extra.crossJoin(F.broadcast(last)).select(F.col("g").alias("seq_id"), "pos", "name")
     return first.select("seq_id", "pos", "name").unionByName(extra).withColumnRenamed("seq_id", "group_id")
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from orbisloom.operators import ordered as od
 from orbisloom.operators import relational as rel
 from orbisloom.plans import datasets as ds
 from orbisloom.streaming import chunks
@@ -144,3 +145,19 @@ def test_stream_average_matches_batch(spark, tmp_path):
     for i, x in enumerate(values):
         g = x if g is None else 0.6 * x + 0.4 * g
         assert got[i] == pytest.approx(g)
+
+
+def test_stride_group_null_groups_and_small_groups(spark):
+    df = spark.createDataFrame([("a", i) for i in range(7)] + [(None, i) for i in range(3)] + [("b", 0)], "g string, i int")
+    every = {(r.g, r.i) for r in od.stride_group(df, ["g"], ["i"], 3).collect()}
+    assert every == {("a", 0), ("a", 3), ("a", 6), (None, 0), ("b", 0)}
+    whole = {(r.g, r.i) for r in od.stride_group(df, ["g"], ["i"], 3, drop_partial=True).collect()}
+    assert whole == {("a", 0), ("a", 3), (None, 0)}
+
+
+def test_aspects_without_sizes(spark):
+    df = spark.createDataFrame([(1, 100, 50), (2, 100, 60), (3, 0, 50), (4, None, 50), (5, 100, 0)], "k int, w int, h int")
+    off = rel.aspect_mismatches(df, F.col("w"), F.col("h"), F.lit(200), F.lit(100))
+    assert sorted(r.k for r in off.collect()) == [2, 3]
+    same = rel.rescale_groups(df, F.col("w"), F.col("h"), F.lit(200), F.lit(100))
+    assert [tuple(r) for r in same.collect()] == [(0.5, 1)]
