@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +58,20 @@ def whole_group_rule(df: DataFrame, group: str, hit: Column, least: int) -> Data
 
 
 def common_divisor(sizes: DataFrame, size: str) -> DataFrame:
-    """The greatest common divisor of a column of positive whole numbers: those that divide the least are tested against all."""
-    least = sizes.agg(F.min(size)).first()[0]
-    if least is None:
-        return sizes.sparkSession.range(0).select(F.col("id").alias("gcd"))
-    divisors = [d for d in range(1, int(least) + 1) if least % d == 0]
-    tested = sizes.agg(*[F.bool_and(F.col(size) % d == 0).alias(f"d{d}") for d in divisors])
-    return tested.select(F.coalesce(*[F.when(F.col(f"d{d}"), F.lit(d)) for d in reversed(divisors)]).cast("long").alias("gcd"))
+    """The greatest common divisor of a column of positive whole numbers; no rows for an empty table.
+
+    Each pass takes the least remainder by the divisor so far, which it then shares; so the divisor halves at least with
+    each pass, and one is right when it leaves no remainder."""
+    spark = sizes.sparkSession
+    divisor = sizes.agg(F.min(size)).first()[0]
+    if divisor is None:
+        return spark.range(0).select(F.col("id").alias("gcd"))
+    while True:
+        rest = F.col(size) % divisor
+        least = sizes.agg(F.min(F.when(rest > 0, rest))).first()[0]
+        if least is None:
+            return spark.range(1).select(F.lit(int(divisor)).cast("long").alias("gcd"))
+        divisor = gcd(int(divisor), int(least))
 
 
 def scale_fit(df: DataFrame, ratio: Column, least: int = 20) -> DataFrame:

@@ -74,8 +74,9 @@ def first_per_key(df: DataFrame, key: list[str], order: list[Column | str]) -> D
 
 def gaps_and_islands(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group, first, last, n): maximal runs of consecutive whole numbers, repeats ignored."""
-    w = Window.partitionBy(*group).orderBy(value)
-    runs = df.select(*group, value).distinct().withColumn("_run", F.col(value) - F.row_number().over(w))
+    # places over (group, value): value less place is the same within a run, and a large group is dealt over many tasks
+    at = with_position(df.select(*group, value).distinct(), [*group, value], "_i")
+    runs = at.withColumn("_run", F.col(value) - F.col("_i")).drop("_i")
     return runs.groupBy(*group, "_run").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
