@@ -221,11 +221,13 @@ def audit(
     sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     sources = counts.filter("term is null").groupBy("lang").agg(F.count(F.lit(1)).alias("sources"))
     sizes = sources.join(sizes, "lang", "left").select(
-        "lang", F.coalesce("v", F.lit(0)).alias("v"), (F.coalesce("lang_total", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("lang_total"),
+        "lang", "sources", F.coalesce("v", F.lit(0)).alias("v"), (F.coalesce("lang_total", F.lit(0)) + F.coalesce("v", F.lit(0))).alias("lang_total"),
         F.ceil(F.col("v") / chunk_terms).cast("int").alias("chunks"), F.ceil(F.col("sources") / block_sources).cast("int").alias("blocks"),
     )
     sizes = cut(sizes)
-    placed = vocabulary.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
+    every = sizes.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("sources"), F.lit(0))).first()
+    placed = join_groups(vocabulary, sizes.select("lang", "v", "chunks"), "lang", "v", every[0])
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
     in_chunk = Window.partitionBy("lang", "chunk")
     placed = placed.select(
         "lang", "term", "lang_n", "chunk", (F.row_number().over(in_chunk.orderBy("term")) - 1).alias("at"),
@@ -233,7 +235,8 @@ def audit(
     )
     kept = written(terms.select("lang", "source", "term", "n").join(placed, ["lang", "term"]), "kept_terms")
     used = kept.groupBy("lang", "source").agg(F.sum("n").alias("used"), F.count(F.lit(1)).alias("n_terms"))
-    roster = counts.filter("term is null").select("lang", "source").join(used, ["lang", "source"], "left").join(sizes, "lang")
+    roster = join_groups(counts.filter("term is null").select("lang", "source"), sizes, "lang", "sources", every[1])
+    roster = roster.join(used, ["lang", "source"], "left")
     roster = cut(roster.select(
         "lang", "source", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int").alias("block"), "blocks", "chunks", "lang_total",
         (F.coalesce("used", F.lit(0)) + F.col("v")).alias("total"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"),
