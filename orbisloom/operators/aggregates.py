@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import even_sample
+from .selection import group_percentiles, percentiles
 
 
 def densest_bucket(df: DataFrame, columns: list[str], edge: float | Column, order: str) -> DataFrame:
@@ -25,10 +26,10 @@ def extent(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def scene_radius(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The greatest distance from the point of the columns' medians."""
-    middle = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    square = sum((F.col(c) - F.col(f"_m_{c}")) ** 2 for c in columns)
-    return df.crossJoin(F.broadcast(middle)).agg(F.sqrt(F.max(square)).alias("radius"))  # one row
+    """The greatest distance from the point of the columns' medians; null without rows."""
+    middle = [percentiles(df, c, [0.5])[0] for c in columns]
+    square = sum((F.col(c) - F.lit(m)) ** 2 for c, m in zip(columns, middle))
+    return df.agg(F.sqrt(F.max(square)).alias("radius"))
 
 
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
@@ -76,10 +77,11 @@ def common_divisor(sizes: DataFrame, size: str) -> DataFrame:
 
 def scale_fit(df: DataFrame, ratio: Column, least: int = 20) -> DataFrame:
     """(n, scale, spread): median and quartile range over median of the positive ratios; null with fewer than `least`."""
-    good = df.select(ratio.alias("_r")).filter("_r > 0")
-    q = good.agg(F.count(F.lit(1)).alias("n"), F.percentile("_r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    good = df.select(ratio.cast("double").alias("_r")).filter("_r > 0")
+    low, middle, high = percentiles(good, "_r", [0.25, 0.5, 0.75])
     fine = F.col("n") >= least
-    return q.select("n", F.when(fine, F.col("_q")[1]).alias("scale"), F.when(fine, (F.col("_q")[2] - F.col("_q")[0]) / F.col("_q")[1]).alias("spread"))
+    spread = (F.lit(high) - F.lit(low)) / F.lit(middle)
+    return good.agg(F.count(F.lit(1)).alias("n")).select("n", F.when(fine, F.lit(middle)).alias("scale"), F.when(fine, spread).alias("spread"))
 
 
 def mean_direction(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -116,8 +118,9 @@ def sector_ranges(points: DataFrame, x: str, y: str, sectors: int = 32, share: f
     """(sector, clearance): a low percentile of the range in each sector; sectors with few points get the median of the
     others, or 1 when there is none."""
     r = F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))
-    found = points.groupBy(sector_of(F.col(x), F.col(y), sectors).alias("sector")).agg(F.percentile(r, F.lit(share)).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    found = found.select("sector", F.when(F.col("_n") >= least, F.col("_p")).alias("_p"))
+    ranges = points.select(sector_of(F.col(x), F.col(y), sectors).alias("sector"), r.alias("_r"))
+    found = group_percentiles(ranges, ["sector"], "_r", [share])
+    found = found.select("sector", F.when(F.col("n") >= least, F.col("p0")).alias("_p"))
     middle = found.agg(F.coalesce(F.median("_p"), F.lit(1.0)).alias("_m"))
     every = points.sparkSession.range(sectors).select(F.col("id").cast("int").alias("sector"))
     return every.join(found, "sector", "left").crossJoin(F.broadcast(middle)).select("sector", F.coalesce("_p", "_m").alias("clearance"))  # one row per sector
@@ -137,8 +140,8 @@ def voxel_downsample(points: DataFrame, columns: list[str], budget: int, order:
     total = points.count()
     if total <= budget:
         return points
-    q = points.agg(*[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(c) for c in columns]).first()
-    span = max(max(q[c][1] - q[c][0] for c in columns), 1e-9)
+    ends = [percentiles(points, c, [0.01, 0.99]) for c in columns]
+    span = max(max(high - low for low, high in ends), 1e-9)
     low, high, tolerance, best = span / 4096, span, max(1, budget // 40), None
     for _ in range(rounds):
         edge = (low * high) ** 0.5
@@ -154,8 +157,8 @@ def voxel_downsample(points: DataFrame, columns: list[str], budget: int, order:
 
 def robust_band(points: DataFrame, value: str) -> DataFrame:
     """(floor, ceiling): the 3rd and 97th percentile, the floor at most -0.05 and the ceiling at least 0.05."""
-    q = points.agg(F.percentile(value, F.array(F.lit(0.03), F.lit(0.97))).alias("_q"))
-    return q.select(F.least(F.col("_q")[0], F.lit(-0.05)).alias("floor"), F.greatest(F.col("_q")[1], F.lit(0.05)).alias("ceiling"))
+    low, high = percentiles(points, value, [0.03, 0.97])
+    return points.sparkSession.range(1).select(F.least(F.lit(low), F.lit(-0.05)).alias("floor"), F.greatest(F.lit(high), F.lit(0.05)).alias("ceiling"))
 
 
 def stage_totals(metrics: DataFrame, stage: list[str], seconds: str, frames: int) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from math import ceil, exp, pi
+from math import pi
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import lines
 from .ordered import held
 from .raster import sharpness
 
@@ -23,32 +24,9 @@ def repair_metrics(before: DataFrame, after: DataFrame, frame: str, value: str)
     return a.join(b, frame).join(drift, frame, "left").select(frame, gain.alias("gain"), "drift")
 
 
-def gaussian_kernel(sigma: float) -> list[float]:
-    """Weights of a Gaussian over an odd width of about eight sigma, which add up to 1."""
-    radius = max(1, int(ceil(sigma * 4)))
-    w = [exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    return [x / sum(w) for x in w]
-
-
-def _mirrored(at: Column, size: int) -> Column:
-    """Positions beyond the border, reflected without repeating the edge."""
-    period = max(1, 2 * (size - 1))
-    p = F.pmod(at, F.lit(period))
-    return F.when(p < size, p).otherwise(period - p).cast("int")
-
-
 def blurred(pixels: DataFrame, frame: str, value: str, sigma: float, height: int, width: int) -> DataFrame:
-    """A Gaussian blur in two one-dimensional passes. Every pixel takes from 2r + 1 places (reflected at the borders), so each
-    pass sends as many rows per pixel; a large sigma belongs on a smaller grid."""
-    kernel = gaussian_kernel(sigma)
-    r = len(kernel) // 2
-    steps = F.explode(F.array(*[F.struct(F.lit(k - r).alias("d"), F.lit(w).alias("w")) for k, w in enumerate(kernel)]))
-    out = pixels.select(frame, "y", "x", F.col(value).alias("_v"))
-    for axis, size in (("x", width), ("y", height)):
-        other = "y" if axis == "x" else "x"
-        asked = out.select(frame, other, F.col(axis).alias("_at"), steps.alias("_s")).withColumn(axis, _mirrored(F.col("_at") + F.col("_s.d"), size))
-        out = asked.join(out, [frame, other, axis]).groupBy(frame, other, F.col("_at").alias(axis)).agg(F.sum(F.col("_s.w") * F.col("_v")).alias("_v"))
-    return out.select(frame, "y", "x", F.col("_v").alias(value))
+    """A Gaussian blur with reflected borders; a large sigma belongs on a smaller grid."""
+    return lines.gaussian(pixels, [frame], [value], sigma, height, width)
 
 
 def box_feathered(holes: DataFrame, frame: str, value: str, radius: int, height: int, width: int) -> DataFrame:
@@ -143,18 +121,23 @@ def agreement(pixels: DataFrame, frame: str, a: str, b: str, radius: int, height
     return sums.select(frame, "y", "x", z.alias("zncc"))
 
 
-def least_squares(entries: DataFrame, rhs: DataFrame, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+def least_squares(entries: DataFrame, rhs: DataFrame, rounds: int | None = None, tolerance: float = 1e-9) -> DataFrame:
     """(j, x) minimising |Ax - b| for A in coordinates (i, j, v) and b in (i, b), by conjugate gradients on the normal
-    equations: each round is two sparse products (a join and an aggregation); of the vectors the driver sees two sums."""
+    equations: each round is two sparse products (a join and an aggregation); of the vectors the driver sees two sums.
+
+    Without `rounds` it goes on until the tolerance is met, at most ten rounds per unknown; then, as after so many `rounds`,
+    it raises ArithmeticError, with how far it came, rather than give an answer that isn't one."""
     product = lambda vec, key, out: entries.join(vec, key).groupBy(out).agg(F.sum(F.col("v") * F.col("x")).alias("x"))
     columns = entries.select("j").distinct()
     r = held(columns.join(product(rhs.select("i", F.col("b").alias("x")), "i", "j"), "j", "left").select("j", F.coalesce("x", F.lit(0.0)).alias("x")))
     p, x = r, held(columns.select("j", F.lit(0.0).alias("x")))
     square = lambda d: d.agg(F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0))).first()[0]
     rr = first = square(r)
-    for _ in range(rounds):
-        if rr <= tolerance * tolerance * max(first, 1e-300):
-            break
+    most, done = rounds if rounds is not None else 10 * x.count() + 10, 0
+    while rr > tolerance * tolerance * max(first, 1e-300):
+        if done == most:
+            raise ArithmeticError(f"after {done} rounds the residual is {(rr / first) ** 0.5:.3g} of the first, not {tolerance:.3g}")
+        done += 1
         ap = product(p, "j", "i")
         alpha = rr / max(square(ap), 1e-300)
         q = product(ap, "i", "j").withColumnRenamed("x", "q")
@@ -168,36 +151,55 @@ def least_squares(entries: DataFrame, rhs: DataFrame, rounds: int = 100, toleran
 
 
 def vanishing_points(segments: DataFrame, image: str, rounds: int = 1500, degrees: float = 1.5, least: int = 4, seed: int = 0, most: int = 3) -> DataFrame:
-    """(image, k, vx, vy, vw, inliers): up to `most` vanishing points of an image's segments (x0, y0, x1, y1), by random pairs
-    of lines with inliers weighted by length; an image's segments are few, so each image is one group."""
+    """(image, k, vx, vy, vw, inliers): up to `most` vanishing points of an image's segments (x0, y0, x1, y1), as homogeneous
+    directions, so points at infinity too.
+
+    Pairs of lines are drawn by length, a pair's point is scored by the length of the segments that point at it within
+    `degrees`, and the best one is fitted again to all its segments by least squares, weighted by length. An image's
+    segments are few, so each image is one group; the draws hang on its segments and the seed alone."""
     limit = np.sin(np.radians(degrees))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rng, out = np.random.default_rng(seed), []
+        rows = rows.sort_values(["x0", "y0", "x1", "y1"])
         a, b = rows[["x0", "y0"]].to_numpy(float), rows[["x1", "y1"]].to_numpy(float)
         length = np.hypot(*(b - a).T)
+        long_enough = length > 1e-9
+        a, b, length = a[long_enough], b[long_enough], length[long_enough]
         line = np.cross(np.c_[a, np.ones(len(a))], np.c_[b, np.ones(len(b))])
-        left = np.arange(len(rows))
+        line /= np.hypot(line[:, 0], line[:, 1])[:, None]
+        mid, along = (a + b) / 2, (b - a) / length[:, None]
+
+        def close(v: np.ndarray, of: np.ndarray) -> np.ndarray:
+            to = v[:2] - v[2] * mid[of]
+            off = np.abs(to[:, 0] * along[of, 1] - to[:, 1] * along[of, 0])
+            return off < limit * np.maximum(np.hypot(*to.T), 1e-12)
+
+        left = np.arange(len(a))
         while len(out) < most and len(left) >= 6:
-            best, got = -1.0, None
+            best, got = 0.0, None
+            weight = length[left] / length[left].sum()
             for _ in range(rounds):
-                i, j = rng.choice(left, 2, replace=False)
+                i, j = rng.choice(left, 2, replace=False, p=weight)  # long segments give the better directions
                 v = np.cross(line[i], line[j])
                 if np.linalg.norm(v) < 1e-9:
                     continue
-                v = v / np.linalg.norm(v)
-                mid = (a[left] + b[left]) / 2
-                to = v[:2] - v[2] * mid
-                along = (b[left] - a[left]) / np.maximum(length[left], 1e-9)[:, None]
-                off = np.abs(to[:, 0] * along[:, 1] - to[:, 1] * along[:, 0]) / np.maximum(np.hypot(*to.T), 1e-12)
-                hit = off < limit
+                hit = close(v / np.linalg.norm(v), left)
                 score = length[left][hit].sum()
                 if hit.sum() >= least and score > best:
-                    best, got = score, (v, left[hit])
+                    best, got = score, left[hit]
             if got is None:
                 break
-            out.append((rows[image].iloc[0], len(out), *got[0], len(got[1])))
-            left = np.setdiff1d(left, got[1])
+            # the point nearest all inlier lines, as a direction, so that one at infinity is found too; the unit of length is the
+            # segments' own spread, so that the three coordinates weigh alike
+            centre, scale = mid[got].mean(axis=0), max(1.0, float(np.abs(mid[got] - mid[got].mean(axis=0)).max()))
+            local = np.c_[line[got, :2], (line[got, 2] + line[got, :2] @ centre) / scale]
+            v = np.linalg.svd(local * length[got, None])[2][-1]
+            v = np.array([v[0] * scale + centre[0] * v[2], v[1] * scale + centre[1] * v[2], v[2]])
+            v /= np.linalg.norm(v)
+            v = -v if v[np.flatnonzero(np.abs(v) > 1e-12)[-1]] < 0 else v
+            out.append((rows[image].iloc[0], len(out), *v, len(got)))
+            left = np.setdiff1d(left, got)
         return pd.DataFrame(out, columns=[image, "k", "vx", "vy", "vw", "inliers"])
 
     kind = segments.schema[image].dataType.simpleString()

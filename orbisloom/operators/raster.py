@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import kept_components  # noqa: F401  (a mask operator like those here)
+from .selection import percentiles
+
 EPS, NEAR_W = 1e-6, 1e-4
 
 
@@ -91,8 +94,7 @@ def cut_spans(faces: DataFrame, vertices: DataFrame, disparity: str, percentile:
     for i in range(3):
         f = f.join(vertices.select(F.col("vid").alias(f"v{i}"), F.col(disparity).alias(f"_d{i}")), f"v{i}")
     f = f.withColumn("_span", F.greatest("_d0", "_d1", "_d2") - F.least("_d0", "_d1", "_d2"))
-    most = f.agg(F.percentile("_span", F.lit(percentile)).alias("_most"))
-    return f.crossJoin(F.broadcast(most)).filter("_span <= _most").select(*faces.columns)  # one row
+    return f.filter(F.col("_span") <= F.lit(percentiles(f, "_span", [percentile])[0])).select(*faces.columns)
 
 
 def ray_grid(df: DataFrame, n: int, width: str, height: str) -> DataFrame:
@@ -182,19 +184,24 @@ def grid_faces(height: int, width: int, spark) -> DataFrame:
     return cells.select("y", "x", F.explode(two).alias("_t")).select((2 * (F.col("y") * width + F.col("x")) + F.col("_t.k")).cast("int").alias("fid"), "_t.v0", "_t.v1", "_t.v2")
 
 
-def kept_components(pixels: DataFrame, frame: str, least: int, rounds: int = 64) -> DataFrame:
-    """Set pixels (frame, y, x) of 8-connected regions of at least `least` pixels; labels spread until nothing changes, each
-    round checkpointed where a checkpoint folder is set."""
-    now = pixels.select(frame, "y", "x", F.struct("y", "x").alias("label"))
-    folder = pixels.sparkSession.sparkContext.getCheckpointDir()
-    for _ in range(rounds):
-        near = now.select(frame, F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)).alias("y"), "x", "label").select(frame, "y", F.explode(F.sequence(F.col("x") - 1, F.col("x") + 1)).alias("x"), "label")
-        least_label = near.groupBy(frame, "y", "x").agg(F.min("label").alias("_l"))
-        new = now.join(least_label, [frame, "y", "x"]).select(frame, "y", "x", F.col("_l").alias("label"), (F.col("_l") != F.col("label")).alias("_moved"))
-        new = new.checkpoint() if folder else new.persist()
-        moved = new.filter("_moved").limit(1).count()
-        now = new.drop("_moved")
-        if not moved:
-            break
-    w = Window.partitionBy(frame, "label")
-    return now.withColumn("_n", F.count(F.lit(1)).over(w)).filter(F.col("_n") >= least).select(frame, "y", "x")
+def ownership_masks(
+    pixels: DataFrame, view: str, clean: Column, footprint: Column, best: Column, mask: str, ratio: float, shrink: int, most: float, height: int, width: int, every: int = 4,
+) -> DataFrame:
+    """(view, y, x, mask, owned, capped): masks with the pixels blacked out that another view owns at equal or better sampling.
+
+    A clean pixel is owned where the best footprint on its surface is at most `ratio` of its own; owned regions shrink by
+    `shrink` pixels, within the frame. A view of which more than `most` would then be masked (below 128) is capped: a lattice
+    of every `every`-th pixel that was alive stays alive, so that no mask is all black."""
+    p = pixels.select(view, "y", "x", F.col(mask).alias("_old"), F.coalesce(clean & (best <= footprint * ratio), F.lit(False)).cast("int").alias("_own"))
+    if shrink > 0:
+        p = p.drop("_own").join(erode(p, view, "_own", shrink, height, width), [view, "y", "x"])
+    p = p.withColumn("_new", F.when(F.col("_own") == 1, F.lit(0)).otherwise(F.col("_old")))
+    shares = p.groupBy(view).agg((1 - F.avg((F.col("_new") >= 128).cast("double"))).alias("_share"))
+    p = p.join(shares.select(view, (F.col("_share") > most).alias("capped")), view)
+    alive = F.col("capped") & (F.col("y") % every == 0) & (F.col("x") % every == 0) & (F.col("_old") >= 128)
+    return p.select(view, "y", "x", F.when(alive, F.lit(255)).otherwise(F.col("_new")).cast("int").alias("mask"), (F.col("_own") == 1).alias("owned"), "capped")
+
+
+def mask_report(masks: DataFrame, view: str) -> DataFrame:
+    """(view, masked, capped): the share of each view's pixels that are masked."""
+    return masks.groupBy(view).agg((1 - F.avg((F.col("mask") >= 128).cast("double"))).alias("masked"), F.bool_or("capped").alias("capped"))

@@ -408,7 +408,5 @@ def raster_contest(t):
 
 @query("SELECT l_returnflag AS stage, round(sum(l_quantity), 2) AS seconds FROM lineitem GROUP BY 1")
 def stage_seconds(t):
-    li = t("lineitem").select(F.col("l_returnflag").alias("stage"), F.col("l_quantity").cast("double").alias("seconds"), F.lit(1).alias("frames"))
-    out = agg.stage_totals(li, ["stage"], "seconds", "frames")
-    total = next(c for c in out.columns if c not in ("stage",))
-    return out.select("stage", F.round(total, 2).alias("seconds"))
+    li = t("lineitem").select(F.col("l_returnflag").alias("stage"), F.col("l_quantity").cast("double").alias("seconds"))
+    return agg.stage_totals(li, ["stage"], "seconds", 1).select("stage", F.round("total", 2).alias("seconds"))
