@@ -9,11 +9,14 @@ import os
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.camera import MODELS
+from ..operators.ordered import held
 
 SCHEMAS = {
     "cameras": "camera_id int, model string, model_id int, width long, height long, params array<double>",
@@ -111,6 +114,11 @@ def record_count(spark: SparkSession, file: str) -> DataFrame:
     return spark.read.format("binaryFile").load(file).select("path", F.when(F.octet_length(content) >= 8, little_endian_long(content, 1)).otherwise(0).alias("n"))
 
 
+def _fields(struct_value):
+    """The fields of a struct in order: a row's, or a dictionary's as Arrow gives it."""
+    return struct_value.values() if isinstance(struct_value, dict) else struct_value
+
+
 def _camera_bytes(r) -> bytes:
     model_id, n = _BY_NAME[r.model]
     if len(r.params) != n:
@@ -120,30 +128,55 @@ def _camera_bytes(r) -> bytes:
 
 def _image_bytes(r) -> bytes:
     seen = r.observations or []
-    return struct.pack("<i7di", r.image_id, r.qw, r.qx, r.qy, r.qz, r.tx, r.ty, r.tz, r.camera_id) + r.name.encode() + b"\0" + struct.pack("<Q", len(seen)) + b"".join(struct.pack("<ddq", *o) for o in seen)
+    return struct.pack("<i7di", r.image_id, r.qw, r.qx, r.qy, r.qz, r.tx, r.ty, r.tz, r.camera_id) + r.name.encode() + b"\0" + struct.pack("<Q", len(seen)) + b"".join(struct.pack("<ddq", *_fields(o)) for o in seen)
 
 
 def _point_bytes(r) -> bytes:
     track = r.track or []
-    return struct.pack("<Qddd3BdQ", r.point3d_id, r.x, r.y, r.z, r.r, r.g, r.b, r.error, len(track)) + b"".join(struct.pack("<ii", *t) for t in track)
+    return struct.pack("<Qddd3BdQ", r.point3d_id, r.x, r.y, r.z, r.r, r.g, r.b, r.error, len(track)) + b"".join(struct.pack("<ii", *_fields(t)) for t in track)
 
 
 _WRITERS = {"cameras": ("camera_id", _camera_bytes, "cameras.bin"), "images": ("image_id", _image_bytes, "images.bin"), "points3d": ("point3d_id", _point_bytes, "points3D.bin")}
 
 
 def write_model(tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes the tables given, sorted by id, each to a temporary name and then renamed. One file holds a whole table by the
-    format's nature, so rows stream through the driver a partition at a time."""
+    """Writes the tables given, each sorted by id, to a temporary name that is then renamed.
+
+    Tasks encode the sorted parts; sums of the parts' sizes say where each begins, and tasks write them there, into one file
+    that all can reach. So the driver sees sizes only, and a task that runs again writes the same bytes at the same place."""
     os.makedirs(folder, exist_ok=True)
     for kind, df in tables.items():
         key, to_bytes, file = _WRITERS[kind]
         target = os.path.join(folder, file)
-        with open(target + ".tmp", "wb") as f:
-            f.write(struct.pack("<Q", 0))
-            n = 0
-            for row in df.orderBy(key).toLocalIterator():
-                f.write(to_bytes(row))
-                n += 1
-            f.seek(0)
-            f.write(struct.pack("<Q", n))
-        os.replace(target + ".tmp", target)
+
+        def encoded(batches, to_bytes=to_bytes):
+            part = TaskContext.get().partitionId()
+            for number, frame in enumerate(batches):
+                rows = [to_bytes(Row(**r)) for r in frame.to_pylist()]
+                if rows:
+                    out = [[part], [number], [len(rows)], [b"".join(rows)]]
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.large_binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["part", "number", "n", "data"])
+
+        blocks = held(df.orderBy(key).mapInArrow(encoded, "part int, number int, n long, data binary"))
+        before = F.sum("size").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))
+        places = blocks.select("part", "number", "n", F.octet_length("data").cast("long").alias("size"))
+        places = places.withColumn("start", F.coalesce(before, F.lit(0)) + 8)  # sizes only, a row per batch of records
+        total = places.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        part_file = target + ".tmp"
+        with open(part_file, "wb") as f:
+            f.write(struct.pack("<Q", total[0]))
+            f.truncate(8 + total[1])
+
+        def put(batches, part_file=part_file):
+            for frame in batches:
+                for start, data in zip(frame.column("start").to_pylist(), frame.column("data").to_pylist()):
+                    with open(part_file, "r+b") as f:
+                        f.seek(start)
+                        f.write(data)
+                yield pa.RecordBatch.from_arrays([pa.array([frame.num_rows], pa.int64())], ["n"])
+
+        placed = blocks.select("part", "number", "data").join(places.select("part", "number", "start"), ["part", "number"])
+        placed.select("start", "data").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+        blocks.unpersist()
+        os.replace(part_file, target)

@@ -43,8 +43,21 @@ def test_unknown_model_and_wrong_parameters_fail(spark, tmp_path):
     with pytest.raises(KeyError), open(tmp_path / "cameras.bin", "rb") as f:
         list(colmap.read_cameras(f))
     bad = spark.createDataFrame([(1, "PINHOLE", 4, 4, [1.0])], "camera_id int, model string, width long, height long, params array<double>")
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="PINHOLE has 4 parameters"):
         colmap.write_model({"cameras": bad}, str(tmp_path))
+    assert not (tmp_path / "cameras.bin.tmp").exists()
+
+
+def test_many_parts_give_the_bytes_of_one(spark, tmp_path):
+    rows = [(i, float(i), 2.0, 3.0, 1, 2, 3, 0.5, [(i, j) for j in range(i % 4)]) for i in range(5000)]
+    schema = "point3d_id long, x double, y double, z double, r int, g int, b int, error double, track array<struct<image_id:int,idx:int>>"
+    colmap.write_model({"points3d": spark.createDataFrame(rows, schema).repartition(7)}, str(tmp_path))
+    want = struct.pack("<Q", 5000)
+    for i, x, y, z, r, g, b, e, track in rows:
+        want += struct.pack("<Qddd3BdQ", i, x, y, z, r, g, b, e, len(track)) + b"".join(struct.pack("<ii", *t) for t in track)
+    assert (tmp_path / "points3D.bin").read_bytes() == want
+    colmap.write_model({"points3d": spark.createDataFrame([], schema)}, str(tmp_path / "none"))
+    assert (tmp_path / "none" / "points3D.bin").read_bytes() == struct.pack("<Q", 0)
 
 
 def png(width, height):
