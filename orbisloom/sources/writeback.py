@@ -60,7 +60,7 @@ def names_in(spark: SparkSession, folder: str) -> DataFrame:
     if not there(fs, path):
         return spark.createDataFrame([], "name string")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path")
-    return found.select(F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("name"))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
 @dataclass(frozen=True)
