@@ -15,20 +15,26 @@ SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
+def window_hash(words: list[Column]) -> Column:
+    """A hash that brings equal windows together; it decides nothing."""
+    return F.xxhash64(*words)
+
+
 def repeated_words(df: DataFrame, words: str, name: str, n: int = 3) -> DataFrame:
     """Adds how many words stand in a window of n words that the row's array `words` has twice or more.
 
     Within the row: each window gets one long, a hash whose low bits hold its position. Sorting these longs puts windows of
     one hash side by side, in the order of their positions. Two neighbours of one hash that are equal word by word repeat
-    each other. Where neighbours share a hash and differ, something else may stand between equal windows; such a row, of
-    which there is about one in a million, is counted again by whole windows. So hashes alone decide nothing, either way.
+    each other. Where neighbours share a hash and differ, something else may stand between equal windows: the windows of
+    such a row that share a hash are sorted by their words instead, which puts equal ones side by side for certain. So hashes
+    alone decide nothing, either way, and a row costs n log n steps whatever its words are.
     """
     w, size = F.col(words), F.size(words)
     df = once(df, "_bits", F.greatest(F.lit(1), F.length(F.bin(size))))
     df = once(df, "_mask", F.expr("shiftleft(1L, _bits)") - 1)
     mask, keys = F.col("_mask"), F.col("_keys")
     at = lambda i, k: F.get(w, (i + F.lit(k)).cast("int"))
-    hashed = lambda i: F.xxhash64(*[at(i, k) for k in range(n)])
+    hashed = lambda i: window_hash([at(i, k) for k in range(n)])
     key = lambda i: hashed(i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))
     df = once(df, "_keys", F.when(size >= n, F.sort_array(F.transform(F.sequence(F.lit(0), size - n), key))))
     pos = lambda x: x.bitwiseAND(mask)
@@ -49,14 +55,24 @@ def repeated_words(df: DataFrame, words: str, name: str, n: int = 3) -> DataFram
     df = once(df, "_shared", shared).drop("_keys")
     keys = F.col("_shared")
     mixed = F.exists(F.sequence(F.lit(1), F.greatest(F.size(keys) - 1, F.lit(1))), lambda i: F.coalesce(near(F.get(keys, i), F.get(keys, i - 1)) & ~equal(F.get(keys, i), F.get(keys, i - 1)), F.lit(False)))
-    window = lambda x: F.slice(w, pos(x).cast("int") + 1, n)
-    again = F.filter(keys, lambda x: F.size(F.filter(keys, lambda y: window(y) == window(x))) > 1)
-    df = once(df, "_found", F.sort_array(F.transform(F.when(mixed, again).otherwise(F.filter(keys, lambda x, i: same(x, i - 1) | same(x, i + 1))), pos)))
+    whole = lambda x: F.struct(*[at(pos(x), k).alias(f"w{k}") for k in range(n)], pos(x).alias("p"))
+    df = once(df, "_sorted", F.when(mixed, F.sort_array(F.transform(keys, whole))))
+    by_words = F.col("_sorted")
+
+    def alike(x: Column, j: Column) -> Column:
+        y, found = F.get(by_words, j), F.lit(True)
+        for k in range(n):
+            found = found & (x[f"w{k}"] == y[f"w{k}"])
+        return F.coalesce(found, F.lit(False))
+
+    again = F.transform(F.filter(by_words, lambda x, i: alike(x, i - 1) | alike(x, i + 1)), lambda x: x["p"])
+    plain = F.transform(F.filter(keys, lambda x, i: same(x, i - 1) | same(x, i + 1)), pos)
+    df = once(df, "_found", F.sort_array(F.when(by_words.isNotNull(), again).otherwise(plain)))
     found = F.col("_found")
     fewer = F.greatest(F.size(found) - 1, F.lit(0))
     gaps = F.zip_with(F.slice(found, 2, fewer), F.slice(found, 1, fewer), lambda b, a: F.least(b - a, F.lit(n).cast("long")))
     total = F.aggregate(gaps, F.lit(n).cast("long"), lambda s, g: s + g)
-    return df.withColumn(name, F.when(F.coalesce(F.size(found), F.lit(0)) > 0, total).otherwise(F.lit(0)).cast("long")).drop("_bits", "_mask", "_shared", "_found")
+    return df.withColumn(name, F.when(F.coalesce(F.size(found), F.lit(0)) > 0, total).otherwise(F.lit(0)).cast("long")).drop("_bits", "_mask", "_shared", "_sorted", "_found")
 
 
 def document_metrics(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbisloom.llm import bpe, exchange, lm, packing, substring, toxicity, url_filter, warc
+from orbisloom.llm import bpe, exchange, host_rules, lm, packing, substring, toxicity, url_filter, warc
 from orbisloom.llm.common import Memo, windows
 from orbisloom.llm.exact_dedup import exact_dedup, kept_documents
 from orbisloom.llm.host_rules import quality_rules
@@ -68,6 +69,25 @@ def test_exact_dedup(docs, none):
     assert {r.doc_id for r in kept_documents(docs).collect()} == {2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, None, 17}
 
 
+def test_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    few = " ".join(r.choice(["a", "b", "c", "d", "e"], 400))
+    once = [f"w{i}" for i in range(60_000)]
+    rows = [(1, few), (2, " ".join(once)), (3, " ".join(once + ["|"] + once)), (4, "x y z x y z"), (5, "x y"), (6, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], SCHEMA.split(", digest")[0])
+    want = {}
+    for i, t in rows:
+        w = brute.words(t)
+        tri = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        want[i] = len({k for j in range(len(w) - 2) if tri[tuple(w[j : j + 3])] > 1 for k in (j, j + 1, j + 2)})
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules(docs).collect()} == want
+    # all windows have one of three hashes: their words decide, and the time stays in proportion
+    monkeypatch.setattr(host_rules, "window_hash", lambda words: F.pmod(F.xxhash64(*words), F.lit(3)) * F.lit(1 << 40))
+    began = time.time()
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules(docs).collect()} == want
+    assert time.time() - began < 60
+
+
 def test_quality_rules(docs, none):
     got = {r.doc_id: r for r in quality_rules(docs).collect()}
     for i, t in ROWS:
