@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, cut, join_groups, mixed, small_batches, texts_of, windows, written
@@ -90,8 +90,17 @@ def bands_of(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.
     return h ^ mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def set_hash(s: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True)
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, same, bands): `same` is a hash of the set of shingles, equal where nothing but order of repeats or case differs."""
+    """(id, key, same, bands): `same` is a hash of the set of shingles, equal where nothing but order of repeats or case differs;
+    key is a hash of the text, which tells rows of one id apart."""
 
     def run(batches):
         memo = Memo()
@@ -99,20 +108,22 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
                 sets = [shingles(t, memo) for t in texts_of(part.column("text"))]
-                same = [int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) for s in sets]
+                same = [set_hash(s) for s in sets]
                 at = [i for i, s in enumerate(sets) if len(s)]
                 bands = bands_of(dart_signatures([sets[i] for i in at])).view(np.int64)
                 lens = np.zeros(len(sets), np.int64)
                 lens[at] = BANDS
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(same, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)), pa.int32()), pa.array(bands.ravel()))], ["id", "same", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)), pa.int32()), pa.array(bands.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(same, pa.int64()), lists], ["id", "key", "same", "bands"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, same long, bands array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, key long, same long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, size, shingles binary) from (node, text)."""
+    """(node, size, shingles binary) from (node, text); texts of another set than the node's (of a repeated id) are left out."""
 
     def run(batches):
         memo = Memo()
@@ -120,6 +131,8 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 found = [shingles(t, memo) for t in texts_of(part.column("text"))]
+                own = [set_hash(x) == node for x, node in zip(found, part.column("node").to_pylist())]
+                part, found = part.filter(pa.array(own, pa.bool_())), [x for x, mine in zip(found, own) if mine]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "size", "shingles"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, size long, shingles binary")
@@ -263,7 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked when the Jaccard similarity of their sets of five-word shingles (A-Z lower-cased; a shorter
     text is one shingle) is at least `similarity`; groups are the connected components. Documents with the same set,
     texts without words too, are one class from the start and stand for it with one representative, so copies are never
-    paired. A null id is its class's id only where the class has no other; rows that repeat an id share its decision.
+    paired. A null id is its class's id only where the class has no other; rows that repeat an id are each decided by their
+    own text, and those that repeat the text too share its decision.
     Columns other than the two named are ignored; an empty table gives an empty result.
 
     Candidates share a band. In each band's bucket all members are compared with one of them, the pivot. The pivot is the
@@ -272,6 +286,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their sizes, or as their distances from the pivot differ by more than 1 - similarity (the distance is a metric). So
     two documents at `similarity` are missed only where they share no band.
     """
+    return decided(docs, id_col, text_col, similarity).drop("key")
+
+
+def decided(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """near_duplicates() with the hash of each row's text as `key`."""
     rows = written(signed(docs, id_col, text_col), "signed")
     classes = cut(rows.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")).withColumnRenamed("same", "node"))
     spread = classes.filter(F.size("bands") > 0).select("node", F.posexplode("bands").alias("band", "h"))
@@ -296,15 +315,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = join_groups(found, moved, "root", "m", found.count()).select("node", "rep", "n", F.coalesce("top", "root").alias("root"))
     total = found.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
     found = cut(found.join(total, "root").select(F.col("node").alias("same"), "n", "class_id", "class_size"))
-    out = join_groups(rows.select("id", "same"), found, "same", "n", rows.count())
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = join_groups(rows.select("id", "key", "same"), found, "same", "n", rows.count())
+    return out.select(F.col("id").alias(id_col), "key", "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stand for their group, with all their columns.
 
-    Texts without words, null or empty, are one group. Rows that repeat an id stay or go together; a null id stays only
-    where its group has no other. An empty table stays empty, and columns may have any names.
+    Texts without words, null or empty, are one group. Rows that repeat an id are each decided by their own text; those that
+    repeat the text too stay or go together. A null id stays only where its group has no other. An empty table stays empty,
+    and columns may have any names.
     """
-    gone = near_duplicates(docs.select(id_col, text_col), id_col, text_col, similarity).filter("not kept").select(F.col(id_col).alias("gone_id"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+    out = decided(docs.select(id_col, text_col), id_col, text_col, similarity).filter("not kept")
+    gone = out.select(F.col(id_col).alias("gone_id"), F.col("key").alias("gone_key"))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (text_key(docs[text_col]) == gone["gone_key"]), "left_anti")

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbisloom.llm import bpe, exchange, host_rules, lm, packing, substring, toxicity, url_filter, warc
+from orbisloom.llm import bpe, exchange, host_rules, lm, near_dup, packing, substring, toxicity, url_filter, warc
 from orbisloom.llm.common import Memo, windows
 from orbisloom.llm.exact_dedup import exact_dedup, kept_documents
 from orbisloom.llm.host_rules import quality_rules
@@ -69,6 +69,19 @@ def test_exact_dedup(docs, none):
     assert {r.doc_id for r in kept_documents(docs).collect()} == {2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, None, 17}
 
 
+def test_near_copies_of_repeated_ids_keep_what_is_only_there(spark):
+    a, b, c = vary(41, 60), vary(42, 70), vary(43, 50)
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c + " and more"), (2, b + " tail"), (5, a), (None, a), (9, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, near_dup.kept_documents(docs).collect()))
+    # of a the 3; of b the 2; of c the 7, both of whose texts are in the group that 7 stands for
+    assert got == sorted([(3, a), (2, b + " tail"), (7, c), (7, c + " and more")])
+    only = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted(map(tuple, near_dup.kept_documents(only).collect())) == sorted([(3, a), (5, b)])
+    decided = {(r.doc_id, r.class_id, r.kept) for r in near_duplicates(only).collect()}
+    assert decided == {(3, 3, True), (5, 3, False), (5, 5, True)}
+
+
 def test_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
     r = np.random.default_rng(3)
     few = " ".join(r.choice(["a", "b", "c", "d", "e"], 400))
