@@ -24,6 +24,8 @@ from .common import Memo, pieces, small_batches, windows
 
 #: At most so many training examples of each label are used: those with the smallest hash of the id.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1500, 3000
+#: Longer texts are no examples (they are scored whole like all others), so that what comes to the driver has a bound.
+EXAMPLE_CHARS = 2_000_000
 #: The likelihood-ratio statistics up to which a feature has no weight, as chance explains it, and from which it has its full idf.
 CHANCE_G2, LABEL_G2 = 10.83, 25.0
 #: Blocks of the index that are read at a time.
@@ -148,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         some = train.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most)
         picked = some if picked is None else picked.union(some)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    examples = texts.join(F.broadcast(picked), "id")  # at most toxic_examples + clean_examples rows
+    # at most toxic_examples + clean_examples ids; of rows that repeat an id one is the example
+    examples = texts.filter(F.length("text") <= EXAMPLE_CHARS).join(F.broadcast(picked), "id")
 
     def run(batches):
         memo = Memo()
@@ -165,7 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     small_batches(docs.sparkSession)
-    found = examples.mapInArrow(run, f"id {kind}, y int, sketch long, features array<string>, counts array<int>").toArrow()  # bounded by the sample
+    rows = examples.mapInArrow(run, f"id {kind}, y int, sketch long, features array<string>, counts array<int>")
+    one = rows.groupBy("id").agg(F.max("y").alias("y"), F.min(F.struct("sketch", "features", "counts")).alias("_s"))
+    found = one.select("id", "y", "_s.*").toArrow()  # bounded by the sample
     # one example stands for its copies and most near copies: they share the least hash of their five-word runs
     rows = sorted(zip(found.column("y").to_pylist(), found.column("sketch").to_pylist(), found.column("id").to_pylist(), range(found.num_rows)), key=lambda r: (r[0], r[1], str(r[2])))
     chosen = sorted((str(i), at) for k, (y, sketch, i, at) in enumerate(rows) if k == 0 or rows[k - 1][:2] != (y, sketch))

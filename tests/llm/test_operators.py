@@ -82,6 +82,17 @@ def test_near_copies_of_repeated_ids_keep_what_is_only_there(spark):
     assert decided == {(3, 3, True), (5, 3, False), (5, 5, True)}
 
 
+def test_toxic_examples_of_repeated_ids_come_once(spark, monkeypatch):
+    rows = [(i, f"{vary(900 + i, 30)} {'vilest' if i % 2 else 'kind'}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows + rows[:20] * 30, "doc_id long, text string").repartition(4)
+    vocabulary, index = toxicity.fit(docs, labels)
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(index.ids) == train
+    monkeypatch.setattr(toxicity, "EXAMPLE_CHARS", 5)
+    assert toxicity.fit(docs, labels)[1].ids == []
+
+
 def test_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
     r = np.random.default_rng(3)
     few = " ".join(r.choice(["a", "b", "c", "d", "e"], 400))

@@ -57,3 +57,11 @@ def test_every_stage_but_the_last_returns_the_columns_of_documents(spark, tmp_pa
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, frame, str(tmp_path))
             assert out.columns == docs.columns and out.count() == frame.count()
+
+
+def test_stages_tell_rows_of_one_id_apart(spark, tmp_path):
+    a, b = vary(31, 60), vary(32, 60)
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, b + " only with the null id " + vary(33, 40))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()} == {rows[0], rows[2], rows[4]}
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_exact_copies(spark, docs, str(tmp_path)).collect()} == {rows[1], rows[2], rows[4]}
