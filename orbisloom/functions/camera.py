@@ -130,6 +130,22 @@ def rescaled(model: Column, params: Column, sx: Column, sy: Column, tolerance: f
     )
 
 
+def equirectangular(camera_id: Column, model: Column, params: Column, width: Column, height: Column) -> Column:
+    """struct(model, params) of a panorama camera: SPHERE becomes EQUIRECTANGULAR with the panorama's size as parameters; what is
+    one already stays as it is; any other model fails the query."""
+    wrong = F.raise_error(F.concat(F.lit("camera "), camera_id.cast("string"), F.lit(" is no panorama: "), model)).cast("array<double>")
+    size = F.array(width.cast("double"), height.cast("double"))
+    made = F.when(model == "SPHERE", size).when(model == "EQUIRECTANGULAR", params).otherwise(wrong)
+    return F.struct(F.lit("EQUIRECTANGULAR").alias("model"), made.alias("params"))
+
+
+def on_sphere_grid(model: Column, params: Column, width: Column, height: Column) -> Column:
+    """The parameters of a SPHERE camera on a grid of another size: the focal length stays, the centre is the grid's. Parameters
+    of other models, and of fewer than three numbers, stay as they are."""
+    centred = F.concat(F.slice(params, 1, 1), F.array(width / 2.0, height / 2.0), F.slice(params, 4, F.greatest(F.size(params) - 3, F.lit(0))))
+    return F.when((model == "SPHERE") & (F.size(params) >= 3), centred).otherwise(params)
+
+
 def spline_point(p0: Column, p1: Column, p2: Column, p3: Column, t: Column) -> Column:
     """A uniform Catmull-Rom segment from p1 to p2."""
     return 0.5 * (2 * p1 + (p2 - p0) * t + (2 * p0 - 5 * p1 + 4 * p2 - p3) * t * t + (3 * p1 - p0 - 3 * p2 + p3) * t * t * t)

@@ -52,9 +52,36 @@ def sampled(targets: DataFrame, pixels: DataFrame, u: str, v: str, value: str, h
 
 def stitched(grid: DataFrame, faces: DataFrame, direction: tuple[str, str, str]) -> DataFrame:
     """(grid row, name, px, py): for each direction the face that sees it nearest its own centre (greatest depth, then name),
-    and where. faces: name, r00..r22, fx, fy, cx, cy, w, h; a table of few faces."""
+    and where. faces: name, r00..r22, fx, fy, cx, cy, w, h.
+
+    Directions and faces meet by the cells of a cube around the viewpoint: a face is sent to the cells that the cone around its
+    axis can reach, a direction to its own. So the work is that of the pairs that may see each other, for any number of faces."""
     d = [F.col(c) for c in direction]
-    met = grid.crossJoin(faces)
+    cells = 8
+
+    def cell(v: list[Column]) -> list[Column]:
+        most = F.greatest(*[F.abs(c) for c in v])
+        side = F.when(F.abs(v[0]) == most, F.when(v[0] > 0, 0).otherwise(1)).when(F.abs(v[1]) == most, F.when(v[1] > 0, 2).otherwise(3)).otherwise(F.when(v[2] > 0, 4).otherwise(5))
+        over = [F.when(F.abs(v[0]) == most, v[1]).otherwise(v[0]), F.when((F.abs(v[2]) == most) & (F.abs(v[0]) != most) & (F.abs(v[1]) != most), v[1]).otherwise(v[2])]
+        place = [F.least(F.floor((F.try_divide(c, most) + 1) / 2 * cells), F.lit(cells - 1)).cast("int") for c in over]
+        return [side, *place]
+
+    # the middles of all cells, with the greatest angle from a middle to a corner of its cell
+    step = [(k + 0.5) / cells * 2 - 1 for k in range(cells)]
+    axes = {0: lambda a, b: (1.0, a, b), 1: lambda a, b: (-1.0, a, b), 2: lambda a, b: (a, 1.0, b), 3: lambda a, b: (a, -1.0, b), 4: lambda a, b: (a, b, 1.0), 5: lambda a, b: (a, b, -1.0)}
+    reach = float(np.arctan(np.sqrt(2.0) / cells)) + 1e-6
+    middles = []
+    for side, at in axes.items():
+        for i, a in enumerate(step):
+            for j, b in enumerate(step):
+                v = np.array(at(a, b)) / np.linalg.norm(at(a, b))
+                middles.append(F.struct(F.lit(side).alias("s"), F.lit(i).alias("i"), F.lit(j).alias("j"), *[F.lit(float(c)).alias(n) for c, n in zip(v, "xyz")]))
+    corner = lambda x, y: F.sqrt(((x - F.col("cx")) / F.col("fx")) ** 2 + ((y - F.col("cy")) / F.col("fy")) ** 2)
+    wide = F.atan(F.greatest(*[corner(x, y) for x in (F.lit(0.0), F.col("w")) for y in (F.lit(0.0), F.col("h"))]))
+    near = lambda m: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), sum(F.col(f"r2{k}") * m[n] for k, n in enumerate("xyz"))))) <= F.col("_wide") + reach
+    sent = faces.withColumn("_wide", wide).select("*", F.explode(F.filter(F.array(*middles), near)).alias("_m"))
+    sent = sent.select(*faces.columns, F.col("_m.s").alias("_s"), F.col("_m.i").alias("_i"), F.col("_m.j").alias("_j"))
+    met = grid.withColumns(dict(zip(("_s", "_i", "_j"), cell(d)))).join(sent, ["_s", "_i", "_j"])
     cam = [sum(F.col(f"r{i}{j}") * d[j] for j in range(3)) for i in range(3)]
     met = met.withColumn("_z", cam[2]).filter("_z > 0").withColumn("px", F.col("fx") * cam[0] / F.col("_z") + F.col("cx")).withColumn("py", F.col("fy") * cam[1] / F.col("_z") + F.col("cy"))
     met = met.filter(F.col("px").between(0, F.col("w")) & F.col("py").between(0, F.col("h")))

@@ -77,6 +77,38 @@ def complete_folders(files: DataFrame, folder: str, name: str, wanted: list[str]
     return full.orderBy(priority, folder)
 
 
+def resolved_folders(candidates: DataFrame, request: str, folder: str, priority: str, files: DataFrame, sibling: str = "_lowres") -> DataFrame:
+    """(request, folder, why): for each request the first candidate by priority that holds files (`files`), else the first that has a
+    folder of its name and `sibling` with files (`sibling`), else null (`missing`). files has a column `folder`."""
+    have = files.select(F.col("folder").alias("_have")).distinct()
+    c = candidates.join(have, F.col(folder) == F.col("_have"), "left").withColumn("_own", F.col("_have").isNotNull()).drop("_have")
+    c = c.join(have, F.concat(F.col(folder), F.lit(sibling)) == F.col("_have"), "left").withColumn("_side", F.col("_have").isNotNull()).drop("_have")
+    best = F.min(F.when(F.col("_own") | F.col("_side"), F.struct((~F.col("_own")).alias("_second"), F.col(priority).alias("_p"), F.col(folder).alias("_f"))))
+    out = c.groupBy(request).agg(best.alias("_b"))
+    why = F.when(F.col("_b").isNull(), "missing").when(F.col("_b._second"), "sibling").otherwise("files")
+    return out.select(request, F.col("_b._f").alias(folder), why.alias("why"))
+
+
+def resolved_rails(roots: DataFrame, request: str, root: str, priority: str, files: DataFrame, shared: str, named: str, strict: bool = True) -> DataFrame:
+    """(request, path, why): the rail under a request's roots. Of files (folder, name): the one whose name fits the pattern
+    `named`; without any, the one called `shared` in the first root by priority, which may be another's and is marked so.
+
+    Several named ones are ambiguous and none at all is missing: both fail the query when strict, else the path is null."""
+    met = roots.join(files.select(F.col("folder").alias("_folder"), "name"), F.col(root) == F.col("_folder"), "left")
+    path = F.concat_ws("/", root, "name")
+    fits, common = F.coalesce(F.col("name").rlike(named), F.lit(False)), F.coalesce(F.col("name") == shared, F.lit(False))
+    out = met.groupBy(request).agg(
+        F.count_distinct(F.when(fits, path)).alias("_n"), F.min(F.when(fits, path)).alias("_named"),
+        F.min(F.when(common, F.struct(F.col(priority).alias("_p"), path.alias("_path")))).alias("_shared"),
+    )
+    why = F.when(F.col("_n") == 1, "named").when(F.col("_n") > 1, "ambiguous").when(F.col("_shared").isNotNull(), "shared").otherwise("missing")
+    out = out.select(request, F.when(F.col("_n") == 1, F.col("_named")).when(F.col("_n") == 0, F.col("_shared._path")).alias("path"), why.alias("why"))
+    if not strict:
+        return out
+    wrong = F.raise_error(F.concat(F.lit("rail of "), F.col(request).cast("string"), F.lit(": "), F.col("why")))
+    return out.withColumn("path", F.when(F.col("why").isin("ambiguous", "missing"), wrong.cast("string")).otherwise(F.col("path")))
+
+
 def largest_model(models: DataFrame, by: str, folder: str) -> DataFrame:
     """The row of the largest `by` (a count of images, or a file size), the first folder on ties."""
     return models.orderBy(F.desc(by), folder).limit(1)

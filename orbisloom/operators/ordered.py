@@ -104,31 +104,50 @@ def as_of(rows: DataFrame, marks: DataFrame, by: list[str], at: str, value: str)
     return both.withColumn(value, F.last(f"_{value}", ignorenulls=True).over(w)).filter("_side = 1").drop("_side", f"_{value}")
 
 
-def moving_average(df: DataFrame, group: list[str], order: list[str], value: str, weight: float, name: str = "ema", chunk: int = 1000) -> DataFrame:
-    """Exponential moving average in order, g = weight * x + (1 - weight) * g, the first value as it is.
-
-    A group is cut into chunks of rows, each of which turns what comes in into rate * in + sum; the chunks' few sums are
-    folded per group, then each chunk alone fills in its rows. So no group is gathered whole."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_chunk", F.floor(F.col("_i") / chunk))
-    chunks = rows.groupBy(*group, "_chunk").agg(F.array_sort(F.collect_list(F.struct("_i", F.col(value).cast("double").alias("x")))).alias("_xs"))
-    keep = 1.0 - weight
-    step = lambda g, x: F.when(x["_i"] == 0, x["x"]).otherwise(weight * x["x"] + keep * g)
-    chunks = chunks.withColumn("_sum", F.aggregate("_xs", F.lit(0.0), step)).withColumn("_rate", F.when(F.col("_chunk") == 0, 0.0).otherwise(F.pow(F.lit(keep), F.size("_xs"))))
-    sums = chunks.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_sum", "_rate"))).alias("_all"))
-    start = F.aggregate("_all", F.array(F.lit(0.0)), lambda a, c: F.concat(a, F.array(c["_sum"] + c["_rate"] * F.element_at(a, -1))))
-    starts = sums.select(*[F.col(g).alias(f"_s_{g}") for g in group], F.posexplode(start).alias("_chunk2", "_in"))
-    cond = F.col("_chunk") == F.col("_chunk2")
-    for g in group:
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_s_{g}"))
-    joined = chunks.join(starts, cond).select(*group, "_xs", "_in")
-    run = F.aggregate("_xs", F.struct(F.col("_in").alias("g"), F.array().cast("array<struct<_i:int,g:double>>").alias("out")),
-                      lambda s, x: F.struct(step(s["g"], x).alias("g"), F.concat(s["out"], F.array(F.struct(x["_i"].cast("int").alias("_i"), step(s["g"], x).alias("g")))).alias("out")))
-    values = joined.select(*group, F.explode(run["out"]).alias("_v")).select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_v._i").alias("_vi"), F.col("_v.g").alias(name))
-    cond = F.col("_i") == F.col("_vi")
-    for g in group:
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return rows.join(values, cond).drop("_i", "_chunk", "_vi", *[f"_g_{g}" for g in group])
+def _carried_through(steps: DataFrame, fan: int) -> DataFrame:
+    """(i, in): what comes in to each step of a sequence numbered without gaps.
+
+    A step (i, first, last, x, rate, sum) belongs to the groups first to last and makes rate * in + sum of what comes in: the
+    result of the step before if that ends in its own first group, else x. Steps in a row are such a step again, so `fan` of
+    them at a time are made one until few are left, and what comes in is handed down again."""
+    n = steps.count()
+    run = steps.groupBy(F.floor(F.col("i") / fan).alias("up")).agg(F.array_sort(F.collect_list(F.struct("i", "first", "last", "x", "rate", "sum"))).alias("run"))
+    one, rest = F.col("run")[0], F.slice("run", 2, fan)
+
+    def joined(a: Column, b: Column) -> Column:
+        on = a["last"].eqNullSafe(b["first"])
+        rate = F.when(on, a["rate"] * b["rate"]).otherwise(F.lit(0.0))
+        total = F.when(on, b["rate"] * a["sum"] + b["sum"]).otherwise(b["rate"] * b["x"] + b["sum"])
+        return F.struct(a["i"].alias("i"), a["first"].alias("first"), b["last"].alias("last"), a["x"].alias("x"), rate.alias("rate"), total.alias("sum"))
+
+    if n > fan:
+        runs = held(run)
+        whole = runs.select("up", F.aggregate(rest, one, joined).alias("w")).select(F.col("up").alias("i"), "w.first", "w.last", "w.x", "w.rate", "w.sum")
+        run = runs.join(_carried_through(whole, fan).withColumnRenamed("i", "up"), "up")
+    else:
+        run = run.withColumn("in", one["x"])
+    start = F.struct(F.col("in").alias("g"), one["first"].alias("last"), F.array().cast("array<double>").alias("ins"))
+
+    def taken(acc: Column, e: Column) -> Column:
+        g = F.when(acc["last"].eqNullSafe(e["first"]), acc["g"]).otherwise(e["x"])
+        return F.struct((e["rate"] * g + e["sum"]).alias("g"), e["last"].alias("last"), F.concat(acc["ins"], F.array(g)).alias("ins"))
+
+    pairs = F.arrays_zip(F.transform("run", lambda e: e["i"]).alias("i"), F.aggregate("run", start, taken)["ins"].alias("in"))
+    return run.select(F.explode(pairs).alias("p")).select("p.i", "p.in")
+
+
+def moving_average(df: DataFrame, group: list[str], order: list[str], value: str, weight: float, name: str = "ema", chunk: int = 64) -> DataFrame:
+    """Exponential moving average in order, g = weight * x + (1 - weight) * g, the first value of a group as it is.
+
+    Rows are numbered over all groups and handed on in chunks of `chunk`, chunks of chunks and so on, whatever the groups'
+    sizes: no task ever gathers a group, and a row's work doesn't grow with its group."""
+    at = with_position(df, [*group, *order], "_i")
+    key = F.struct(*group) if group else F.lit(1)
+    x, keep = F.col(value).cast("double"), 1.0 - weight
+    steps = at.select(F.col("_i").alias("i"), key.alias("first"), key.alias("last"), x.alias("x"), F.lit(keep).alias("rate"), (weight * x).alias("sum"))
+    come = _carried_through(steps, chunk).withColumnRenamed("i", "_i")
+    g = F.when(F.col("in") == x, x).otherwise(weight * x + keep * F.col("in"))  # what comes in to a group's first value is that value
+    return at.join(come, "_i").withColumn(name, g).drop("_i", "in")
 
 
 def circular_minimum(df: DataFrame, index: str, value: str, size: int, name: str) -> DataFrame:

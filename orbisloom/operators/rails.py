@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.camera import Vector, cross, dot, unit
 from .aggregates import robust_band, sector_ranges
 from .ordered import circular_minimum, separated, spline_samples
+from .selection import percentiles
 
 
 def travel_scaled(rail: DataFrame, distance: float) -> DataFrame:
@@ -116,25 +117,39 @@ def open_directions(points: DataFrame, sectors: int = 32) -> tuple[DataFrame, Da
     band = robust_band(points, "y")
     middle = points.crossJoin(F.broadcast(band)).filter(F.col("y").between(F.col("floor") + 0.25 * (F.col("ceiling") - F.col("floor")), F.col("ceiling") - 0.25 * (F.col("ceiling") - F.col("floor")))).select("x", "y", "z")
     near = middle if middle.count() >= 100 else points
-    distance = F.median(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2))
-    scene = band.crossJoin(points.agg((0.07 * distance).alias("margin")))
+    middling = percentiles(points, F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), [0.5])[0]
+    scene = band.withColumn("margin", 0.07 * F.lit(middling).cast("double"))
     turned = near.select((-F.col("z")).alias("z"), (-F.col("x")).alias("x"))  # sector 0 begins behind, as azimuths begin at -180 degrees
     ranges = sector_ranges(turned, "z", "x", sectors)
     return circular_minimum(ranges, "sector", "clearance", sectors, "corridor"), scene
 
 
-def planned_paths(points: DataFrame, count: int = 4, sectors: int = 32) -> DataFrame:
-    """(path, label, orientation, i, x, y, z, tx, ty, tz): up to 8 paths of four anchors from the origin, the first in the most
-    open direction. Anchors stay within the room's heights; a path is shrunk, up to six times, until its spline keeps its
-    distance from all points. Needs 50 points."""
+def _picked(points: DataFrame, sectors: int) -> tuple[DataFrame, DataFrame]:
+    """The scored sectors, and one row of the scene with `picked`, azimuths from the most open one on, at least 70 degrees apart,
+    and `clear`, each sector's clearance."""
     if points.count() < 50:
         raise ValueError("a scene needs 50 points or more")
-    count = max(1, min(8, count))
     table, scene = open_directions(points, sectors)
     centre = (F.col("sector") + 0.5) * (360.0 / sectors) - 180.0
     scored = table.withColumn("azimuth", centre).withColumn("score", F.col("corridor") * (1 + 0.15 * F.cos(F.radians("azimuth"))))
-    order = scored.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "azimuth"))), lambda x: x["azimuth"]).alias("a"), F.map_from_entries(F.collect_list(F.struct("sector", "clearance"))).alias("clear"))  # a row for each of 32 sectors
-    order = order.select(separated(F.col("a"), 70.0).alias("picked"), "clear").crossJoin(scene)
+    best = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "azimuth"))), lambda x: x["azimuth"])
+    order = scored.agg(best.alias("a"), F.map_from_entries(F.collect_list(F.struct("sector", "clearance"))).alias("clear"))  # a row per sector
+    return scored, order.select(separated(F.col("a"), 70.0).alias("picked"), "clear").crossJoin(scene)
+
+
+def suggested_directions(points: DataFrame, count: int = 4, sectors: int = 32) -> DataFrame:
+    """(rank, sector, azimuth, reach): up to `count` (8 at most) free directions, the most open first. Needs 50 points."""
+    scored, order = _picked(points, sectors)
+    picked = order.select(F.posexplode(F.slice("picked", 1, max(1, min(8, count)))).alias("rank", "azimuth"))
+    return picked.join(scored.select("azimuth", "sector", F.col("corridor").alias("reach")), "azimuth").select("rank", "sector", "azimuth", "reach")
+
+
+def planned_paths(points: DataFrame, count: int = 4, sectors: int = 32) -> DataFrame:
+    """(path, label, orientation, i, x, y, z, tx, ty, tz): up to 8 paths of four anchors from the origin, the first in the most
+    open direction. Anchors stay within the room's heights; a path is shrunk, up to six times, until its spline keeps its
+    distance from all points. Needs 50 points."""
+    count = max(1, min(8, count))
+    _, order = _picked(points, sectors)
     paths = order.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     paths = paths.withColumn("az", F.get("picked", F.floor(F.col("path") / 4) % F.size("picked")))
     way = lambda d: F.element_at("clear", F.pmod(F.floor((F.col("az") + d + 180.0) / (360.0 / sectors)), F.lit(sectors)).cast("int"))

@@ -199,10 +199,13 @@ def dangling_null(t):
     return rel.dangling_to(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), points, "l_partkey")
 
 
-@query("SELECT o_orderpriority, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS fingerprint FROM orders WHERE o_orderstatus = 'P' GROUP BY 1")
+@query("""
+    WITH d AS (SELECT o_orderpriority, sha256('["=' || o_orderkey || '","' || coalesce('=' || o_orderstatus, '-') || '"]') AS h FROM orders),
+    s AS (SELECT o_orderpriority, count(*) AS n, sum(('0x' || h[1:15])::BIGINT) AS a, sum(('0x' || h[16:30])::BIGINT) AS b, sum(('0x' || h[31:45])::BIGINT) AS c,
+                 sum(('0x' || h[46:60])::BIGINT) AS d FROM d GROUP BY 1)
+    SELECT o_orderpriority, n, sha256(concat_ws(',', n, a, b, c, d)) AS fingerprint FROM s""")
 def fingerprint(t):
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",")
-    return t("orders").filter("o_orderstatus = 'P'").groupBy("o_orderpriority").agg(F.sha2(ids, 256).alias("fingerprint"))
+    return agg.fingerprints(t("orders"), ["o_orderpriority"], ["o_orderkey", "o_orderstatus"])
 
 
 @query("""
@@ -213,13 +216,15 @@ def dedupe_alloc(t):
 
 
 @query("""
-    WITH e AS (SELECT c_nationkey, min(c_custkey) AS id FROM customer WHERE c_custkey <= 40 GROUP BY 1), top AS (SELECT max(c_custkey) AS m FROM customer WHERE c_custkey <= 40),
-    f AS (SELECT s_nationkey, row_number() OVER (ORDER BY min(s_suppkey)) AS n FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM e) GROUP BY 1)
-    SELECT s_suppkey, coalesce(e.id, m + f.n)::BIGINT AS camera_id FROM supplier s LEFT JOIN e ON e.c_nationkey = s.s_nationkey LEFT JOIN f ON f.s_nationkey = s.s_nationkey, top""")
+    WITH e AS (SELECT c_nationkey AS k, round(c_acctbal)::BIGINT AS b, min(c_custkey) AS id FROM customer GROUP BY 1, 2), top AS (SELECT max(c_custkey) AS m FROM customer),
+    w AS (SELECT s_suppkey, s_nationkey AS k, round(s_acctbal)::BIGINT AS b FROM supplier),
+    f AS (SELECT k, b, row_number() OVER (ORDER BY min(s_suppkey)) AS n FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.k = w.k AND e.b = w.b) GROUP BY 1, 2)
+    SELECT s_suppkey, coalesce(e.id, m + f.n)::BIGINT AS camera_id FROM w LEFT JOIN e ON e.k = w.k AND e.b = w.b LEFT JOIN f ON f.k = w.k AND f.b = w.b, top""")
 def reuse_or_allocate(t):
-    have = t("customer").filter("c_custkey <= 40").select(F.col("c_nationkey").alias("s_nationkey"), F.col("c_custkey").alias("camera_id"))
-    want = t("supplier").select("s_suppkey", "s_nationkey", F.lit(None).cast("long").alias("camera_id"))
-    return rel.reuse_or_allocate(want, have, [F.col("s_nationkey")], "camera_id", "s_suppkey").select("s_suppkey", F.col("camera_id").cast("long").alias("camera_id"))
+    near = lambda c: F.round(c).cast("long").alias("b")
+    have = t("customer").select(F.col("c_nationkey").alias("k"), near("c_acctbal"), F.col("c_custkey").alias("camera_id"))
+    want = t("supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), near("s_acctbal"), F.lit(None).cast("long").alias("camera_id"))
+    return rel.reuse_or_allocate(want, have, [F.col("k"), F.col("b")], "camera_id", "s_suppkey").select("s_suppkey", F.col("camera_id").cast("long").alias("camera_id"))
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F'")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import camera as cam
+from ..functions.frames import batch_size
 from ..functions.keys import face_of, frame_of, hires_of
 from ..operators import aggregates as agg
 from ..operators import ordered as od
@@ -200,14 +201,24 @@ def upscale_order(sequences: DataFrame, present: DataFrame) -> DataFrame:
     return first.select("seq_id", "pos", "name").unionByName(extra).withColumnRenamed("seq_id", "group_id")
 
 
-def suggest_paths(points: DataFrame, count: int = 4, sectors: int = 32) -> DataFrame:
-    """(rank, sector, azimuth, reach): up to `count` free directions of a point cloud (x, y up, z), best first: the clearance
-    of a sector and its neighbours, those ahead favoured a little, at least 70 degrees apart. Needs 50 points."""
-    if points.count() < 50:
-        raise ValueError("a scene needs 50 points or more")
-    c = od.circular_minimum(agg.sector_ranges(points, "z", "x", sectors), "sector", "clearance", sectors, "corridor")
-    azimuth = (F.col("sector") + 0.5) * (360.0 / sectors)
-    scored = c.withColumn("azimuth", F.when(azimuth > 180, azimuth - 360).otherwise(azimuth)).withColumn("score", F.col("corridor") * (1 + 0.15 * F.cos(F.radians("azimuth"))))
-    order = scored.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "sector", "azimuth"))), lambda x: x["azimuth"]).alias("a"))  # one per sector
-    picked = order.select(F.posexplode(F.slice(od.separated(F.col("a"), 70.0), 1, max(1, min(8, count)))).alias("rank", "azimuth"))
-    return picked.join(scored.select("azimuth", "sector", F.col("corridor").alias("reach")), "azimuth").select("rank", "sector", "azimuth", "reach")
+def upscale_plan(order: DataFrame, every: int = 1, drop_partial: bool = False, most_batch: int = 0, view: int | None = None) -> DataFrame:
+    """(views, frames, uniform, per_view, batch, chunks, tail) of an upscale order (group_id, pos, name): how to cut it into
+    batches that never straddle two views.
+
+    Views are the groups that keep a frame after the stride; `view` picks one by its place in the order and raises IndexError
+    where there is none. per_view is the greatest common divisor of their sizes, batch its largest divisor of the form 4k + 1
+    up to most_batch (0: no limit), or the largest 4k + 1 within both; chunks whole batches fit a view, tail frames are left."""
+    if view is not None:
+        first = od.first_per_key(order.select("group_id"), ["group_id"], ["group_id"])
+        picked = od.with_position(first, ["group_id"], "_view").filter(F.col("_view") == view)
+        if picked.isEmpty():
+            raise IndexError(f"there is no view {view}")
+        order = order.join(F.broadcast(picked.select("group_id")), "group_id")  # one row
+    kept = od.stride_group(order, ["group_id"], ["pos"], every, drop_partial) if every > 1 else order
+    sizes = od.held(kept.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.count(F.lit(1)).alias("views"), F.coalesce(F.sum("n"), F.lit(0)).alias("frames"), (F.min("n") == F.max("n")).alias("uniform"))
+    per_view = agg.common_divisor(sizes, "n").withColumnRenamed("gcd", "per_view")
+    plan = total.join(per_view.withColumn("per_view", F.col("per_view").cast("int")))  # a row each; none where nothing is kept
+    cap = F.lit(most_batch) if most_batch > 0 else F.col("per_view")
+    plan = plan.withColumn("batch", batch_size(F.col("per_view"), cap).cast("int"))
+    return plan.select("views", "frames", "uniform", "per_view", "batch", F.floor(F.col("per_view") / F.col("batch")).cast("int").alias("chunks"), (F.col("per_view") % F.col("batch")).cast("int").alias("tail"))

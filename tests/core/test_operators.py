@@ -77,6 +77,20 @@ def test_moving_average_over_chunks(spark):
         assert got[1, i] == pytest.approx(e) and got[None, i] == pytest.approx(e)
 
 
+def test_moving_average_over_levels_and_small_groups(spark):
+    r = random.Random(3)
+    rows = [(g, i, r.random()) for g in range(40) for i in range(r.choice([1, 2, 3, 90]))]
+    df = spark.createDataFrame(rows, "g int, i int, v double").repartition(5)
+    got = {(q.g, q.i): q.ema for q in od.moving_average(df, ["g"], ["i"], "v", 0.3, chunk=4).collect()}
+    e, last = None, None
+    for g, i, v in sorted(rows):
+        e = v if g != last else 0.3 * v + 0.7 * e
+        last = g
+        assert got[g, i] == pytest.approx(e) and (i or got[g, i] == v)
+    whole = [q.ema for q in od.moving_average(df, [], ["g", "i"], "v", 1.0).orderBy("g", "i").collect()]
+    assert whole == [v for _, _, v in sorted(rows)]
+
+
 def test_distance_join_matches_all_pairs(spark):
     r = random.Random(4)
     a = [(i, r.uniform(-3, 3), r.uniform(-3, 3)) for i in range(60)]

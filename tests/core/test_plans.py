@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbisloom.operators import ordered as od
+from orbisloom.operators import rails
 from orbisloom.operators import relational as rel
 from orbisloom.plans import datasets as ds
 from orbisloom.streaming import chunks
@@ -102,11 +103,30 @@ def test_path_suggestions(spark):
     wall = lambda a, v: [tuple(v if k == a else r.uniform(lo, hi) for k, (lo, hi) in enumerate(((-3, 3), (-1.5, 1.5), (-2, 8)))) for _ in range(1000)]
     pts = [p for a, v in ((0, -3.0), (0, 3.0), (1, -1.5), (1, 1.5), (2, -2.0), (2, 8.0)) for p in wall(a, v)]
     cloud = spark.createDataFrame(pts, "x double, y double, z double")
-    got = ds.suggest_paths(cloud, 4).orderBy("rank").collect()
+    got = rails.suggested_directions(cloud, 4).orderBy("rank").collect()
     assert 1 <= len(got) <= 4 and abs(got[0].azimuth) < 90
     assert all(abs((a.azimuth - b.azimuth + 180) % 360 - 180) >= 70 for a in got for b in got if a.rank < b.rank)
     with pytest.raises(ValueError):
-        ds.suggest_paths(cloud.limit(10))
+        rails.suggested_directions(cloud.limit(10))
+
+
+def test_upscale_plan(spark):
+    r = random.Random(5)
+    for sizes, every, partial, cap in (({0: 45, 1: 45}, 1, False, 0), ({0: 45, 1: 90, 2: 30}, 2, True, 9), ({3: 24, 1: 36, 2: 1}, 2, True, 7), ({0: 7}, 1, False, 3)):
+        rows = [(g, p, f"{g}_{p}") for g, n in sizes.items() for p in range(n)]
+        r.shuffle(rows)
+        got = ds.upscale_plan(spark.createDataFrame(rows, "group_id int, pos int, name string"), every, partial, cap).collect()
+        kept = [len(range(0, n - (every - 1 if partial else 0), every)) for n in sizes.values()]
+        kept = [k for k in kept if k > 0]
+        per = math.gcd(*kept)
+        most = min(per, cap or per)
+        fits = [d for d in range(1, most + 1) if per % d == 0 and d % 4 == 1]
+        batch = max(fits) if max(fits) > 1 else max(k for k in range(1, most + 1) if k % 4 == 1)
+        assert [tuple(q) for q in got] == [(len(kept), sum(kept), len(set(kept)) == 1, per, batch, per // batch, per % batch)]
+    order = spark.createDataFrame([(4, 0, "a"), (4, 1, "b"), (9, 0, "c")], "group_id int, pos int, name string")
+    assert ds.upscale_plan(order, view=1).first().frames == 1
+    with pytest.raises(IndexError):
+        ds.upscale_plan(order, view=2)
 
 
 def test_stream_sink_resumes_and_never_repeats(spark, tmp_path):

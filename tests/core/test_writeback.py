@@ -1,10 +1,8 @@
 """Write-back with a failure at each step, restore, growth by micro-batches and stale runs."""
 
-import hashlib
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from orbisloom.plans.stream_catalogue import batch_runs
 from orbisloom.sources import writeback as wb
@@ -26,7 +24,7 @@ def originals(tmp_path):
     folder = tmp_path / "images"
     folder.mkdir()
     for i in range(6):
-        (folder / f"f+{i} é%20.png").write_bytes(b"old %d" % i)
+        (folder / f"f+{i} é%20.png").write_bytes(b"old %d" % i if i != 1 else b"")  # an empty file is a file
     return folder
 
 
@@ -233,4 +231,3 @@ def test_stale_runs_are_dropped_over_restarts(spark, tmp_path):
     table = spark.createDataFrame([r for r in rows if r[0] == "a"], RUNS)
     batch = sorted(map(tuple, batch_runs(table, "node", "seq").select("node", "seq", "run", "position", "dropped").collect()))
     assert batch == [w for w in want if w[0] == "a"]
-    assert hashlib.sha256(b"").hexdigest() and F is not None
