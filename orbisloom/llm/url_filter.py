@@ -12,8 +12,6 @@ from .common import ascii_lower, cut, join_groups
 
 #: Fixed rules of the registered query: (host and path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: A parent with more children than this makes those with less than RARE of its pages a wildcard.
-MOST_CHILDREN, RARE = 16, 0.05
 #: Children whose share of bad pages is within this many standard errors of their siblings' are merged.
 SIMILAR_Z = 1.96
 #: Weight of the parent's share, in labelled pages, and the share from which a template is blocked.
@@ -47,60 +45,56 @@ def segments(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike("^[0-9a-fA-F-]{12,}$"), F.lit("*")).otherwise(F.regexp_replace(s, "[0-9]+", "*")))
 
 
+def ancestors(host: Column, names: Column) -> Column:
+    """Digests of a path's ancestors, from the host on, the whole path last: each that of the one above and a name."""
+    top = F.struct(F.sha2(F.coalesce(host, F.lit("")), 256).alias("h"), F.array().cast("array<string>").alias("out"))
+
+    def below(acc: Column, name: Column) -> Column:
+        return F.struct(F.sha2(F.concat_ws("/", acc["h"], name), 256).alias("h"), F.concat(acc["out"], F.array(acc["h"])).alias("out"))
+
+    return F.aggregate(names, top, below, lambda acc: F.concat(acc["out"], F.array(acc["h"])))
+
+
 def generalised(paths: DataFrame) -> DataFrame:
-    """Adds `template` and `tail` (arrays) to (key, host, segments, n, labelled, bad): level by level, rare children of a parent
-    with many and children that are like their siblings become `*`. Parents are aggregated, never gathered.
+    """Adds `template` (an array) to (key, host, segments, n, labelled, bad): children that the labels can't tell from their
+    siblings become `*`, an only child keeps its name. Parents are aggregated, never gathered.
 
-    A path that is the only one to go on below its parent keeps its further segments, which are its tail: each is an only child."""
-    none = F.array().cast("array<string>")
-    now, done, d = paths.withColumn("template", none), None, 0
-    names = now.columns
+    A pass judges all segments of all paths at once, below the templates of the pass before; the first takes the segments
+    themselves. A level is right when those above it were, so passes go on until none changes a name: one more than there
+    are levels at which a merger above has changed a verdict, however long the paths are."""
+    now = cut(paths.withColumn("template", F.col("segments")))
     while True:
-        ended = now.filter(F.size("segments") <= d).withColumn("tail", none)
-        done = ended if done is None else done.union(ended)
-        now = now.filter(F.size("segments") > d)
-        if now.isEmpty():
-            return cut(done)
-        now = now.withColumn("seg", F.get("segments", F.lit(d)))
-        children = cut(now.groupBy("host", "template", "seg").agg(F.count(F.lit(1)).alias("paths"), *(F.sum(c).alias(c) for c in ("n", "labelled", "bad"))))
-        parents = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("paths").alias("pp"), F.sum("n").alias("pn"), F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"))
+        rows = now.select("key", "labelled", "bad", F.posexplode(F.arrays_zip(
+            F.col("segments").alias("seg"), F.slice(ancestors(F.col("host"), F.col("template")), 1, F.size("segments")).alias("parent"),
+        )).alias("at", "_s")).select("key", "labelled", "bad", "at", "_s.seg", "_s.parent")
+        children = cut(rows.groupBy("parent", "seg").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+        parents = children.groupBy("parent").agg(F.count(F.lit(1)).alias("children"), F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"))
         rest, rest_bad = F.col("pl") - F.col("labelled"), F.col("pb") - F.col("bad")
         pooled = F.try_divide("pb", "pl")
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest)))
-        different = F.coalesce((F.col("labelled") > 0) & (rest > 0) & (error > 0) & (F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest)) > SIMILAR_Z * error), F.lit(False))
-        rare = (F.col("children") > MOST_CHILDREN) & (F.col("n") < RARE * F.col("pn"))
-        named = children.join(parents, ["host", "template"]).select("host", "template", "seg", "pp", F.when(different | (~rare & (F.col("children") == 1)), F.col("seg")).otherwise("*").alias("name"))
-        now = cut(now.join(named, ["host", "template", "seg"]))
-        done = done.union(now.filter("pp = 1").select(*names, F.slice("segments", d + 1, F.size("segments")).alias("tail")))
-        now = now.filter("pp > 1").withColumn("template", F.concat("template", F.array("name"))).select(*names)
-        d += 1
+        apart = F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest)) > SIMILAR_Z * error
+        different = F.coalesce((F.col("labelled") > 0) & (rest > 0) & (error > 0) & apart, F.lit(False))
+        name = F.when(different | (F.col("children") == 1), F.col("seg")).otherwise("*")
+        named = children.join(parents, "parent").select("parent", "seg", name.alias("name"))
+        found = rows.join(named, ["parent", "seg"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("_names"))
+        joined = now.join(found, "key", "left").withColumn("_new", F.coalesce("_names.name", "template")).drop("_names")
+        after = cut(joined.withColumn("_moved", F.col("_new") != F.col("template")).withColumn("template", F.col("_new")).drop("_new"))
+        if after.filter("_moved").isEmpty():
+            return after.drop("_moved")
+        now = after.drop("_moved")
 
 
 def template_shares(paths: DataFrame) -> DataFrame:
     """(host, template, share): the share of bad pages among a template's labelled ones, smoothed towards its parent's, the
-    host's and at last that of all hosts."""
+    host's and at last that of all hosts. Every template asks for the counts of its ancestors at once and folds them."""
     total = paths.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 1.0)).first()[0]
-    shares = level = None
-    d = 0
-    while True:
-        nodes = paths.filter(F.size("template") >= d).groupBy("host", F.slice("template", 1, d).alias("template")).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        if d == 0:
-            nodes = nodes.withColumn("up", F.lit(total))
-        else:
-            above = level.select("host", F.col("template").alias("parent"), F.col("share").alias("up"))
-            nodes = nodes.withColumn("parent", F.slice("template", 1, d - 1)).join(above, ["host", "parent"]).drop("parent")
-        level = cut(nodes.select("host", "template", ((F.col("bad") + SMOOTHING * F.col("up")) / (F.col("labelled") + SMOOTHING)).alias("share")))
-        shares = level if shares is None else shares.union(level)
-        if level.isEmpty():
-            return shares
-        d += 1
-
-
-def below(share: Column) -> Column:
-    """A path's share after the smoothing of each segment of its tail: all of them have the path's own counts."""
-    own = F.try_divide("bad", "labelled")
-    left = F.pow(SMOOTHING / (F.col("labelled") + SMOOTHING), F.size("tail"))
-    return F.when((F.size("tail") == 0) | (F.col("labelled") == 0), share).otherwise(own + (share - own) * left)
+    templates = paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    templates = templates.withColumn("_up", ancestors(F.col("host"), F.col("template")))
+    asked = cut(templates.select(F.element_at("_up", -1).alias("id"), "host", "template", "labelled", "bad", F.posexplode("_up").alias("at", "node")))
+    nodes = asked.groupBy("node").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    counts = asked.select("id", "at", "node").join(nodes, "node").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "labelled", "bad"))).alias("_c"))
+    share = F.aggregate("_c", F.lit(total).cast("double"), lambda up, c: (c["bad"] + SMOOTHING * up) / (c["labelled"] + SMOOTHING))
+    return asked.filter(F.col("node") == F.col("id")).join(counts.select("id", share.alias("share")), "id").select("host", "template", "share")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -119,8 +113,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_
     tagged = rows.join(known, "id", "left")
     paths = cut(tagged.groupBy("key", "host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
     paths = generalised(paths)
-    full = F.concat(F.lit("/"), F.concat_ws("/", F.concat("template", "tail")))
-    templates = paths.join(template_shares(paths), ["host", "template"]).select("key", "n", full.alias("template"), below(F.col("share")).alias("share"))
+    full = F.concat(F.lit("/"), F.concat_ws("/", "template"))
+    templates = paths.join(template_shares(paths), ["host", "template"]).select("key", "n", full.alias("template"), "share")
     out = join_groups(rows, cut(templates), "key", "n", rows.count())
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     by_rule = F.lit(None).cast("string")

@@ -3,9 +3,10 @@
 import base64
 import hashlib
 import math
+import re
 import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import ahocorasick
 import numpy as np
@@ -449,6 +450,83 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), labels).count() == 0
 
 
+def _brute_templates(rows, labels):
+    """{page: (template, share)} by a tree of dictionaries, level by level."""
+    bad = {}
+    for i, b in labels:
+        bad[i] = max(b, bad.get(i, 0))
+    pages = []
+    for i, url in rows:
+        host, _, path = url.partition("://")[2].partition("/")
+        seg = [s for s in path.split("?")[0].split("#")[0].split("/") if s]
+        seg = ["*" if re.fullmatch("[0-9a-fA-F-]{12,}", s) else re.sub("[0-9]+", "*", s) for s in seg]
+        pages.append((i, host, seg, int(i in bad), bad.get(i, 0)))
+    names = {p[0]: [] for p in pages}
+    for d in range(max(len(p[2]) for p in pages)):
+        kids = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+        for i, host, seg, known, b in pages:
+            if len(seg) > d:
+                k = kids[host, tuple(names[i])][seg[d]]
+                k[0] += known
+                k[1] += b
+        for i, host, seg, _, _ in pages:
+            if len(seg) > d:
+                mine = kids[host, tuple(names[i])]
+                n, b = mine[seg[d]]
+                pn, pb = (sum(v[x] for v in mine.values()) for x in (0, 1))
+                apart = False
+                if 0 < n < pn and 0 < pb < pn:
+                    error = math.sqrt(pb / pn * (1 - pb / pn) * (1 / n + 1 / (pn - n)))
+                    apart = abs(b / n - (pb - b) / (pn - n)) > 1.96 * error
+                names[i] = [*names[i], seg[d] if apart or len(mine) == 1 else "*"]
+    nodes = defaultdict(lambda: [0, 0])
+    for i, host, _, known, b in pages:
+        for d in range(len(names[i]) + 1):
+            nodes[host, tuple(names[i][:d])][0] += known
+            nodes[host, tuple(names[i][:d])][1] += b
+    total = (sum(p[4] for p in pages) + 0.5) / (sum(p[3] for p in pages) + 1)
+    out = {}
+    for i, host, *_ in pages:
+        share = total
+        for d in range(len(names[i]) + 1):
+            n, b = nodes[host, tuple(names[i][:d])]
+            share = (b + 5 * share) / (n + 5)
+        out[i] = "/" + "/".join(names[i]), share
+    return out
+
+
+def test_templates_match_a_tree_built_level_by_level(spark):
+    r = np.random.default_rng(17)
+    rows, labels = [], []
+    for i in range(1500):
+        host = ["a.com", "b.org", "c.net"][i % 3]
+        depth = int(r.integers(0, 6))
+        seg = [str(r.choice(["x", "y", "z", "user7", "deadbeef00112233", "q"])) for _ in range(depth)]
+        rows.append((i, f"http://{host}/" + "/".join(seg)))
+        if i % 2:
+            lean = 0.1 + 0.7 * ("y" in seg[2:3]) + 0.15 * (seg[:1] == ["x"])
+            labels.append((i, int(r.uniform() < lean)))
+    labels += [(1, 1), (1, 0), (99_999, 1)]
+    pages = spark.createDataFrame([(i, u, "c", 1) for i, u in [*rows, rows[5], rows[5]]], "page_id long, url string, host string, share int").repartition(4)
+    want = _brute_templates([*rows, rows[5], rows[5]], labels)
+    got = url_filter.judge(pages, spark.createDataFrame(labels, "id long, bad int")).collect()
+    assert len(got) == len(rows) + 2
+    for q in got:
+        template, share = want[q.page_id]
+        assert q.template == template and q.share == pytest.approx(share, abs=1e-8)
+        assert q.verdict == ("block" if share >= 0.5 else "allow") or q.rule or abs(share - 0.5) < 1e-9
+    assert any("*" in t for t, _ in want.values()) and len({t for t, _ in want.values()}) > 12
+
+
+def test_a_trap_of_500_shared_segments_ends_soon(spark):
+    trap = "/".join(["a", "b"] * 250)
+    pages = spark.createDataFrame([(i, f"http://trap.com/{trap}/{end}") for i, end in enumerate(("one", "two"))], "page_id long, url string")
+    began = time.time()
+    got = url_filter.judge(pages, spark.createDataFrame([(0, 1)], "id long, bad int")).collect()
+    assert time.time() - began < 60
+    assert {q.template for q in got} == {f"/{trap}/*"}
+
+
 def test_bad_branch_is_told_from_good_ones(spark):
     rows = [(i, f"http://h.com/{'bad' if i % 2 else 'good'}/{i}") for i in range(400)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
