@@ -21,6 +21,8 @@ from .common import cut, join_groups, small_batches
 
 #: A file is closed once it has this many compressed bytes.
 ROLL_BYTES = 32_000_000
+#: Bytes of payload in a shard of a large archive; a small one is cut finer, into at most FEW_SHARDS.
+SHARD_BYTES, SMALL_SHARD_BYTES, FEW_SHARDS = 512_000_000, 2_000_000, 64
 #: Every record carries this date, so that the same rows give the same bytes.
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -68,6 +70,11 @@ def revisits(slim: DataFrame, min_bytes: int) -> DataFrame:
     return join_groups(slim.select("id", "digest"), groups, "digest", "n", slim.count()).filter("id > refers_to").select("id", "digest", "refers_to")
 
 
+def shards_for(payload_bytes: int) -> int:
+    """How many shards so many bytes of payload take: by the bytes alone, so that another cluster writes the same files."""
+    return max(1, min(FEW_SHARDS, -(-payload_bytes // SMALL_SHARD_BYTES)), -(-payload_bytes // SHARD_BYTES))
+
+
 def boundaries(ids: DataFrame, shards: int) -> list:
     """The ids at which shards begin: of each of `shards` equal shares of the sorted ids the first one, exactly.
 
@@ -92,7 +99,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     """Writes a record per page to numbered .warc.gz files under `out` and returns the manifest, a row per file.
 
     Rows are sorted into ranges of ids at exact boundaries, so the same rows give the same files, byte by byte, however
-    the input is split. A task writes its range into files named by range and number, each under a temporary name first and
+    the input is split; without `shards` their number follows from the payload's bytes. A task writes its range into files named by range and number, each under a temporary name first and
     then renamed; one that runs again replaces files by equal ones. `out`/manifest is written last, by Spark's own
     commit, and what failed attempts have left goes then; readers open only files that the manifest lists.
 
@@ -105,7 +112,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     pages = pages.withColumn(payload_col, F.coalesce(F.col(payload_col), F.lit(b"")))
     slim = cut(pages.select(F.col(id_col).alias("id"), F.sha2(F.col(payload_col), 256).alias("digest"), F.octet_length(payload_col).alias("bytes")))
     known = revisits(slim, min_revisit_bytes)
-    count = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = shards or shards_for(slim.agg(F.coalesce(F.sum(F.col("bytes").cast("long")), F.lit(0))).first()[0])
     bounds = boundaries(slim, count)
 
     @F.pandas_udf("int")

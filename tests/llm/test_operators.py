@@ -450,6 +450,11 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), labels).count() == 0
 
 
+def test_shards_follow_the_bytes():
+    sizes = [0, 1, 2_000_000, 2_000_001, 127_000_000, 10**9, 32 * 10**9, 33 * 10**9, 10**14]
+    assert [warc.shards_for(n) for n in sizes] == [1, 1, 1, 2, 64, 64, 64, 65, 195_313]
+
+
 def _brute_templates(rows, labels):
     """{page: (template, share)} by a tree of dictionaries, level by level."""
     bad = {}
