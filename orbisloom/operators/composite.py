@@ -3,6 +3,8 @@ background regrown behind depth edges."""
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,26 @@ def with_detail_level(targets: DataFrame, keys: list[str], size: tuple[int, int]
     return t.withColumn("lod", lod).drop("_ux", "_vx", "_uy", "_vy")
 
 
+def minification_confidence(targets: DataFrame, keys: list[str], size: tuple[int, int], source: tuple[int, int], low: float, high: float, scale: float = 1.0) -> DataFrame:
+    """targets (keys, y, x, u, v) with `confidence`: 1 where a target pixel spans at most `low` source pixels, 0 from `high` on,
+    and linear between. The span is the greater of the steps of u along x and of v along y, times scale; steps of u of more
+    than half the source are the seam and don't count. Differentiate a smoothed field: noise counts as steps."""
+    across = F.abs(_slope(F.col("u") * source[1], [*keys, "y"], "x", size[1]))
+    down = F.abs(_slope(F.col("v") * source[0], [*keys, "x"], "y", size[0]))
+    t = targets.withColumns({"_gu": across, "_gv": down})
+    span = F.greatest(F.when(F.col("_gu") > source[1] / 2, F.lit(0.0)).otherwise(F.col("_gu")), F.col("_gv")) * scale
+    share = (high - span) / max(high - low, 1e-6)
+    return t.withColumn("confidence", F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))).drop("_gu", "_gv")
+
+
+def smoothed_field(targets: DataFrame, keys: list[str], sigma: float, size: tuple[int, int]) -> DataFrame:
+    """(keys, y, x, u, v) of a look-up field after a Gaussian blur; u wraps, so it is blurred as a point of the unit circle."""
+    turn = 2 * pi
+    t = targets.select(*keys, "y", "x", F.cos(F.col("u") * turn).alias("_c"), F.sin(F.col("u") * turn).alias("_s"), "v")
+    out = lines.gaussian(t, keys, ["_c", "_s", "v"], sigma, *size)
+    return out.select(*keys, "y", "x", F.pmod(F.atan2("_s", "_c") / turn, F.lit(1.0)).alias("u"), "v")
+
+
 def trilinear(targets: DataFrame, levels: DataFrame, keys: list[str], values: list[str], sizes: list[tuple[int, int]]) -> DataFrame:
     """targets (keys, y, x, u, v, lod, ...) with the values of a pyramid at u, v (0 and 1 are the centres of the outer pixels),
     blended bilinearly within the two levels next to lod and linearly between them. Borders are held."""

@@ -24,6 +24,16 @@ def repair_metrics(before: DataFrame, after: DataFrame, frame: str, value: str)
     return a.join(b, frame).join(drift, frame, "left").select(frame, gain.alias("gain"), "drift")
 
 
+def scaled_sharpness(pixels: DataFrame, frame: str, value: str, height: int, width: int, most: int = 1024) -> DataFrame:
+    """(frame, sharpness) of the grid reduced so that its longer side has at most `most` pixels, so that figures of images of
+    different sizes compare; borders are reflected."""
+    by = most / max(height, width, most)
+    h, w = max(1, int(height * by)), max(1, int(width * by))
+    small = pixels if (h, w) == (height, width) else lines.area_reduced(pixels, [frame], [value], height, width, h, w)
+    edges = lines.laplacians(small, [frame], [value], h, w)
+    return edges.groupBy(frame).agg(F.var_pop(f"{value}_lap").alias("sharpness"))
+
+
 def blurred(pixels: DataFrame, frame: str, value: str, sigma: float, height: int, width: int) -> DataFrame:
     """A Gaussian blur with reflected borders; a large sigma belongs on a smaller grid."""
     return lines.gaussian(pixels, [frame], [value], sigma, height, width)

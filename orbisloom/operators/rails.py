@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.camera import Vector, cross, dot, unit
@@ -111,6 +111,45 @@ AIM, RISE_OF_CEILING, RISE_OF_WAY = 0.9, 0.55, 0.35
 SHRINK, TRIES = 0.85, 6
 
 
+def oriented(frames: DataFrame, path: list[str], order: str, forward: Vector, upright: float = 5e-2) -> DataFrame:
+    """frames with right, up and ahead, arrays of three: the axes of a camera that looks along `forward`, +Y being up.
+
+    A frame whose forward has no length looks as the one before it. Where it looks almost straight up or down, so that the
+    world's up says nothing of its roll, the right axis of the frame before is carried on, less what lies along the new
+    view. Before the first frame stand the axes of the world. Only runs of such frames are folded, each after the last
+    frame that needs nothing from before."""
+    line = Window.partitionBy(*path).orderBy(order)
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    long = F.sqrt(dot(forward, forward))
+    own = F.when(long > 1e-8, F.array(*[c / long for c in forward]))
+    f = frames.withColumn("_z", F.coalesce(F.last(own, ignorenulls=True).over(so_far), F.array(*map(F.lit, (0.0, 0.0, 1.0)))))
+    z = tuple(F.col("_z")[i] for i in range(3))
+    side = cross((F.lit(0.0), F.lit(1.0), F.lit(0.0)), z)
+    reach = F.sqrt(dot(side, side))
+    f = f.withColumn("_x", F.when(reach > upright, F.array(*[c / reach for c in side])))
+    f = f.withColumn("_run", F.count("_x").over(so_far)).withColumn("_i", F.row_number().over(line))
+    runs = f.groupBy(*path, "_run").agg(F.array_sort(F.collect_list(F.struct("_i", "_x", "_z"))).alias("_r"))
+
+    def carried_on(before: Column, z: Column) -> Column:
+        along = sum(before[i] * z[i] for i in range(3))
+        flat = [before[i] - z[i] * along for i in range(3)]
+        size = F.sqrt(sum(c * c for c in flat))
+        return F.when(size > 1e-8, F.array(*[c / size for c in flat])).otherwise(before)
+
+    def step(acc: Column, e: Column) -> Column:
+        x = F.coalesce(e["_x"], carried_on(acc["x"], e["_z"]))
+        return F.struct(x.alias("x"), F.concat(acc["out"], F.array(F.struct(e["_i"].alias("i"), x.alias("x")))).alias("out"))
+
+    start = F.struct(F.array(*map(F.lit, (1.0, 0.0, 0.0))).alias("x"), F.array().cast("array<struct<i:int,x:array<double>>>").alias("out"))
+    folded = runs.select(*[F.col(p).alias(f"_p{k}") for k, p in enumerate(path)], F.explode(F.aggregate("_r", start, step)["out"]).alias("_o"))
+    same = F.col("_i") == F.col("_o.i")
+    for k, p in enumerate(path):
+        same = same & F.col(p).eqNullSafe(F.col(f"_p{k}"))
+    met = f.join(folded, same)
+    x = tuple(F.col("_o.x")[i] for i in range(3))
+    return met.select(*frames.columns, F.col("_o.x").alias("right"), F.array(*cross(z, x)).alias("up"), F.col("_z").alias("ahead"))
+
+
 def open_directions(points: DataFrame, sectors: int = 32) -> tuple[DataFrame, DataFrame]:
     """(sector, clearance, corridor) of a cloud (x, y up, z), and one row (floor, ceiling, margin). Only the middle half of the
     heights counts, unless it has fewer than 100 points."""

@@ -139,6 +139,46 @@ def weighted_mix(holes: Column, region: Column, weight: float) -> Column:
     return F.greatest(F.coalesce(holes, F.lit(0.0)), F.coalesce(region, F.lit(0.0)) * weight)
 
 
+def semantic_region(semantic: DataFrame, holes: DataFrame, frame: str, value: str, threshold: float, grow: int, height: int, width: int) -> DataFrame:
+    """(frame, y, x, value): 1 where the semantic mask is at least `threshold`, grown by `grow` pixels, else 0, for the frames of
+    the holes. A mask of one frame stands for all of them; one of other frames, or of another size, raises ValueError."""
+    shape = lambda d: d.agg(F.count_distinct(frame), F.max("y"), F.max("x"), F.count(F.lit(1))).first()
+    mine, theirs = shape(semantic), shape(holes)
+    if tuple(mine[1:3]) != tuple(theirs[1:3]) or mine[3] * theirs[0] != theirs[3] * mine[0] or mine[0] not in (1, theirs[0]):
+        raise ValueError(f"the semantic mask is {tuple(mine)}, the holes are {tuple(theirs)} (frames, last y, last x, pixels)")
+    hard = semantic.select(frame, "y", "x", (F.col(value) >= threshold).cast("double").alias(value))
+    if mine[0] == 1 and theirs[0] > 1:
+        frames = holes.select(frame).distinct()
+        hard = hard.drop(frame).crossJoin(F.broadcast(frames)) if frames.count() <= 10_000 else holes.select(frame, "y", "x").join(hard.drop(frame), ["y", "x"])
+    elif not hard.select(frame).distinct().join(holes.select(frame), frame, "left_anti").isEmpty():
+        raise ValueError("the semantic mask has frames that the holes don't have")
+    return dilate(hard, frame, value, grow, height, width) if grow > 0 else hard.select(frame, "y", "x", value)
+
+
+def mixed_masks(holes: DataFrame, region: DataFrame, frame: str, value: str, weight: float, hole_grow: int, height: int, width: int) -> DataFrame:
+    """(frame, y, x, mask, union): the holes, grown, and the region at a weight, whichever is more; and the union of the holes as
+    they are and the region, for what may be taken from a fill whole."""
+    grown = dilate(holes, frame, value, hole_grow, height, width) if hole_grow > 0 else holes
+    named = lambda d, n: d.select(frame, "y", "x", F.col(value).alias(n))
+    met = named(grown, "_g").join(named(holes, "_h"), [frame, "y", "x"], "left").join(named(region, "_r"), [frame, "y", "x"], "left")
+    return met.select(frame, "y", "x", weighted_mix(F.col("_g"), F.col("_r"), weight).alias("mask"), weighted_mix(F.col("_h"), F.col("_r"), 1.0).alias("union"))
+
+
+def covered_masks(sizes: DataFrame, old: DataFrame, covered: DataFrame, view: str) -> DataFrame:
+    """(view, y, x, mask, filler): every view of `sizes` (view, height, width) with a mask: covered pixels (view, y, x) are black,
+    others as in the old mask (view, y, x, mask), where the view has one, else white. A view with neither has a white filler,
+    as masks come for all views or for none."""
+    at = [view, "y", "x"]
+    row = F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")
+    whole = sizes.filter("height > 0 and width > 0").select(view, "width", row).select(view, "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    has = old.select(view).distinct().withColumn("_old", F.lit(True))
+    hit = covered.select(view).distinct().withColumn("_hit", F.lit(True))
+    black = covered.select(*at).distinct().withColumn("_black", F.lit(True))
+    p = whole.join(has, view, "left").join(hit, view, "left").join(old.select(*at, F.col("mask").alias("_m")), at, "left").join(black, at, "left")
+    mask = F.when(F.col("_black"), 0).otherwise(F.coalesce("_m", F.lit(255)))
+    return p.select(*at, mask.cast("int").alias("mask"), (F.col("_old").isNull() & F.col("_hit").isNull()).alias("filler"))
+
+
 def composite(gate: Column, source: Column, fill: Column) -> Column:
     return gate * source + (1 - gate) * fill
 

@@ -111,6 +111,14 @@ def dense_ids(df: DataFrame, signature: list[str | Column], order: str, name: st
     return df.join(numbered, df["_sig"].eqNullSafe(numbered["_sig2"])).drop("_sig", "_sig2")
 
 
+def usable_views(views: DataFrame, sizes: DataFrame, name: str, frame: str, kept: list[int], limit: int = 0) -> DataFrame:
+    """Views whose size is known, in order of name, without those of the kept frames (a view without a frame isn't kept back); the
+    first `limit` of them, all for 0."""
+    back = F.coalesce(F.col(frame).isin(kept), F.lit(False)) if kept else F.lit(False)
+    found = present(views, sizes, name).filter(~back).orderBy(name)
+    return found.limit(limit) if limit else found
+
+
 def reuse_or_allocate(wanted: DataFrame, existing: DataFrame, signature: list[Column], id_col: str, order: str) -> DataFrame:
     """wanted with the id of an existing row of equal signature (the smallest), else new ids beyond the largest, by first use."""
     keyed = lambda d: d.withColumn("_sig", F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(signature)])))

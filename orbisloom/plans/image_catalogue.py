@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import camera
+from ..operators import composite as cps
 from ..operators import images as im
 from ..operators import lines, names
 from ..operators import raster as ras
+from ..operators import relational as rel
 from . import datasets
 from .catalogue import query
-from .composite_catalogue import _GRID, HEIGHT, SIZE, WIDTH, _filter_sql, _grid
+from .composite_catalogue import _GRID, _SLOPE, HEIGHT, SIZE, WIDTH, _filter_sql, _grid
 
 #: The window of three by three pixels around each, cut off at the borders.
 _NEAR = "g a JOIN g b ON b.frame = a.frame AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1"
@@ -155,3 +157,77 @@ def panorama_cameras(t):
     made = camera.equirectangular(s, F.col("model"), params, F.col("w"), F.col("h"))
     grid = camera.on_sphere_grid(F.lit("SPHERE"), sphere, F.lit(2048), F.lit(1024))
     return c.select("s_suppkey", made["model"].alias("model"), made["params"].alias("params"), grid.alias("on_grid"))
+
+
+_FIELD = "SELECT frame, y, x, ((x * x * (1 + y % 3)) % 101) / 101.0::DOUBLE AS u, ((y * y) % 53) / 52.0::DOUBLE AS v FROM g"
+
+
+def _field(t):
+    u, v = F.col("x") * F.col("x") * (1 + F.col("y") % 3) % 101 / 101.0, F.col("y") * F.col("y") % 53 / 52.0
+    return _grid(t).select("frame", "y", "x", u.alias("u"), v.alias("v"))
+
+
+@query(f"""
+    WITH {_GRID}, t AS ({_FIELD}), s AS (SELECT *, abs({_SLOPE.format(c=f"(u * {WIDTH})", w="rw")}) AS gu, abs({_SLOPE.format(c=f"(v * {HEIGHT})", w="cw")}) AS gv
+        FROM t WINDOW rw AS (PARTITION BY frame, y ORDER BY x), cw AS (PARTITION BY frame, x ORDER BY y))
+    SELECT frame, y, x, round(least(greatest((8 - greatest(CASE WHEN gu > {WIDTH / 2} THEN 0 ELSE gu END, gv) * 1.5) / 6, 0), 1), 6) AS confidence FROM s""")
+def warp_confidence(t):
+    out = cps.minification_confidence(_field(t), ["frame"], SIZE, SIZE, 2.0, 8.0, 1.5)
+    return out.select("frame", "y", "x", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""
+    WITH {_GRID}, t AS ({_FIELD}), c AS (SELECT frame, y, x, cos(u * 6.283185307179586) AS c, sin(u * 6.283185307179586) AS s, v FROM t),
+    {_filter_sql("bl", "c", ["c", "s", "v"], lines.gaussian_kernel(0.6), HEIGHT, WIDTH)}, o AS (SELECT frame, y, x, atan2(s, c) / 6.283185307179586 AS a, v FROM bl)
+    SELECT frame, y, x, round(CASE WHEN a < 0 THEN a + 1 ELSE a END, 5) AS u, round(v, 5) AS v FROM o""")
+def smoothed_lookup(t):
+    out = cps.smoothed_field(_field(t), ["frame"], 0.6, SIZE)
+    return out.select("frame", "y", "x", F.round("u", 5).alias("u"), F.round("v", 5).alias("v"))
+
+
+@query(f"""
+    WITH {_GRID}, s AS (SELECT y, x, (fr >= 40)::INT::DOUBLE AS v FROM g WHERE frame = 0),
+    d AS (SELECT f.frame, (s.y + dy + {HEIGHT}) % {HEIGHT} AS y, (s.x + dx + {WIDTH}) % {WIDTH} AS x, max(v) AS r FROM s, (SELECT DISTINCT frame FROM g) f, range(-1, 2) a(dy), range(-1, 2) b(dx) GROUP BY 1, 2, 3),
+    h AS (SELECT g.frame, (g.y + dy + {HEIGHT}) % {HEIGHT} AS y, (g.x + dx + {WIDTH}) % {WIDTH} AS x, max(gate) AS m FROM g, range(-2, 3) a(dy), range(-2, 3) b(dx) GROUP BY 1, 2, 3)
+    SELECT g.frame, g.y, g.x, greatest(h.m, d.r * 0.4)::DOUBLE AS mask, greatest(gate, d.r) AS "union" FROM g JOIN d USING (frame, y, x) JOIN h USING (frame, y, x)""")
+def semantic_masks(t):
+    g = _grid(t)
+    holes = g.select("frame", "y", "x", F.col("gate").alias("m"))
+    region = ras.semantic_region(g.filter("frame = 0").select("frame", "y", "x", F.col("fr").alias("m")), holes, "frame", "m", 40.0, 1, *SIZE)
+    return ras.mixed_masks(holes, region, "frame", "m", 0.4, 2, *SIZE)
+
+
+@query(f"""
+    WITH {_GRID}, c1 AS (SELECT frame, r, x, unnest(range(y::BIGINT * 20 // {HEIGHT}, ceil((y + 1)::DOUBLE * 20 / {HEIGHT})::BIGINT)) AS cy FROM g),
+    c2 AS (SELECT frame, r, cy, unnest(range(x::BIGINT * 4 // {WIDTH}, ceil((x + 1)::DOUBLE * 4 / {WIDTH})::BIGINT)) AS cx FROM c1),
+    s AS (SELECT frame, cy AS y, cx AS x, avg(r) AS r FROM c2 GROUP BY 1, 2, 3),
+    l AS (SELECT a.frame, a.y, a.x, sum(b.r) - 4 * any_value(a.r) AS l FROM s a, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dy, dx) JOIN s b ON b.frame = a.frame
+        AND b.y = CASE a.y + dy WHEN -1 THEN 1 WHEN 20 THEN 18 ELSE a.y + dy END AND b.x = CASE a.x + dx WHEN -1 THEN 1 WHEN 4 THEN 2 ELSE a.x + dx END GROUP BY 1, 2, 3)
+    SELECT frame, round(var_pop(l), 4) AS sharpness FROM l GROUP BY 1""")
+def reduced_sharpness(t):
+    out = im.scaled_sharpness(_grid(t).select("frame", "y", "x", "r"), "frame", "r", *SIZE, most=20)
+    return out.select("frame", F.round("sharpness", 4).alias("sharpness"))
+
+
+@query("""
+    WITH s AS (SELECT n_nationkey AS view, 2 + n_nationkey % 4 AS height, 3 + n_nationkey % 2 AS width FROM nation),
+    o AS (SELECT s_nationkey AS view, s_suppkey % 6 AS y, s_suppkey % 5 AS x, min((s_acctbal > 0)::INT * 255) AS mask FROM supplier WHERE s_nationkey % 3 <> 1 GROUP BY ALL),
+    c AS (SELECT DISTINCT c_nationkey AS view, c_custkey % 3 AS y, c_custkey % 2 AS x FROM customer WHERE c_nationkey % 5 < 2),
+    w AS (SELECT view, y, x FROM s, range(height) a(y), range(width) b(x))
+    SELECT view, y::INT AS y, x::INT AS x, CASE WHEN c.view IS NOT NULL THEN 0 ELSE coalesce(o.mask, 255) END::INT AS mask,
+           view NOT IN (SELECT view FROM o) AND view NOT IN (SELECT view FROM c) AS filler FROM w LEFT JOIN o USING (view, y, x) LEFT JOIN c USING (view, y, x)""")
+def coverage_masks(t):
+    n = F.col("n_nationkey")
+    sizes = t("nation").select(n.alias("view"), (2 + n % 4).cast("int").alias("height"), (3 + n % 2).cast("int").alias("width"))
+    where = [F.col("s_nationkey").alias("view"), (F.col("s_suppkey") % 6).cast("int").alias("y"), (F.col("s_suppkey") % 5).cast("int").alias("x")]
+    old = t("supplier").filter("s_nationkey % 3 <> 1").groupBy(*where).agg(F.min((F.col("s_acctbal") > 0).cast("int") * 255).alias("mask"))
+    covered = t("customer").filter("c_nationkey % 5 < 2").select(F.col("c_nationkey").alias("view"), (F.col("c_custkey") % 3).cast("int").alias("y"), (F.col("c_custkey") % 2).cast("int").alias("x"))
+    return ras.covered_masks(sizes, old, covered, "view")
+
+
+@query("""
+    SELECT p_partkey, p_size FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_tax > 0.07) AND p_size NOT IN (3, 7, 40)
+    ORDER BY p_partkey LIMIT 100""")
+def usable_parts(t):
+    sized = t("lineitem").filter("l_tax > 0.07").select(F.col("l_partkey").alias("p_partkey"))
+    return rel.usable_views(t("part").select("p_partkey", "p_size"), sized, "p_partkey", "p_size", [3, 7, 40], 100)

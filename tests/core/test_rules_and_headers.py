@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from orbisloom.functions import camera
 from orbisloom.operators import aggregates as agg
-from orbisloom.operators import images, names
+from orbisloom.operators import images, names, rails
+from orbisloom.operators import raster as ras
 from orbisloom.sources import files
 
 
@@ -111,3 +112,58 @@ def test_stitching_matches_all_pairs(spark):
     assert got.keys() == want.keys() and len(want) > 100
     for i, (name, px, py) in want.items():
         assert got[i][0] == name and math.isclose(got[i][1], px, abs_tol=1e-6) and math.isclose(got[i][2], py, abs_tol=1e-6)
+
+
+def np_axes(forward):
+    z0, x0, out = np.array([0.0, 0.0, 1.0]), np.array([1.0, 0.0, 0.0]), []
+    for f in forward:
+        n = np.linalg.norm(f)
+        z = f / n if n > 1e-8 else z0
+        x = np.cross([0.0, 1.0, 0.0], z)
+        if np.linalg.norm(x) > 5e-2:
+            x = x / np.linalg.norm(x)
+        else:
+            x = x0 - z * (x0 @ z)
+            x = x / np.linalg.norm(x) if np.linalg.norm(x) > 1e-8 else x0
+        out.append((x, np.cross(z, x), z))
+        z0, x0 = z, x
+    return out
+
+
+def test_axes_are_carried_over_degenerate_frames(spark):
+    r = np.random.default_rng(4)
+    paths = {
+        "a": [*r.normal(size=(5, 3)), [0, 0, 0], [0.01, 1, 0], [0, 2, 0], [0.0, -1, 0.02], [0, 0, 0], *r.normal(size=(3, 3))],
+        "up first": [[0, 0, 0], [0, 5, 0.1], [0, 1, 0], [1, 0, 0]],
+        "one": [[0, -3, 0]],
+        None: [[1, 2, 3], [0, 1, 0]],
+    }
+    rows = [(p, i, *map(float, f)) for p, fs in paths.items() for i, f in enumerate(fs)]
+    frames = spark.createDataFrame(rows, "path string, i int, fx double, fy double, fz double").repartition(3)
+    got = rails.oriented(frames, ["path"], "i", (F.col("fx"), F.col("fy"), F.col("fz")))
+    assert got.columns == [*frames.columns, "right", "up", "ahead"]
+    found = {(q.path, q.i): q for q in got.collect()}
+    assert len(found) == len(rows)
+    for p, fs in paths.items():
+        for i, (x, y, z) in enumerate(np_axes(np.array(fs, float))):
+            q = found[p, i]
+            assert np.allclose(q.right, x) and np.allclose(q.up, y) and np.allclose(q.ahead, z), (p, i)
+
+
+def test_semantic_masks_must_fit(spark):
+    grid = lambda frames, h, w: spark.createDataFrame([(f, y, x, float((y + x) % 2)) for f in frames for y in range(h) for x in range(w)], "frame string, y int, x int, m double")
+    holes = grid("ab", 3, 4)
+    fit = ras.semantic_region(grid("q", 3, 4), holes, "frame", "m", 0.5, 0, 3, 4)
+    assert fit.count() == 24 and fit.select("frame").distinct().count() == 2
+    assert ras.semantic_region(holes, holes, "frame", "m", 0.5, 1, 3, 4).filter("m = 1").count() == 24
+    for wrong in (grid("q", 4, 4), grid("abc", 3, 4), grid("ac", 3, 4), grid("ab", 3, 4).filter("not (frame = 'a' and y = 1 and x = 1)")):
+        with pytest.raises(ValueError):
+            ras.semantic_region(wrong, holes, "frame", "m", 0.5, 0, 3, 4)
+
+
+def test_masks_come_for_all_views(spark):
+    sizes = spark.createDataFrame([("a", 2, 2), ("b", 1, 2), ("c", 1, 1), ("none", 0, 5)], "view string, height int, width int")
+    old = spark.createDataFrame([("b", 0, 0, 9), ("b", 0, 1, 0)], "view string, y int, x int, mask int")
+    covered = spark.createDataFrame([("a", 0, 1), ("a", 0, 1), ("a", 7, 7)], "view string, y int, x int")
+    got = {(q.view, q.y, q.x): (q.mask, q.filler) for q in ras.covered_masks(sizes, old, covered, "view").collect()}
+    assert got == {("a", 0, 0): (255, False), ("a", 0, 1): (0, False), ("a", 1, 0): (255, False), ("a", 1, 1): (255, False), ("b", 0, 0): (9, False), ("b", 0, 1): (0, False), ("c", 0, 0): (255, True)}
