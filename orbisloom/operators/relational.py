@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,22 +132,47 @@ def reuse_or_allocate(wanted: DataFrame, existing: DataFrame, signature: list[Co
     return out.withColumn(id_col, F.coalesce("_id", F.col("_top") + F.col("_n") + 1)).drop("_sig", "_id", "_n", "_top")
 
 
+def _packed(rows: DataFrame, key: str, vector: str, block: int, prefix: str) -> DataFrame:
+    """(<prefix>block, <prefix>keys, <prefix>flat): rows in order of key, `block` of them to a row, with all their numbers."""
+    at = with_position(rows.select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v")), ["_k"], "_n")
+    blocks = at.groupBy(F.floor(F.col("_n") / block).alias(f"{prefix}block")).agg(F.array_sort(F.collect_list(F.struct("_n", "_k", "_v"))).alias("_rows"))
+    return blocks.select(f"{prefix}block", F.col("_rows._k").alias(f"{prefix}keys"), F.flatten("_rows._v").alias(f"{prefix}flat"))
+
+
 def nearest_by_cosine(queries: DataFrame, pool: DataFrame, key: str, vector: str, pool_key: str, block: int = 1024) -> DataFrame:
     """(key, pool_key, cosine): for each query the pool row of the largest dot product of unit vectors, the smallest pool key
-    on ties. The pool is gathered into blocks of rows; a small one is broadcast, a large one is dealt to all blocks."""
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda c: F.transform(F.col(c).cast("array<double>"), lambda x: x / length(F.col(c).cast("array<double>")))
-    q = queries.select(key, unit(vector).alias("_q"))
-    rows = with_position(pool.select(F.col(pool_key).alias("_p"), unit(vector).alias("_v")), ["_p"], "_n")
-    blocks = rows.groupBy(F.floor(F.col("_n") / block).alias("_block")).agg(F.collect_list(F.struct("_p", "_v")).alias("_rows"))
+    on ties (to 12 digits). A vector without length has cosines of 0. Vectors are as long as each other; null ones are left out.
+
+    Both sides are packed into blocks, and each pair of blocks is one product of matrices of which only the best of each query
+    goes on. A small pool's blocks are broadcast, a large one's are dealt to all blocks of queries."""
+    q = _packed(queries.filter(F.col(vector).isNotNull()), key, vector, block, "q")
+    p = _packed(pool.filter(F.col(vector).isNotNull()), pool_key, vector, block, "p")
     n = pool.count()
     if n <= BROADCAST_ROWS:
-        met = q.crossJoin(F.broadcast(blocks))
+        met = q.crossJoin(F.broadcast(p))
     else:
-        met = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block)))).join(blocks, "_block")
-    cosine = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    best = F.array_min(F.transform("_rows", lambda r: F.struct((-cosine(F.col("_q"), r["_v"])).alias("d"), r["_p"].alias("p"))))
-    return met.select(key, best.alias("_b")).groupBy(key).agg(F.min("_b").alias("_b")).select(key, F.col("_b.p").alias(pool_key), (-F.col("_b.d")).alias("cosine"))
+        met = q.withColumn("pblock", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // block)))).join(p, "pblock")
+
+    def units(keys: pa.Array, flat: pa.Array, i: int) -> tuple[pa.Array, np.ndarray]:
+        names = keys[i].values
+        rows = flat[i].values.to_numpy(zero_copy_only=False).reshape(len(names), -1)
+        size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        return names, rows / np.where(size > 0, size, 1.0)
+
+    def run(batches):
+        for batch in batches:
+            sides = [batch.column(c) for c in ("qkeys", "qflat", "pkeys", "pflat")]
+            for i in range(batch.num_rows):
+                (asked, a), (names, b) = units(*sides[:2], i), units(*sides[2:], i)
+                cosine = a @ b.T
+                best = np.round(cosine, 12).argmax(axis=1)  # the first in order of key
+                found = cosine[np.arange(len(a)), best]
+                yield pa.RecordBatch.from_arrays([asked, names.take(pa.array(best)), pa.array(found)], [key, pool_key, "cosine"])
+
+    kinds = queries.schema[key].dataType.simpleString(), pool.schema[pool_key].dataType.simpleString()
+    best = met.select("qkeys", "qflat", "pkeys", "pflat").mapInArrow(run, f"`{key}` {kinds[0]}, `{pool_key}` {kinds[1]}, cosine double")
+    first = F.min(F.struct((-F.round("cosine", 12)).alias("d"), F.col(pool_key).alias("p"))).alias("_b")
+    return best.groupBy(key).agg(first, F.max("cosine").alias("cosine")).select(key, F.col("_b.p").alias(pool_key), "cosine")
 
 
 def distance_join(left: DataFrame, right: DataFrame, columns: list[tuple[str, str]], most: float) -> DataFrame:

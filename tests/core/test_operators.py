@@ -99,6 +99,26 @@ def test_distance_join_matches_all_pairs(spark):
     assert got == {(i, j) for i, x, y in a for j, u, w in b if math.hypot(x - u, y - w) <= 0.7}
 
 
+@pytest.mark.parametrize("most", [3, 50_000])
+def test_nearest_matches_all_pairs_with_ties(spark, monkeypatch, most):
+    monkeypatch.setattr(rel, "BROADCAST_ROWS", most)
+    r = random.Random(6)
+    pool = [(i, [r.gauss(0, 1) for _ in range(5)]) for i in range(40)]
+    pool += [(100 + i, [2 * x for x in v]) for i, v in pool[:10]] + [(200, [0.0] * 5), (300, None)]
+    asked = [(f"q{i}", [r.gauss(0, 1) for _ in range(5)]) for i in range(30)] + [("same", pool[3][1]), ("zero", [0.0] * 5), ("null", None)]
+    got = rel.nearest_by_cosine(spark.createDataFrame(asked, "k string, v array<double>").repartition(3), spark.createDataFrame(pool, "p int, v array<double>"), "k", "v", "p", block=7).collect()
+
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    assert len(got) == 32
+    for q in got:
+        v = dict(asked)[q.k]
+        best = max(cosine(v, w) for _, w in pool if w)
+        assert q.cosine == pytest.approx(best, abs=1e-12) and q.p == min(p for p, w in pool if w and cosine(v, w) > best - 1e-9)
+
+
 def test_nearest_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(rel, "BROADCAST_ROWS", 3)
     pool = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(10)] + [(99, [1.0, 0.0])], "p int, v array<double>")
