@@ -410,3 +410,63 @@ def raster_contest(t):
 def stage_seconds(t):
     li = t("lineitem").select(F.col("l_returnflag").alias("stage"), F.col("l_quantity").cast("double").alias("seconds"))
     return agg.stage_totals(li, ["stage"], "seconds", 1).select("stage", F.round("total", 2).alias("seconds"))
+
+
+# ---- whole rows of pruned, appended, trimmed and ordered models
+
+
+@query("""
+    SELECT l_partkey AS point3d_id, l_orderkey AS image_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+def pruned_tracks(t):
+    m = _model(t)
+    return ds.apply_removal(m["cameras"], m["images"], m["tracks"], m["images"].filter("o_orderstatus = 'F'").select("name"))["tracks"]
+
+
+@query("""
+    WITH p AS (SELECT max(p_partkey) AS m FROM part), i AS (SELECT max(o_orderkey) AS m FROM orders WHERE o_orderkey % 2 = 0)
+    SELECT l_partkey + CASE WHEN l_orderkey % 2 = 1 THEN p.m ELSE 0 END AS point3d_id, l_orderkey + CASE WHEN l_orderkey % 2 = 1 THEN i.m ELSE 0 END AS image_id, l_linenumber FROM lineitem, p, i""")
+def appended_tracks(t):
+    return ds.append_model(_model(t, 0), _model(t, 1))["tracks"]
+
+
+@query("""
+    WITH c AS (SELECT max(c_custkey) AS m FROM customer), i AS (SELECT max(o_orderkey) AS m FROM orders WHERE o_orderkey % 2 = 0)
+    SELECT o_orderkey + CASE WHEN o_orderkey % 2 = 1 THEN i.m ELSE 0 END AS image_id, o_custkey + CASE WHEN o_orderkey % 2 = 1 THEN c.m ELSE 0 END AS camera_id, 'i' || o_orderkey AS name FROM orders, c, i""")
+def appended_images(t):
+    return ds.append_model(_model(t, 0), _model(t, 1))["images"].select("image_id", "camera_id", "name")
+
+
+def _trimmed(t):
+    m = _model(t)
+    seen = t("lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("idx"), F.col("l_suppkey").alias("spot"), F.when(F.col("l_tax") > 0.02, F.col("l_partkey")).otherwise(-1).alias("point3d_id"))
+    tracks = seen.filter("point3d_id > 0").select("point3d_id", "image_id", "idx")
+    keep = m["images"].filter("o_orderstatus = 'P'").select("name")
+    return ds.trim_model(m["cameras"], m["images"], t("part").filter("p_size > 10").select(F.col("p_partkey").alias("point3d_id")), tracks, seen, keep)
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey AS image_id, l_linenumber AS idx, l_suppkey AS spot, CASE WHEN l_tax > 0.02 THEN l_partkey ELSE -1 END AS point3d_id FROM lineitem
+               WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'))
+    SELECT image_id, idx, spot, CASE WHEN point3d_id IN (SELECT p_partkey FROM part WHERE p_size > 10) THEN point3d_id ELSE -1 END AS point3d_id FROM s""")
+def trimmed_observations(t):
+    return _trimmed(t)["observations"].select("image_id", "idx", "spot", F.col("point3d_id").cast("long").alias("point3d_id"))
+
+
+@query("""
+    WITH k AS (SELECT * FROM orders WHERE o_orderstatus = 'P'), s AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_tax > 0.02 AND l_orderkey IN (SELECT o_orderkey FROM k))
+    SELECT 'camera' AS part, c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM k)
+    UNION ALL SELECT 'point', p_partkey FROM part WHERE p_size > 10 AND p_partkey IN (SELECT l_partkey FROM s)""")
+def trimmed_ids(t):
+    m = _trimmed(t)
+    return m["cameras"].select(F.lit("camera").alias("part"), F.col("camera_id").alias("id")).unionByName(m["points"].select(F.lit("point").alias("part"), F.col("point3d_id").alias("id")))
+
+
+@query("""
+    WITH s AS (SELECT DISTINCT l_linenumber AS g, l_orderkey AS pos, l_partkey AS name FROM lineitem WHERE l_quantity > 40), p AS (SELECT p_partkey AS name FROM part WHERE p_size < 45),
+    f AS (SELECT name, min({'g': g, 'pos': pos}) AS f FROM s WHERE name IN (SELECT name FROM p) GROUP BY 1)
+    SELECT f.g::BIGINT AS group_id, f.pos AS pos, name FROM f
+    UNION ALL SELECT (SELECT max(g) + 1 FROM s), row_number() OVER (ORDER BY name), name FROM p WHERE name NOT IN (SELECT name FROM s)""")
+def upscale_ordering(t):
+    li = t("lineitem").filter("l_quantity > 40")
+    sequences = li.select(F.col("l_linenumber").cast("long").alias("seq_id"), F.col("l_orderkey").alias("pos"), F.col("l_partkey").alias("name")).distinct()
+    return ds.upscale_order(sequences, t("part").filter("p_size < 45").select(F.col("p_partkey").alias("name")))
