@@ -439,7 +439,7 @@ def appended_images(t):
 def _trimmed(t):
     m = _model(t)
     seen = t("lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("idx"), F.col("l_suppkey").alias("spot"), F.when(F.col("l_tax") > 0.02, F.col("l_partkey")).otherwise(-1).alias("point3d_id"))
-    tracks = seen.filter("point3d_id > 0").select("point3d_id", "image_id", "idx")
+    tracks = seen.filter("point3d_id >= 0").select("point3d_id", "image_id", "idx")
     keep = m["images"].filter("o_orderstatus = 'P'").select("name")
     return ds.trim_model(m["cameras"], m["images"], t("part").filter("p_size > 10").select(F.col("p_partkey").alias("point3d_id")), tracks, seen, keep)
 
