@@ -16,9 +16,13 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a temporary one only where no checkpoint folder is set."""
+    """A new folder that driver and executors share; a temporary one only in local mode, where no checkpoint folder is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(where or tempfile.mkdtemp(prefix='orbisloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="orbisloom-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
