@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges up to this number are broadcast; more are sorted in among the rows.
+BROADCAST_BOUNDS = 50_000
+
+
 def held(df: DataFrame) -> DataFrame:
     """df evaluated once: a reliable checkpoint where a checkpoint folder is set, else a cache on memory and disk."""
     spark = df.sparkSession
@@ -87,13 +91,36 @@ def cumulative_bounds(sizes: DataFrame, order: str, size: str) -> DataFrame:
 
 
 def in_bounds(rows: DataFrame, at: str, bounds: DataFrame, key: str) -> DataFrame:
-    """rows with the key of the range that holds `at`; what lies beyond the end gets the last range's."""
+    """rows with the key of the range that holds `at`; what lies in none, as beyond the end, gets the last range's. Ranges don't
+    overlap. Up to BROADCAST_BOUNDS of them are broadcast; more are sorted in among the rows."""
     last = bounds.agg(F.max_by(key, "high").alias("_last"))
     b = bounds.select(key, "low", "high").filter("high > low")
-    hit = rows.join(F.broadcast(b), (F.col(at) >= F.col("low")) & (F.col(at) < F.col("high")), "left").crossJoin(F.broadcast(last))
+    if b.count() <= BROADCAST_BOUNDS:
+        hit = rows.join(F.broadcast(b), (F.col(at) >= F.col("low")) & (F.col(at) < F.col("high")), "left")
+    else:
+        begun = b.select(F.col("low").alias(at), F.struct(key, "high").alias("_b"))
+        met = latest_before(rows, begun, at, "_b")
+        hit = met.withColumn(key, F.when(F.col(at) < F.col("_b.high"), F.col(f"_b.{key}"))).withColumns({"low": F.lit(None), "high": F.lit(None)}).drop("_b")
+    hit = hit.crossJoin(F.broadcast(last))  # one row
     return hit.withColumn(key, F.coalesce(F.col(key), F.col("_last"))).drop("low", "high", "_last")
 
 
+def latest_before(rows: DataFrame, marks: DataFrame, at: str, value: str) -> DataFrame:
+    """rows with `value` of the latest mark (at, value) at or before `at`; null when there is none.
+
+    Both are range-sorted together; a row takes the last mark of its own part, or else what the parts before end with, a table
+    with a row per part. Marks have different places and no null values."""
+    left = rows.withColumn("_side", F.lit(1)).withColumn(value, F.lit(None).cast(marks.schema[value].dataType))
+    both = left.unionByName(marks.select(at, value).withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    both = held(both.orderBy(at, "_side").withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()))
+    ends = both.groupBy("_part").agg(F.max_by(value, F.when(F.col("_side") == 0, F.col("_n"))).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("_part", before.alias("_before"))  # a row per part
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy("_part").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_own", own).filter("_side = 1").join(F.broadcast(ends), "_part")
+    return found.withColumn(value, F.coalesce("_own", "_before")).drop("_side", "_part", "_n", "_own", "_before")
+
+
 def as_of(rows: DataFrame, marks: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
     """rows with `value` of the latest mark at or before `at` within the same `by`; null when there is none. A union sorted
     once: no range join. Of marks at one moment the largest value counts."""

@@ -91,6 +91,24 @@ def test_moving_average_over_levels_and_small_groups(spark):
     assert whole == [v for _, _, v in sorted(rows)]
 
 
+@pytest.mark.parametrize("most", [2, 50_000])
+def test_bounds_of_any_number(spark, monkeypatch, most):
+    monkeypatch.setattr(od, "BROADCAST_BOUNDS", most)
+    r = random.Random(9)
+    sizes = [(f"t{i}", r.choice([0, 1, 3, 40])) for i in range(30)] + [("end", 2)]
+    bounds, low = [], 0
+    for k, n in sizes:
+        bounds.append((k, low, low + n))
+        low += n
+    rows = [(i, r.randrange(-3, low + 10)) for i in range(400)] + [(i, i) for i in range(400, 440)]
+    got = od.in_bounds(spark.createDataFrame(rows, "i int, at int").repartition(4), "at", spark.createDataFrame(bounds, "traj string, low int, high int"), "traj")
+    assert got.columns[-1] == "traj" and set(got.columns) == {"i", "at", "traj"}
+    found = {q.i: q.traj for q in got.collect()}
+    assert len(found) == len(rows)
+    for i, at in rows:
+        assert found[i] == next((k for k, a, b in bounds if a <= at < b), "end")
+
+
 def test_distance_join_matches_all_pairs(spark):
     r = random.Random(4)
     a = [(i, r.uniform(-3, 3), r.uniform(-3, 3)) for i in range(60)]

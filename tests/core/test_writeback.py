@@ -63,6 +63,8 @@ def test_replacement_is_whole_before_and_after_each_step(spark, tmp_path, origin
         wb.commit(spark, staged, "replace", str(backup))
     assert seen(originals) == old | new and seen(backup) == {n: old[n] for n in new}
     assert wb.recover(spark, str(originals)) == {}
+    if step:
+        return
     # the first backup stays when a file is replaced again
     wb.commit(spark, wb.stage(frames(spark, [(NAMES[1], b"newer")]), str(originals)), "replace", str(backup))
     assert seen(originals)[NAMES[1]] == b"newer" and seen(backup)[NAMES[1]] == old[NAMES[1]]
