@@ -47,7 +47,7 @@ def rasterize(faces: DataFrame, vertices: DataFrame, width: int, height: int) ->
 
     Corners are clip coordinates. A triangle's fragments are the pixels of its box, so filters on faces come first; the
     contest for a pixel is one maximum of structs, which combines before the shuffle: the largest 1/w, on ties the
-    earliest clip part and the lowest face."""
+    earliest clip part and the lowest face. Faces whose corners have one w tie exactly, whatever their shapes."""
     t = clipped(faces, vertices)
     for n in "abc":
         t = t.withColumn(f"_{n}x", (F.col(n)["x"] / F.col(n)["w"] * 0.5 + 0.5) * width - 0.5).withColumn(f"_{n}y", (F.col(n)["y"] / F.col(n)["w"] * 0.5 + 0.5) * height - 0.5)
@@ -60,8 +60,8 @@ def rasterize(faces: DataFrame, vertices: DataFrame, width: int, height: int) ->
     t = t.withColumn("_area", area).filter(F.abs("_area") > 1e-12)
     t = t.withColumn("_la", edge("b", "c") / F.col("_area")).withColumn("_lb", edge("c", "a") / F.col("_area")).withColumn("_lc", edge("a", "b") / F.col("_area"))
     t = t.filter((F.col("_la") >= -EPS) & (F.col("_lb") >= -EPS) & (F.col("_lc") >= -EPS))
-    inv = sum(F.col(f"_l{n}") / F.col(n)["w"] for n in "abc")
-    t = t.withColumn("_inv", inv)
+    one = {n: 1 / F.col(n)["w"] for n in "abc"}
+    t = t.withColumn("_inv", one["a"] + F.col("_lb") * (one["b"] - one["a"]) + F.col("_lc") * (one["c"] - one["a"]))  # exact where all corners are equally deep
     bary = lambda b: sum(F.col(f"_l{n}") / F.col(n)["w"] * F.col(n)[b] for n in "abc") / F.col("_inv")
     depth = sum(F.col(f"_l{n}") * F.col(n)["z"] / F.col(n)["w"] for n in "abc")
     best = F.max(F.struct(F.col("_inv").alias("inv"), (-F.col("part")).alias("part"), (-F.col("fid")).alias("fid"), bary("b0").alias("u"), bary("b1").alias("v"), depth.alias("z")))

@@ -31,3 +31,9 @@ def test_names_of_numbers_longer_than_their_field(spark, tmp_path):
 def test_padded_keys_longer_than_their_field(spark, tmp_path):
     orders = [(i, "1-URGENT") for i in (7, 999_999_999, 1_000_000_000, 12_345_678_901)]
     same_as_sql(spark, tmp_path, "short_hashes", orders=("o_orderkey long, o_orderpriority string", orders))
+
+
+def test_faces_of_equal_depth_go_to_the_lowest(spark, tmp_path):
+    suppliers = [(i + 1000 * k,) for i in range(1, 60) for k in range(40)]
+    rows = same_as_sql(spark, tmp_path, "raster_contest", supplier=("s_suppkey long", suppliers))
+    assert len(rows) > 400
