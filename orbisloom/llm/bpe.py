@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import functools
 import heapq
+import itertools
 import json
 import os
 import re
@@ -31,8 +32,9 @@ from .common import pieces, small_batches, written
 #: A word of at least this share of all words is in the lexicon, so there are at most 1 / LEXICON_SHARE of them whatever the
 #: corpus; its file has a few tens of bytes for each.
 LEXICON_SHARE = 1 / 200_000
-#: Distinct pieces that a worker remembers before it starts afresh.
-MEMO = 500_000
+#: Distinct pieces that a worker remembers before it starts afresh, and bytes of text that it takes at a time (which may add
+#: some 250,000 more). An executor has a worker per core, which lives on between runs, so both count for all of them at once.
+MEMO, BYTES = 400_000, 1_500_000
 _NONE = np.int64(-1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -360,6 +362,10 @@ class ByteBpe:
     def split(self, text: str) -> list[str]:
         return self.PATTERN.findall(text)
 
+    def spaced(self, piece: str) -> list[str]:
+        """Splits a piece with a space before it; ASCII letters alone are one word."""
+        return [" " + piece] if piece.isascii() and piece.isalpha() else self.split(" " + piece)
+
     def keys(self, text: str) -> list:
         """What to look up for a text: pieces (strings, each with a space before it), and tuples (text without one, or a special token)."""
         if self.special and any(s in text for s in self.special):
@@ -393,7 +399,7 @@ class ByteBpe:
         new, self.pieces.new = self.pieces.new, []
         if not new:
             return
-        words = [["\0special"] if len(k) == 2 and k[1] == "special" and type(k) is tuple else self.split(" " + k) if type(k) is str else [k[0]] if len(k) == 2 else self.split(k[0]) for k in new]
+        words = [["\0special"] if len(k) == 2 and k[1] == "special" and type(k) is tuple else self.spaced(k) if type(k) is str else [k[0]] if len(k) == 2 else self.split(k[0]) for k in new]
         special = [k[0] if w == ["\0special"] and type(k) is tuple else None for k, w in zip(new, words)]
         codes = self.words.of([x for w, s in zip(words, special) if s is None for x in w])
         self._resolve_words()
@@ -451,7 +457,7 @@ class WordBpe(ByteBpe):
         if not new:
             return
         plain = [type(k) is str and self.PLAIN.fullmatch(k) is not None for k in new]
-        words = [self.split(unicodedata.normalize("NFC", k).lower()) if p else [] for k, p in zip(new, plain)]
+        words = [[k.lower()] if p and k.isascii() and k.isalpha() else self.split(unicodedata.normalize("NFC", k).lower()) if p else [] for k, p in zip(new, plain)]
         codes = self.words.of([x for w in words for x in w])
         self._resolve_words()
         flat, lens = self.word_ids.gather(codes)
@@ -466,9 +472,10 @@ class WordBpe(ByteBpe):
         self.piece_ids.extend(np.concatenate([*parts, flat[at:]]), counts)
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def codec(kind: type, path: str, lexicon: str | None = None) -> ByteBpe:
-    """One for each worker process, which keeps what it has encoded across tasks."""
+    """One for each worker process, which keeps the vocabulary across tasks. What it has encoded goes at a task's end, as the
+    worker lives on while other stages run."""
     return kind(path, lexicon)
 
 
@@ -476,19 +483,25 @@ def word_counts(docs: DataFrame, text_col: str, path: str) -> DataFrame:
     """(word binary, n): how often each word, as the vocabulary's pattern splits it, stands in all documents."""
 
     def count(batches):
+        codec.cache_clear()  # a worker that has encoded before: its lexicon isn't asked for again
         tool, times = ByteBpe(path), np.zeros(1 << 16, np.int64)
 
         def flush():
-            words = [[] if type(k) is tuple and k[1:] == ("special",) else tool.split(" " + k) if type(k) is str else [k[0]] if len(k) == 2 else tool.split(k[0]) for k in tool.pieces]
-            at = tool.words.of([w for ws in words for w in ws])
-            n = np.bincount(at, np.repeat(times[: len(words)], [len(ws) for ws in words]), minlength=len(tool.words)).astype(np.int64)
+            split = lambda k: [] if type(k) is tuple and k[1:] == ("special",) else tool.spaced(k) if type(k) is str else [k[0]] if len(k) == 2 else tool.split(k[0])
+            keys, n, at = iter(tool.pieces), np.zeros(0), 0
+            while words := [split(k) for k in itertools.islice(keys, 20_000)]:
+                found = tool.words.of([w for ws in words for w in ws])
+                more = np.bincount(found, np.repeat(times[at : at + len(words)], [len(ws) for ws in words]), minlength=len(tool.words))
+                more[: len(n)] += n
+                n, at = more, at + len(words)
+            n = n.astype(np.int64)
             out = pa.RecordBatch.from_arrays([pa.array([w.encode() for w in tool.words], pa.binary()), pa.array(n)], ["word", "n"])
             tool.reset()
             times[:] = 0
             return out
 
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, text_col, BYTES):
                 codes = tool.pieces.of([k for t in part.column(text_col).to_pylist() if t for k in tool.keys(t)])
                 while len(tool.pieces) > len(times):
                     times = np.concatenate([times, np.zeros(len(times), np.int64)])
@@ -532,13 +545,14 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", lexicon: str | No
     def run(batches):
         tool = codec(ByteBpe, path, SparkFiles.get(lexicon) if lexicon else None)
         for batch in batches:
-            for part in pieces(batch, text_col, 2_000_000):
+            for part in pieces(batch, text_col, BYTES):
                 flat, lens = tool.encode([t or "" for t in part.column(text_col).to_pylist()])
                 ends = np.concatenate([[0], np.cumsum(lens)])
                 columns = [part.column(c) for c in others] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
                 if decoded_col:
                     columns.append(pa.array([tool.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*others, ids_col, *([decoded_col] if decoded_col else [])])
+        tool.reset()
 
     small_batches(docs.sparkSession)
     return docs.select(*others, text_col).mapInArrow(run, schema)

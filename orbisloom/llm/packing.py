@@ -104,6 +104,7 @@ def tokenised_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)), pa.int32()), pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+        tool.reset()
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
