@@ -7,7 +7,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import even_sample
+from .ordered import even_sample, held
 from .selection import group_percentiles, percentiles
 
 
@@ -76,8 +76,10 @@ def common_divisor(sizes: DataFrame, size: str) -> DataFrame:
 
 
 def scale_fit(df: DataFrame, ratio: Column, least: int = 20) -> DataFrame:
-    """(n, scale, spread): median and quartile range over median of the positive ratios; null with fewer than `least`."""
-    good = df.select(ratio.cast("double").alias("_r")).filter("_r > 0")
+    """(n, scale, spread): median and quartile range over median of the positive ratios; null with fewer than `least`.
+
+    The ratios are held, as each pass for the percentiles would join the tables behind them again."""
+    good = held(df.select(ratio.cast("double").alias("_r")).filter("_r > 0"))
     low, middle, high = percentiles(good, "_r", [0.25, 0.5, 0.75])
     fine = F.col("n") >= least
     spread = (F.lit(high) - F.lit(low)) / F.lit(middle)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import kept_components  # noqa: F401  (a mask operator like those here)
+from .ordered import held
 from .selection import percentiles
 
 EPS, NEAR_W = 1e-6, 1e-4
@@ -93,7 +94,7 @@ def cut_spans(faces: DataFrame, vertices: DataFrame, disparity: str, percentile:
     f = faces
     for i in range(3):
         f = f.join(vertices.select(F.col("vid").alias(f"v{i}"), F.col(disparity).alias(f"_d{i}")), f"v{i}")
-    f = f.withColumn("_span", F.greatest("_d0", "_d1", "_d2") - F.least("_d0", "_d1", "_d2"))
+    f = held(f.withColumn("_span", F.greatest("_d0", "_d1", "_d2") - F.least("_d0", "_d1", "_d2")))  # each pass for the percentile reads it
     return f.filter(F.col("_span") <= F.lit(percentiles(f, "_span", [percentile])[0])).select(*faces.columns)
 
 

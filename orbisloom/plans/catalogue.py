@@ -344,7 +344,7 @@ def scatter_min(t):
     SELECT count(*) AS n, round(quantile_cont(r, 0.5), 4) AS scale, round((quantile_cont(r, 0.75) - quantile_cont(r, 0.25)) / quantile_cont(r, 0.5), 4) AS spread
     FROM (SELECT l_extendedprice / p_retailprice AS r FROM lineitem JOIN part ON p_partkey = l_partkey) WHERE r > 0""")
 def scale_fit(t):
-    j = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
+    j = t("lineitem").join(t("part").hint("merge"), F.col("p_partkey") == F.col("l_partkey"))  # part grows with lineitem: no broadcast through the driver
     return agg.scale_fit(j, F.col("l_extendedprice") / F.col("p_retailprice")).select("n", F.round("scale", 4).alias("scale"), F.round("spread", 4).alias("spread"))
 
 

@@ -1,8 +1,10 @@
 """Queries against their SQL on small tables with the keys, ties and shares that larger tables have."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from orbisloom.operators import aggregates as agg
 
 
 def _cell(x):
@@ -37,3 +39,19 @@ def test_faces_of_equal_depth_go_to_the_lowest(spark, tmp_path):
     suppliers = [(i + 1000 * k,) for i in range(1, 60) for k in range(40)]
     rows = same_as_sql(spark, tmp_path, "raster_contest", supplier=("s_suppkey long", suppliers))
     assert len(rows) > 400
+
+
+def test_ratios_are_computed_once_and_parts_not_broadcast(spark, monkeypatch):
+    seen, joined = spark.sparkContext.accumulator(0), []
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    counted = F.udf(count, "double").asNondeterministic()  # so that a filter doesn't repeat it
+    df = spark.range(1, 20_001).select(F.col("id").cast("double").alias("v"))
+    assert agg.scale_fit(df, counted("v")).first().scale == 10_000.5
+    assert seen.value == 20_000
+    monkeypatch.setattr(agg, "scale_fit", lambda df, ratio: joined.append(df) or df.select(F.lit(1).alias("n"), F.lit(1.0).alias("scale"), F.lit(1.0).alias("spread")))
+    entry.queries()["scale_fit"](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in joined[0]._jdf.queryExecution().sparkPlan().toString()
