@@ -158,24 +158,50 @@ def agreement(pixels: DataFrame, frame: str, a: str, b: str, radius: int, height
     return sums.select(frame, "y", "x", z.alias("zncc"))
 
 
+#: Entries of a matrix that one task holds, on average; so the number of tasks grows with the matrix.
+ENTRIES = 500_000
+#: A column with at least this share of the entries is broadcast, so there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 2000
+
+
 def least_squares(entries: DataFrame, rhs: DataFrame, rounds: int | None = None, tolerance: float = 1e-9) -> DataFrame:
     """(j, x) minimising |Ax - b| for A in coordinates (i, j, v) and b in (i, b), by conjugate gradients on the normal
     equations: each round is two sparse products (a join and an aggregation); of the vectors the driver sees two sums.
 
+    The entries are dealt out once by rows of A, in parts of about ENTRIES, and stay so; a product along the rows moves no
+    entry. A column that has many entries gets its value by broadcast, so no task gets all of a dense column; a dense row does lie in one task, whose sort may spill.
+
     Without `rounds` it goes on until the tolerance is met, at most ten rounds per unknown; then, as after so many `rounds`,
     it raises ArithmeticError, with how far it came, rather than give an answer that isn't one."""
-    product = lambda vec, key, out: entries.join(vec, key).groupBy(out).agg(F.sum(F.col("v") * F.col("x")).alias("x"))
-    columns = entries.select("j").distinct()
+    sizes = held(entries.groupBy("j").agg(F.count(F.lit(1)).alias("_n")))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    columns, hot = sizes.select("j"), sizes.filter(F.col("_n") >= F.lit(max(2.0, total * HOT_SHARE))).select("j")
+    n_hot, n = hot.count(), sizes.count()
+    parts = max(entries.sparkSession.sparkContext.defaultParallelism, -(-total // ENTRIES))
+    dense = held(entries.join(F.broadcast(hot), "j", "left_semi").select("i", "j", "v").repartition(parts, "i")) if n_hot else None
+    sparse = held(entries.join(F.broadcast(hot), "j", "left_anti").select("i", "j", "v").repartition(parts, "i")) if n_hot < n else None
+    known = [e for e in (dense, sparse) if e is not None]
+
+    def product(vec: DataFrame, key: str, out: str) -> DataFrame:
+        """A vec (from j to i), or the transpose's (from i to j)."""
+        met = []
+        for e in known:
+            side = vec.hint("merge") if key == "i" or e is sparse else F.broadcast(vec.join(F.broadcast(hot), "j", "left_semi"))
+            met.append(e.join(side, key).groupBy(out).agg(F.sum(F.col("v") * F.col("x")).alias("x")))
+        return met[0] if len(met) == 1 else met[0].unionByName(met[1]).groupBy(out).agg(F.sum("x").alias("x"))
+
+    if not known:
+        return columns.select("j", F.lit(0.0).alias("x"))
     r = held(columns.join(product(rhs.select("i", F.col("b").alias("x")), "i", "j"), "j", "left").select("j", F.coalesce("x", F.lit(0.0)).alias("x")))
     p, x = r, held(columns.select("j", F.lit(0.0).alias("x")))
     square = lambda d: d.agg(F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0))).first()[0]
     rr = first = square(r)
-    most, done = rounds if rounds is not None else 10 * x.count() + 10, 0
+    most, done = rounds if rounds is not None else 10 * n + 10, 0
     while rr > tolerance * tolerance * max(first, 1e-300):
         if done == most:
             raise ArithmeticError(f"after {done} rounds the residual is {(rr / first) ** 0.5:.3g} of the first, not {tolerance:.3g}")
         done += 1
-        ap = product(p, "j", "i")
+        ap = held(product(p, "j", "i").repartition(parts, "i"))
         alpha = rr / max(square(ap), 1e-300)
         q = product(ap, "i", "j").withColumnRenamed("x", "q")
         step = lambda d, e, f: held(d.join(e, "j", "left").select("j", f.alias("x")))

@@ -1,10 +1,12 @@
 """Queries against their SQL on small tables with the keys, ties and shares that larger tables have."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from orbisloom.operators import aggregates as agg
+from orbisloom.operators import images
 
 
 def _cell(x):
@@ -55,3 +57,19 @@ def test_ratios_are_computed_once_and_parts_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(agg, "scale_fit", lambda df, ratio: joined.append(df) or df.select(F.lit(1).alias("n"), F.lit(1.0).alias("scale"), F.lit(1.0).alias("spread")))
     entry.queries()["scale_fit"](spark, "/root/testdata/sf0.001")
     assert "BroadcastHashJoin" not in joined[0]._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_least_squares_deals_out_dense_columns(spark, monkeypatch):
+    r, kept, hold = np.random.default_rng(3), [], images.held
+    a = np.where((np.arange(300)[:, None] % 20 == np.arange(20)) | (np.arange(20) < 2), r.normal(size=(300, 20)), 0.0)
+    b = r.normal(size=300)
+    entries = spark.createDataFrame([(i, j, float(a[i, j])) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(a)))], "i int, j int, v double")
+    rhs = spark.createDataFrame(list(enumerate(b.tolist())), "i int, b double")
+    monkeypatch.setattr(images, "held", lambda df: kept.append(hold(df)) or kept[-1])
+    for share in (1 / 2000, 0.1, 1.0):  # all columns dense, two of twenty, none
+        kept.clear()
+        monkeypatch.setattr(images, "HOT_SHARE", share, raising=False)
+        got = {q.j: q.x for q in images.least_squares(entries, rhs).collect()}
+        assert np.allclose([got[j] for j in range(20)], np.linalg.lstsq(a, b, rcond=None)[0], atol=1e-6)
+        dealt = [d.groupBy(F.spark_partition_id().alias("p")).count().collect() for d in kept if d.columns == ["i", "j", "v"]]
+        assert len(dealt) == (2 if share == 0.1 else 1) and all(max(q["count"] for q in d) < 0.5 * sum(q["count"] for q in d) for d in dealt)
